@@ -5,10 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kodex.llm import boilerplate, leakage, mixing, splitting
+from kodex.llm import boilerplate, canonical, encoding, leakage, mixing, splitting
+from kodex.session import sized_broadcast, stage, union_all
 from kodex.sources.tables import table
 
 
+def _texts(spark: SparkSession, d: str, *columns: tuple[str, str, str]) -> DataFrame:
+    """(table_name, row_id, text) of some text columns, each given as table, id, text."""
+    return union_all([table(spark, d, t).select(F.lit(t).alias("table_name"), F.col(i).alias("row_id"), F.col(c).alias("text")) for t, i, c in columns])
+
+
+BODIES, PAGES = ("decision_paragraph", "para_id", "body"), ("cached_page", "page_id", "text")
+ALIASES, CITATIONS = ("decision_alias", "alias_id", "alias"), ("reference_span", "ref_id", "raw_text")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled_rows(_texts(spark, d, BODIES, PAGES)).select("table_name", "row_id")
+
+
+def p1_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled rows with their text put right."""
+    return encoding.restored(_texts(spark, d, BODIES, PAGES))
+
+
+def _unlike(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that aren't in their ordinary form, without those that are garbled."""
+    garbled = encoding.garbled_rows(_texts(spark, d, BODIES), _texts(spark, d, BODIES, PAGES)).select("table_name", "row_id")
+    unlike = canonical.differing(_texts(spark, d, BODIES, ALIASES, CITATIONS))
+    return unlike.join(sized_broadcast(stage(garbled)), ["table_name", "row_id"], "left_anti")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _unlike(spark, d).select("table_name", "row_id").distinct()
+
+
+def p2_forms(spark: SparkSession, d: str) -> DataFrame:
+    """What each of these rows says in its ordinary form."""
+    return _unlike(spark, d).select("table_name", "row_id", "form")
+
+
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    """Aliases and citations that look the same."""
+    return canonical.links(table(spark, d, "decision_alias"), table(spark, d, "reference_span"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.recurring_lines(table(spark, d, "decision_paragraph"), table(spark, d, "decision")).select("para_id", "line_no")
 
@@ -43,7 +83,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p7_found, p7_spans, p7_items, p8_mix, p8_shares, p9_found, p9_pieces)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_restored, p2_found, p2_forms, p2_links, p3_found, p7_found, p7_spans, p7_items, p8_mix, p8_shares, p9_found, p9_pieces)}
 
 _LINES = r"""lines as (
   select para_id, ecli, unnest(string_split(body, chr(10))) line, generate_subscripts(string_split(body, chr(10)), 1)::int line_no from decision_paragraph),
