@@ -22,9 +22,9 @@ LOST = dict.fromkeys([*range(0x80, 0xA0), 0xAD])
 OWN = "áčďéěíňóřšťúůýžÁČĎÉĚÍŇÓŘŠŤÚŮÝŽ"
 #: A token: ASCII letters, digits and everything beyond ASCII, as no misreading turns a letter into ASCII punctuation.
 TOKEN = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
-ODD = rf"[^\x00-\x7F{OWN}]"
+ODD = rf"[\x{{80}}-\x{{10FFFF}}&&[^{OWN}]]"
 #: A row without this has no token of two or more characters that may be garbled: a section sign by itself isn't one.
-ODD_ROW = rf"[^\x00-\x7F{OWN}§]|[^\x00-\x2F]§|§[^\x00-\x2F]"
+ODD_ROW = rf"[\x{{80}}-\x{{10FFFF}}&&[^{OWN}§]]|§(?:[^\x00-\x2F]|(?<=[^\x00-\x2F]§))"
 #: Characters that no clean word has: control and format characters, odd spaces, combining marks, the replacement character.
 UNCLEAN = r"[\x{80}-\x{A0}\x{AD}\x{FFFD}\p{M}\p{Cf}\p{Z}]"
 #: Of several originals of one garbled form, one is taken if it is so many times as frequent as any other.
@@ -53,25 +53,50 @@ def chains() -> list[tuple[str, ...]]:
     return [*single, ("utf-8", "ascii"), *(("utf-8", r, "utf-8", a) for r in AGAIN for a in AGAIN)]
 
 
+@cache
+def _tables() -> list[tuple[str, bool, dict[int, str]]]:
+    """(chain, stored as UTF-8, what becomes of each character beyond ASCII) of the chains that turn characters one by one.
+
+    These are all but the readings as UTF-8. A character that an encoding lacks becomes NUL.
+    """
+    out = []
+    letters = [chr(c) for c in (*range(0xA0, 0x250), *range(0x370, 0x460), *range(0x2010, 0x2040), 0x20AC, 0x2122)]
+    for chain in chains():
+        if chain[1] == "utf-8":
+            continue
+        table = {}
+        for ch in letters:
+            form = ch
+            try:
+                for stored, read in zip(chain[::2], chain[1::2]):
+                    data = form.encode(stored)
+                    form = data.decode(read, "replace") if read == "ascii" else misread(data, read)
+            except UnicodeEncodeError:
+                form = "\0"
+            table[ord(ch)] = form
+        out.append((">".join(chain), chain[0] == "utf-8", table))
+    return out
+
+
 def garble(word: str) -> dict[str, str]:
     """Each garbled form of a word, with the first chain that gives it, also without the characters that are often LOST.
 
     Words that an encoding lacks have no form in it.
     """
     forms: dict[str, str] = {}
-    for chain in chains():
-        form = word
+    for stored in STORED[1:]:
         try:
-            for stored, read in zip(chain[::2], chain[1::2]):
-                data = form.encode(stored)
-                form = data.decode(read, "replace") if read in ("utf-8", "ascii") else misread(data, read)
+            forms.setdefault(word.encode(stored).decode("utf-8", "replace"), f"{stored}>utf-8")
         except UnicodeEncodeError:
-            continue
-        if form != word and len(form) > 1:
-            forms.setdefault(form, ">".join(chain))
-            if chain[0] == "utf-8" and (bare := form.translate(LOST)) != word and len(bare) > 1 and not bare.isascii():
-                forms.setdefault(bare, ">".join(chain))
-    return forms
+            pass
+    for chain, wide, table in _tables():
+        form = word.translate(table)
+        if "\0" not in form:
+            forms.setdefault(form, chain)
+            if wide and (bare := form.translate(LOST)) != form and not bare.isascii():
+                forms.setdefault(bare, chain)
+    forms.pop(word, None)
+    return {form: chain for form, chain in forms.items() if len(form) > 1}
 
 
 def ungarble(form: str, chain: str) -> str | None:
@@ -94,34 +119,50 @@ def tokens(text: Column) -> Column:
 
 def vocabulary(rows: DataFrame) -> DataFrame:
     """(token, n): every distinct token that has a character beyond ASCII, with its count over all rows of `text`."""
-    words = rows.select(F.explode(F.filter(tokens(F.col("text")), lambda t: F.length(t) != F.octet_length(t))).alias("token"))
-    return words.groupBy("token").agg(F.count("*").alias("n"))
+    # explode_outer, as a plain explode is preceded by a filter that splits every text a second time
+    words = rows.select(F.explode_outer(F.filter(tokens(F.col("text")), lambda t: F.length(t) != F.octet_length(t))).alias("token"))
+    return words.filter("token is not null").groupBy("token").agg(F.count("*").alias("n"))
+
+
+def skeleton(token: Column) -> Column:
+    """A token's ASCII characters in order, which every chain keeps."""
+    return F.regexp_replace(token, r"[^\x00-\x7F]+", "")
 
 
 def garbled_forms(words: DataFrame) -> DataFrame:
-    """(token, original, chain, n_original, seen): the garbled forms of clean words, also in cases that weren't seen."""
+    """(token, original, chain, n_original, seen): the garbled forms of (original, n_original, seen)."""
+    columns = ["token", "original", "chain", "n_original", "seen"]
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = []
-            for word, n in zip(pdf["token"], pdf["n"]):
-                for w in {word, word.lower(), word.capitalize(), word.upper()}:
-                    out += [(form, w, chain, n, w == word) for form, chain in garble(w).items()]
-            yield pd.DataFrame(out, columns=["token", "original", "chain", "n_original", "seen"])
+            for word, n, seen in zip(pdf["original"], pdf["n_original"], pdf["seen"]):
+                out += [(form, word, chain, n, seen) for form, chain in garble(word).items()]
+                if len(out) > 100_000:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+            yield pd.DataFrame(out, columns=columns)
 
-    return words.mapInPandas(batches, "token string, original string, chain string, n_original long, seen boolean")
+    return words.select("original", "n_original", "seen").mapInPandas(batches, "token string, original string, chain string, n_original long, seen boolean")
 
 
 def dictionary(vocab: DataFrame) -> DataFrame:
     """(token, original, chain): the corpus tokens that are garbled forms of its own clean words.
 
-    Verified: the clean word must be at least as frequent as the garbled form, so that a correct foreign word isn't taken
-    for the garbled form of some rarity. original is null where several words have the form and none is clearly the one.
+    Clean words also count with their first letter in the other case. Only those with the skeleton of some suspect token
+    are garbled, as the forms of the others can't match. Verified: the clean word must be at least as frequent as the
+    garbled form, so that a correct foreign word isn't taken for the garbled form of some rarity. original is null where
+    several words have the form and none is clearly the one.
     """
     parts = int(vocab.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    clean = vocab.filter(~F.col("token").rlike(UNCLEAN)).repartition(parts, "token")
-    suspects = vocab.filter(F.col("token").rlike(ODD) & (F.length("token") > 1))
-    pairs = suspects.join(garbled_forms(clean), "token").filter(F.col("n_original") >= F.col("n"))
+    suspects = stage(vocab.filter(F.col("token").rlike(ODD) & (F.length("token") > 1)).withColumn("skeleton", skeleton(F.col("token"))))
+    first, rest = F.left("token", F.lit(1)), F.substr("token", F.lit(2))
+    cases = F.array_distinct(F.array("token", F.concat(F.lower(first), rest), F.concat(F.upper(first), rest)))
+    clean = vocab.filter(~F.col("token").rlike(UNCLEAN)).select("token", F.col("n").alias("n_original"), F.explode(cases).alias("original"))
+    clean = clean.withColumn("seen", F.col("token") == F.col("original")).withColumn("skeleton", skeleton(F.col("original")))
+    clean = clean.join(sized_broadcast(stage(suspects.select("skeleton").distinct())), "skeleton", "left_semi").repartition(parts, "original")
+    # where the suspects are few, the forms are matched as they are made, without a shuffle
+    pairs = garbled_forms(clean).join(sized_broadcast(suspects), "token").filter(F.col("n_original") >= F.col("n"))
     pairs = pairs.groupBy("token", "original").agg(F.max("seen").alias("seen"), F.max("n_original").alias("n"), F.min("chain").alias("chain"))
     per = pairs.groupBy("token").agg(F.max(F.struct("seen", "n", "original", "chain")).alias("best"), F.sum(F.when(F.col("seen"), F.col("n"))).alias("_seen"), F.sum("n").alias("_all"))
     others = F.when(F.col("best.seen"), F.col("_seen")).otherwise(F.col("_all")) - F.col("best.n")
@@ -133,7 +174,7 @@ def suspect_tokens(rows: DataFrame) -> DataFrame:
     """(keys of rows, token): the distinct tokens of each row that may be garbled."""
     odd = rows.filter(F.col("text").rlike(ODD_ROW))
     found = F.array_distinct(F.filter(tokens(F.col("text")), lambda t: t.rlike(ODD) & (F.length(t) > 1)))
-    return odd.select(*[c for c in rows.columns if c != "text"], F.explode(found).alias("token"))
+    return odd.select(*[c for c in rows.columns if c != "text"], F.explode_outer(found).alias("token"))
 
 
 def garbled_rows(rows: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
