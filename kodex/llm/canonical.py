@@ -27,9 +27,10 @@ HYPHENS = dict.fromkeys(map(ord, "‐‑−﹣－˗"), "-")
 PUNCTUATION = {ord("․"): ".", ord("∕"): "/", ord("∶"): ":", ord("ʼ"): "'", ord("∙"): "·"}
 INVISIBLE = re.compile("[\xad͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￰-￸\U000e0000-\U000e0fff]")
 WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
-# Characters that are ordinary wherever they stand, for the test in the JVM: ASCII without controls, precomposed Latin
-# letters without compatibility ones, and common typographic signs.
-PLAIN = r"\t\n\r\x20-\x7E¡-¬®-¶¸-ĲĴ-ľŁ-ňŊ-žƀ-ƿǍ-ǰǴ-ɏ‘-‟‒-―†-•…‰‹›€™".replace("Ĳ", "ı")
+# Characters that are ordinary wherever they stand, for the test in the JVM: precomposed Latin letters without compatibility
+# ones, and common typographic signs. The range comes first in the test, so that ASCII is decided at once.
+SIGNS = "¡-¬®-¶¸-ıĴ-ľŁ-ňŊ-žƀ-ƿǍ-ǰǴ-ɏ‘-‟‒-―†-•…‰‹›€™"
+NOT_PLAIN = rf"[\x{{7F}}-\x{{10FFFF}}&&[^{SIGNS}]]|[\x00-\x08\x0B\x0C\x0E-\x1F]"
 
 
 @cache
@@ -94,7 +95,7 @@ def _comparable(values: pd.Series) -> pd.Series:
 
 def is_plain(text: Column) -> Column:
     """Whether a text has only characters that are ordinary wherever they stand; decided in the JVM."""
-    return ~text.rlike(f"[^{PLAIN}]")
+    return ~text.rlike(NOT_PLAIN)
 
 
 def ordinary_form(text: Column) -> Column:
