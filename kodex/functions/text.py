@@ -1,14 +1,125 @@
-"""Text kernel: Column -> Column, no UDF."""
+"""Text kernel: Column -> Column, no UDF. Null in gives null out unless said otherwise."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: every Unicode white space, with the separators FS..US that Python's str.split() also takes.
 SPACE = r"[\s\x{85}\p{Z}\x1c-\x1f]+"
+#: Fixed value: Czech letters with diacritics, and the same without.
+ACCENTED = "áčďéěíňóřšťúůýžÁČĎÉĚÍŇÓŘŠŤÚŮÝŽ"
+PLAIN = "acdeeinorstuuyzACDEEINORSTUUYZ"
+#: Fixed value: tokens that end in a full stop without ending a sentence.
+ABBREVIATIONS = "sp. zn. č. j. odst. písm. pís. zák. sb. čl. resp. tj. tzv. např. mj. str. obč. obch. tr. usn. roz. pl. atd. apod. s. ř. z. o. sr."
+_MARK = "\x01"
 
 
 def squeeze(text: Column) -> Column:
-    """Each white-space run as one space, none at the ends; null stays null."""
+    """Each white-space run as one space, none at the ends."""
     return F.trim(F.regexp_replace(text, SPACE, " "))
+
+
+def alias_form(text: Column) -> Column:
+    """The form in which aliases are stored and looked up: squeezed, lower case (ß stays, unlike with full case folding)."""
+    return F.lower(squeeze(text))
+
+
+def unaccented(text: Column) -> Column:
+    """Squeezed, lower case, without Czech diacritics, precomposed or combining."""
+    return F.lower(squeeze(F.translate(F.regexp_replace(text, r"\p{M}", ""), ACCENTED, PLAIN)))
+
+
+def despaced(text: Column) -> Column:
+    return F.replace(unaccented(text), F.lit(" "), F.lit(""))
+
+
+def paragraphs(text: Column) -> Column:
+    """Squeezed, non-blank paragraphs: parts between blank lines, or the lines if there is at most one such part."""
+    parts = lambda by: F.filter(F.transform(F.split(text, by), squeeze), lambda p: p != "")
+    blocks, lines = parts(r"\R[ \t\x{A0}]*\R"), parts(r"\R")
+    return F.when(F.size(blocks) > 1, blocks).when(F.size(lines) > F.size(blocks), lines).otherwise(blocks)
+
+
+def sentences(text: Column) -> Column:
+    """array<struct<start, sentence>>: sentences with 0-based offsets; no break after abbreviations and numerals.
+
+    A break is white space after . ! or ?, unless the token before is in ABBREVIATIONS or a numeral with a full stop. Break
+    by break, the piece after it opens a new sentence or joins the one before.
+    """
+    clean = F.regexp_replace(text, _MARK, " ")
+    pieces = F.split(F.regexp_replace(clean, r"(?<=[.!?])(\s+)", rf"$1{_MARK}"), _MARK)
+    words = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS.split())
+    open_end = rf"(?i)(?:^|\s)(?:{words}|[0-9IVX]+\.)\s+$"
+    empty = F.lit(None).cast("array<struct<start:int,sentence:string>>")
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("start"), F.lit("").alias("held"), F.coalesce(empty, F.array().cast("array<struct<start:int,sentence:string>>")).alias("out"))
+
+    def add(acc: Column, piece: Column) -> Column:
+        held = F.concat(acc["held"], piece)
+        at = acc["at"] + F.length(piece)
+        goes_on = piece.rlike(open_end)
+        whole = F.struct(acc["start"].alias("start"), F.regexp_replace(held, r"\s+$", "").alias("sentence"))
+        return F.struct(
+            at.alias("at"),
+            F.when(goes_on, acc["start"]).otherwise(at).alias("start"),
+            F.when(goes_on, held).otherwise("").alias("held"),
+            F.when(goes_on, acc["out"]).otherwise(F.concat(acc["out"], F.array(whole))).alias("out"),
+        )
+
+    def finish(acc: Column) -> Column:
+        rest = F.array(F.struct(acc["start"].alias("start"), F.regexp_replace(acc["held"], r"\s+$", "").alias("sentence")))
+        return F.filter(F.when(acc["held"] != "", F.concat(acc["out"], rest)).otherwise(acc["out"]), lambda s: F.trim(s["sentence"]) != "")
+
+    return F.when(text.isNotNull(), F.aggregate(pieces, zero, add, finish))
+
+
+def contains_any(text: Column, phrases: list[str]) -> Column:
+    """Whether the squeezed, lower-case text contains one of the phrases."""
+    folded = alias_form(text)
+    return reduce(lambda a, b: a | b, [folded.contains(p) for p in phrases])
+
+
+def first_phrase(text: Column, phrases: list[str]) -> Column:
+    """The first of the phrases, in their order, that the text contains; null if none."""
+    folded = alias_form(text)
+    return F.coalesce(*[F.when(folded.contains(p), F.lit(p)) for p in phrases])
+
+
+def is_verbatim(span: Column, context: Column) -> Column:
+    """Whether a span that isn't blank occurs in the context, white space squeezed, all else as it is. Null gives false."""
+    s = squeeze(span)
+    return F.coalesce((s != "") & F.contains(squeeze(context), s), F.lit(False))
+
+
+def citation_sentence(paragraph: Column, citation: Column) -> Column:
+    """The first sentence of a paragraph that holds the citation; null if none does."""
+    hit = F.filter(sentences(paragraph), lambda s: F.contains(alias_form(s["sentence"]), alias_form(citation)))
+    return F.when(squeeze(citation) != "", F.get(hit, F.lit(0))["sentence"])
+
+
+def marked_sentence(text: Column, phrases: list[str], also: Column | None = None) -> Column:
+    """The first sentence with one of the phrases (and, if given, with one of the strings of array `also`); null if none."""
+    hit = F.filter(sentences(text), lambda s: contains_any(s["sentence"], phrases))
+    if also is not None:
+        hit = F.filter(hit, lambda s: F.exists(also, lambda x: (x != "") & F.contains(alias_form(s["sentence"]), x)))
+    return F.get(hit, F.lit(0))["sentence"]
+
+
+def truncated(text: Column, limit: int = 120) -> Column:
+    s = squeeze(text)
+    return F.when(F.length(s) <= limit, s).otherwise(F.concat(F.left(s, F.lit(limit)), F.lit("...")))
+
+
+def render(template: str, **values: Column) -> Column:
+    """A template's {{names}} filled in; a null value or a name left over is an error."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{{" + name + "}}"), F.coalesce(value, F.raise_error(F.lit(f"no value for {name}"))))
+    return F.when(out.contains("{{"), F.raise_error(F.lit("a name is left over"))).otherwise(out)
+
+
+def json_object(text: Column) -> Column:
+    """From the first { to the last }; null if there are none."""
+    return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
