@@ -13,12 +13,29 @@ from pyspark.sql import functions as F
 from kodex.llm.tokens import BYTES, FOLDER, prefix
 
 LIMIT, OVERLAP = 2048, 128
-#: Places to cut, the best first: after a blank line, a line, a sentence, a clause, a word.
-PLACES = [re.compile(p) for p in (r"(?:\r?\n[ \t]*){2,}", r"\r?\n", r"[.!?…][\"'“”»)\]]*\s+", r"[;:,][ \t]+", r"\s+")]
+# What ends a sentence and a clause, and what may follow it at once.
+SENTENCE, CLAUSE, CLOSING = (np.array([ord(c) for c in x], np.uint32) for x in (".!?…", ";:,", "\"'“”»)]"))
+SPACES = np.array([c for c in range(0x10000) if chr(c).isspace()], np.uint32)
 #: No hard cut before these: combining marks, joiners, variation selectors; nor within \r\n.
 CLINGING = re.compile(r"[̀-ͯ᪰-᫿⃐-⃿‍︀-️]|(?<=\r)\n")
 
 
+def boundaries(text: str) -> list[np.ndarray]:
+    """Sorted places to cut, the best kind first: after a blank line, a line, a sentence, a clause, a word.
+
+    Each is the start of a word, so that white space stays with the piece before it.
+    """
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = np.isin(cp, SPACES)
+    at = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    last = np.maximum.accumulate(np.where(space, 0, np.arange(len(cp))))[at - 1]
+    lines = np.cumsum(cp == 10)
+    breaks = lines[at - 1] - lines[last]
+    end = cp[np.where(np.isin(cp[last], CLOSING), np.maximum(last - 1, 0), last)]
+    kind = np.select([breaks > 1, breaks == 1, np.isin(end, SENTENCE), np.isin(end, CLAUSE)], [0, 1, 2, 3], 4)
+    return [at[kind == k] for k in range(5)]
+
+
 def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP, tokenizer: str = BYTES, folder: str = FOLDER) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of each piece, in characters.
 
@@ -32,9 +49,11 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP, tokenizer: str =
     total = int(sums[-1])
     if total <= limit:
         return [(0, len(text), total)] if text else []
-    bad = np.fromiter((m.start() for m in CLINGING.finditer(text)), np.int64)
-    hard = np.setdiff1d(free, bad, assume_unique=True)
-    levels = [np.intersect1d(hard, np.fromiter((m.end() for m in p.finditer(text)), np.int64)) for p in PLACES]
+    allowed = np.zeros(len(text) + 1, bool)
+    allowed[free] = True
+    allowed[[m.start() for m in CLINGING.finditer(text)]] = False
+    levels = [p[allowed[p]] for p in boundaries(text)]
+    hard = np.flatnonzero(allowed)
     out, start = [], 0
     while True:
         base = int(sums[start])
