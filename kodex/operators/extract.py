@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kodex.functions.regex import find_all
 from kodex.functions.text import alias_form, contains_any, sentences
-from kodex.patterns import PATTERNS, TRIGGERS
+from kodex.patterns import PATTERNS, TRIGGERS, Pattern
 from kodex.session import hot_keys, salted_join
 
 _SPAN = "array<struct<pattern_ord:int,kind:string,raw:string,start:int,end:int,groups:map<string,string>>>"
@@ -21,11 +21,11 @@ def spans(text: Column) -> Column:
     A span goes if a strictly longer one contains it, or an equal one of an earlier pattern does; crossing spans both stay.
     Sorted by start, end, pattern. A pattern runs only over texts that hold its fixed part.
     """
-    per = []
-    for i, p in enumerate(PATTERNS):
-        hits = F.transform(find_all(text, p.regex, p.groups), lambda m, i=i, p=p: F.struct(F.lit(i).alias("pattern_ord"), F.lit(p.kind).alias("kind"), m["raw"].alias("raw"), m["start"].alias("start"), m["end"].alias("end"), m["groups"].alias("groups")))
-        per.append(F.when(text.contains(p.holds), hits).otherwise(F.array().cast(_SPAN)))
-    every = F.concat(*per)
+    def hits(i: int, p: Pattern) -> Column:
+        entry = lambda m: F.struct(F.lit(i).alias("pattern_ord"), F.lit(p.kind).alias("kind"), m["raw"].alias("raw"), m["start"].alias("start"), m["end"].alias("end"), m["groups"].alias("groups"))
+        return F.when(text.contains(p.holds), F.transform(find_all(text, p.regex, p.groups), entry)).otherwise(F.array().cast(_SPAN))
+
+    every = F.concat(*[hits(i, p) for i, p in enumerate(PATTERNS)])
 
     def covers(o: Column, s: Column) -> Column:
         same = (o["start"] == s["start"]) & (o["end"] == s["end"])
