@@ -112,9 +112,10 @@ def comparison_key(text: Column) -> Column:
 def differing(rows: DataFrame) -> DataFrame:
     """(table_name, row_id, text, form) of the rows of (table_name, row_id, text) whose text isn't in its ordinary form.
 
-    Null and empty texts are in theirs. Map-only; only rows with a character that isn't plain reach Python.
+    Null and empty texts are in theirs. Other columns are not looked at. Map-only; only rows with a character that isn't
+    plain reach Python.
     """
-    odd = rows.filter(F.col("text").isNotNull() & ~is_plain(F.col("text")))
+    odd = rows.select("table_name", "row_id", "text").filter(F.col("text").isNotNull() & ~is_plain(F.col("text")))
     return odd.withColumn("form", _ordinary("text")).filter("form <> text")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -181,8 +182,10 @@ def garbled_rows(rows: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     """(table_name, row_id, words array<struct<token, original, chain>>) of each row of (table_name, row_id, text) with garbled words.
 
     `corpus` gives the clean words; it is `rows` itself by default. Null and empty texts hold no words; repeated rows
-    of one id give one row. Tokens are counted before the shuffle; the dictionary is broadcast if small, else joined.
+    of one id give one row, rows without an id none. Other columns are not looked at. Tokens are counted before the
+    shuffle; the dictionary is broadcast if small, else joined.
     """
+    rows = rows.select("table_name", "row_id", "text").filter("row_id is not null")
     words = stage(dictionary(stage(vocabulary(rows if corpus is None else corpus))))
     hits = suspect_tokens(rows).join(sized_broadcast(words), "token").distinct()
     return hits.groupBy("table_name", "row_id").agg(F.array_sort(F.collect_list(F.struct("token", "original", "chain"))).alias("words"))
@@ -192,35 +195,45 @@ def restored(rows: DataFrame) -> DataFrame:
     """(table_name, row_id, text, restored, replaced, left): each garbled row with its words put right where that is possible.
 
     A word with a verified original gets it. A suspect word that isn't in the dictionary, such as a rare name, is decoded by
-    the chains found in the same row, if that gives letters of the corpus's language; else it stays. Texts are handled whole.
+    the chains found in the same row, if that gives letters of the corpus's language; else it stays. Words of its letters
+    alone may be garbled too: those between two garbled words are decoded if the chain can have made every one of them.
+    Texts are handled whole.
     """
-    import re
-
     token, odd, own = re.compile("[0-9A-Za-z\x80-\U0010ffff]+"), re.compile(f"[^\x00-\x7f{OWN}]"), re.compile(f"[0-9A-Za-z{OWN}„“‚‘–…§°]+")
 
+    def decode(t: str, tried: list[str]) -> str | None:
+        return next((w for chain in tried if (w := ungarble(t, chain)) and own.fullmatch(w)), None)
+
+    def restore(text: str, words: list) -> tuple[str, int, int]:
+        known, tried = {w["token"]: w["original"] for w in words}, sorted({w["chain"] for w in words})
+        found = [m for m in token.finditer(text) if not m.group().isascii()]
+        put: list[str | None] = [None] * len(found)
+        before, left = None, 0
+        for i, m in enumerate(found):
+            t = m.group()
+            if t not in known and (len(t) < 2 or not odd.search(t)):
+                continue
+            put[i] = known.get(t) or decode(t, tried)
+            left += t in known and put[i] is None
+            if put[i] and before is not None:
+                between = [decode(found[k].group(), tried) for k in range(before + 1, i)]
+                if all(between):
+                    put[before + 1 : i] = between
+            if put[i]:
+                before = i
+        out, at = [], 0
+        for m, w in zip(found, put):
+            if w is not None:
+                out += [text[at : m.start()], w]
+                at = m.end()
+        return "".join([*out, text[at:]]), sum(w is not None for w in put), left
+
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            out = []
-            for text, words in zip(pdf["text"], pdf["words"]):
-                known = {w["token"]: w["original"] for w in words}
-                tried = sorted({w["chain"] for w in words})
-                done = [0, 0]
-
-                def put(m: re.Match) -> str:
-                    t = m.group()
-                    if t in known:
-                        done[known[t] is None] += 1
-                        return t if known[t] is None else known[t]
-                    if len(t) > 1 and odd.search(t):
-                        for chain in tried:
-                            if (w := ungarble(t, chain)) and own.fullmatch(w):
-                                done[0] += 1
-                                return w
-                    return t
-
-                out.append((token.sub(put, text), *done))
+            out = [restore(text, words) for text, words in zip(pdf["text"], pdf["words"])]
             yield pd.concat([pdf.drop(columns="words"), pd.DataFrame(out, columns=["restored", "replaced", "left"], index=pdf.index)], axis=1)
 
+    rows = rows.select("table_name", "row_id", "text").filter("row_id is not null")
     found = stage(garbled_rows(rows))
     joined = rows.join(sized_broadcast(found), ["table_name", "row_id"])
     return joined.select("table_name", "row_id", "text", "words").mapInPandas(batches, "table_name string, row_id long, text string, restored string, replaced int, left int")

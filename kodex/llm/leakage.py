@@ -19,7 +19,7 @@ K = 8
 
 
 def fingerprints(texts: DataFrame, key: str, text: str, run: int = RUN_WORDS, k: int = K) -> DataFrame:
-    """(key, pos, h): the winnowed k-grams of each text; null texts and texts shorter than `run` words give none."""
+    """(key, pos, h): the winnowed k-grams of each text; null keys, null texts and texts shorter than `run` words give none."""
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -30,7 +30,7 @@ def fingerprints(texts: DataFrame, key: str, text: str, run: int = RUN_WORDS, k:
                 of = np.searchsorted(bounds, at, "right") - 1
                 yield pd.DataFrame({"_key": keys[a:b][of], "pos": (at - bounds[of]).astype(np.int32), "h": g.view(np.int64)})
 
-    rows = texts.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    rows = texts.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     return rows.mapInPandas(batches, f"_key {dict(texts.dtypes)[key]}, pos int, h long").withColumnRenamed("_key", key)
 
 
@@ -61,7 +61,7 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN_WORDS, k: int =
 
     Winnowing keeps a fingerprint of every shared run of `run` words, so none is missed. The items' fingerprints are
     broadcast if they are few, else joined by a shuffle; a hit is then extended word by word. Repeated texts each count;
-    null texts never match.
+    null texts and rows without an id never match. Other columns are not looked at.
     """
     tests = stage(fingerprints(items, "item_id", "text", run, k).withColumnRenamed("pos", "item_pos"))
     found = fingerprints(documents, "doc_id", "text", run, k).join(sized_broadcast(tests), "h")

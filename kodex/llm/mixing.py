@@ -24,14 +24,14 @@ def sized_texts(documents: DataFrame, sources: DataFrame, tokenizer: str = TOKEN
     """(h, n_tokens, members array<struct<source, doc_id>>, pattern): one row per distinct text of the given sources.
 
     Copies of a text under several sources make its membership pattern; in each source its least doc_id stands for it.
-    Null and empty texts have no tokens and are left out.
+    Null and empty texts have no tokens and are left out, as are rows without an id or source.
     """
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "h": pdf["h"], "n_tokens": count(pdf["text"].tolist(), tokenizer, folder)})
 
-    rows = documents.join(F.broadcast(sources.select("source").distinct()), "source").filter(F.length("text") > 0)
+    rows = documents.join(F.broadcast(sources.select("source").distinct()), "source").filter(F.length("text") > 0).filter("doc_id is not null")
     # the text itself isn't shuffled: two independent 64-bit hashes stand for it
     rows = rows.select("doc_id", "source", F.concat_ws("-", F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).alias("h"), "text")
     rows = rows.mapInPandas(batches, "doc_id long, source string, h string, n_tokens long")

@@ -79,11 +79,12 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP, tokenizer: str =
 def pieces(documents: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, tokenizer: str = BYTES, folder: str = FOLDER, oversized_only: bool = False, with_text: bool = True) -> DataFrame:
     """(key, piece_no, char_start, char_end, n_tokens[, piece]); pieces of a text are numbered from 0.
 
-    A text within the limit is one piece (none with oversized_only); an empty or null text gives none. Sizes are counted in
+    A text within the limit is one piece (none with oversized_only); an empty or null text, or a
+    row without a key, gives none. Sizes are counted in
     the tokens of the whole text. Map-only: no shuffle, one row at a time, whole texts.
     """
     schema = f"{key} {dict(documents.dtypes)[key]}, piece_no int, char_start int, char_end int, n_tokens int" + ", piece string" * with_text
-    rows = documents.select(key, F.col(text).alias("_text"))
+    rows = documents.filter(F.col(key).isNotNull()).select(key, F.col(text).alias("_text"))
     # no byte-level tokenizer has more tokens than the text has bytes
     rows = rows.filter(F.octet_length("_text") > (limit if oversized_only else 0))
 
