@@ -53,7 +53,7 @@ def dump_records(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     pick = lambda c: F.coalesce(F.col(c), F.col(f"provision.{c}"))
     rows = raw.select(F.trim(pick("act_no")).alias("act_no"), section_form(pick("section")).alias("section"), subsection_form(pick("subsec")).alias("subsec"), "body", F.col("valid_from").try_cast("date").alias("valid_from"), F.col("valid_to").try_cast("date").alias("valid_to"), F.nullif("derogated_by", F.lit("")).alias("derogated_by"), (F.col("valid_to").isNotNull() & F.col("valid_to").try_cast("date").isNull()).alias("_bad_end"), F.col("format").alias("_format"))
     missing = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    reason = F.when(F.col("_format").isNotNull(), "foreign format").when(missing("act_no"), "no act").when(~F.col("act_no").rlike(r"^\d+/\d{4}$"), "no act number").when(missing("section"), "no section").when(missing("body"), "no body").when(F.col("valid_from").isNull(), "no valid_from").when("_bad_end", "valid_to is no day")
+    reason = F.when(F.col("_format").isNotNull(), "foreign format").when(missing("act_no"), "no act").when(~F.col("act_no").rlike(r"^\d+/\d{4}$"), "no act number").when(missing("section"), "no section").when(missing("body"), "no body").when(F.col("valid_from").isNull(), "no valid_from").when(F.col("_bad_end"), "valid_to is no day")
     rows = rows.withColumn("reason", reason)
     kept = ["act_no", "section", "subsec", "body", "valid_from", "valid_to", "derogated_by"]
     return rows.filter("reason is null").select(*kept), rows.filter("reason is not null").select(*kept, "reason")
