@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -77,8 +77,8 @@ def sentences(text: Column) -> Column:
 
 def contains_any(text: Column, phrases: list[str]) -> Column:
     """Whether the squeezed, lower-case text contains one of the phrases."""
-    folded = alias_form(text)
-    return reduce(lambda a, b: a | b, [folded.contains(p) for p in phrases])
+    # one alternation, so that the text is folded and read once
+    return alias_form(text).rlike("|".join(re.escape(p) for p in phrases))
 
 
 def first_phrase(text: Column, phrases: list[str]) -> Column:
@@ -93,6 +93,12 @@ def is_verbatim(span: Column, context: Column) -> Column:
     return F.coalesce((s != "") & F.contains(squeeze(context), s), F.lit(False))
 
 
+def occurrences(text: Column, needle: Column) -> Column:
+    """How often the needle occurs in the text, white space squeezed and case disregarded; 0 for a blank needle."""
+    h, n = alias_form(text), alias_form(needle)
+    return F.when(F.length(n) > 0, ((F.length(h) - F.length(F.replace(h, n, F.lit("")))) / F.length(n)).cast("int")).otherwise(0)
+
+
 def citation_sentence(paragraph: Column, citation: Column) -> Column:
     """The first sentence of a paragraph that holds the citation; null if none does."""
     hit = F.filter(sentences(paragraph), lambda s: F.contains(alias_form(s["sentence"]), alias_form(citation)))
@@ -104,7 +110,8 @@ def marked_sentence(text: Column, phrases: list[str], also: Column | None = None
     hit = F.filter(sentences(text), lambda s: contains_any(s["sentence"], phrases))
     if also is not None:
         hit = F.filter(hit, lambda s: F.exists(also, lambda x: (x != "") & F.contains(alias_form(s["sentence"]), x)))
-    return F.get(hit, F.lit(0))["sentence"]
+    # a text without any of the phrases isn't split
+    return F.when(contains_any(text, phrases), F.get(hit, F.lit(0))["sentence"])
 
 
 def truncated(text: Column, limit: int = 120) -> Column:

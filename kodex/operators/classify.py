@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kodex.functions.text import alias_form, citation_sentence, contains_any, is_verbatim, marked_sentence, squeeze, truncated
+from kodex.functions.text import alias_form, citation_sentence, is_verbatim, marked_sentence, squeeze, truncated
 from kodex.patterns import DEPARTURE, NARROWING, PARTY, QUASHING
 from kodex.schema import MODEL_LABELS
 
@@ -35,9 +35,7 @@ def route(edges: DataFrame) -> DataFrame:
     around = F.array_join("context", "\n\n")
     rows = edges.withColumn("_q", quashed_sentence(F.col("verdict_text"), F.col("cited_names"), F.col("cited_date"), F.col("citing_date")))
     rows = rows.withColumn("_m", submitted_sentence(here, F.col("raw_text"))).withColumn("_c", citation_sentence(here, F.col("raw_text")))
-    # a phrase in a sentence is a phrase in the text, and the cheap test comes first
-    departs = contains_any(around, DEPARTURE) & marked_sentence(around, DEPARTURE).isNotNull()
-    narrows = contains_any(around, NARROWING) & marked_sentence(around, NARROWING).isNotNull()
+    departs, narrows = marked_sentence(around, DEPARTURE).isNotNull(), marked_sentence(around, NARROWING).isNotNull()
     why = (
         F.when(F.col("_q").isNotNull(), "quashed").when(F.col("_m").isNotNull(), "party_submission").when(F.col("citing_panel").isin(DEPARTURE_PANELS), "panel_type")
         .when(departs, "departure_marker").when(narrows, "narrowing_marker").when(F.col("_c").isNull(), "low_confidence").otherwise("triage")
@@ -54,18 +52,21 @@ def route(edges: DataFrame) -> DataFrame:
     )
 
 
-REPLY = "label string, confidence string, evidence_span string, reasoning string"
+REPLY = "label string, verdict string, material string, confidence string, evidence_span string, reasoning string"
+# The verdicts on whether a decision carries a proposition, and on whether a rewording matters.
+PROPOSITION = ["SUPPORTS", "OVERBROAD", "UNRELATED", "CONTRADICTS"]
+MATERIAL = ["true", "false"]
 
 
-def violation(reply: Column, context: Column) -> Column:
-    """What is wrong with a model's JSON reply, null if nothing: label, confidence, span in this order."""
+def violation(reply: Column, context: Column, field: str = "label", allowed: list[str] = MODEL_LABELS) -> Column:
+    """What is wrong with a model's JSON reply, null if nothing: its `field`, confidence, span in this order."""
     r = F.from_json(reply, REPLY)
     raw = F.get_json_object(reply, "$.confidence")
     # a number isn't quoted in the JSON text, a truth value isn't a number
     numeric = raw.try_cast("double").isNotNull() & reply.rlike(r'"confidence"\s*:\s*-?[0-9]')
     n = raw.try_cast("double")
     return (
-        F.when(r.isNull() | r["label"].isNull() | ~r["label"].isin(MODEL_LABELS), F.concat(F.lit("label: "), F.coalesce(r["label"], F.lit("none"))))
+        F.when(r.isNull() | r[field].isNull() | ~r[field].isin(allowed), F.concat(F.lit(f"{field}: "), F.coalesce(r[field], F.lit("none"))))
         .when(~F.coalesce(numeric, F.lit(False)), "confidence: not a number")
         .when((n < 0) | (n > 1), "confidence: outside 0 to 1")
         .when(F.coalesce(F.trim(r["evidence_span"]), F.lit("")) == "", "evidence_span: empty")
@@ -91,6 +92,18 @@ def judged(edges: DataFrame, replies: DataFrame) -> DataFrame:
     )
 
 
+def judged_pairs(pairs: DataFrame, replies: DataFrame) -> DataFrame:
+    """(from_version_id, to_version_id, material, confidence, evidence_span) of the pairs with an acceptable reply of at most two.
+
+    A pair without one gets no row: a rewording that wasn't judged must not count. pairs: the ids and context_text;
+    replies: the ids, attempt, reply. Each pair of versions is judged once, however many decisions rely on it.
+    """
+    ids = ["from_version_id", "to_version_id"]
+    good = replies.filter("attempt <= 2").join(pairs.select(*ids, "context_text").distinct(), ids).filter(violation(F.col("reply"), F.col("context_text"), "material", MATERIAL).isNull())
+    first = good.groupBy(*ids).agg(F.min_by("reply", "attempt").alias("reply")).withColumn("_r", F.from_json("reply", REPLY))
+    return first.select(*ids, (F.col("_r.material") == "true").alias("material"), F.round(F.col("_r.confidence").cast("double"), 2).cast("decimal(3,2)").alias("confidence"), squeeze(F.col("_r.evidence_span")).alias("evidence_span"))
+
+
 def treatment_key(citing: Column, cited: Column, idx: Column, version: str) -> Column:
     return F.concat_ws("|", F.lit("treatment"), citing, cited, F.coalesce(idx.cast("string"), F.lit("-")), F.lit(version))
 

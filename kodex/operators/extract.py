@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kodex.functions.regex import find_all
 from kodex.functions.text import alias_form, contains_any, sentences
 from kodex.patterns import PATTERNS, TRIGGERS, Pattern
-from kodex.session import hot_keys, salted_join
+from kodex.session import salted_join
 
 _SPAN = "array<struct<pattern_ord:int,kind:string,raw:string,start:int,end:int,groups:map<string,string>>>"
 
@@ -130,6 +130,7 @@ def preceding_context(paragraphs: DataFrame, back: int = 3) -> DataFrame:
     return keyed.select("doc", "paragraph_idx", F.coalesce(F.array_join(F.col("_c.body"), "\n\n"), F.lit("")).alias("context"))
 
 
-def popular(refs: DataFrame, key: str) -> DataFrame:
-    """Keys that hold more than HOT_SHARE of the rows."""
-    return hot_keys(refs, [key])
+def allowed_answers(answers: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Distinct (doc, sentence_id, ecli) of a model's answers that name a decision which the same document cites anyway."""
+    known = resolved.filter("resolved_ecli is not null").select("doc", F.col("resolved_ecli").alias("ecli")).distinct()
+    return answers.select("doc", "sentence_id", "ecli").distinct().join(known, ["doc", "ecli"], "left_semi")

@@ -140,17 +140,24 @@ def judged_versions(versions: DataFrame, judgements: DataFrame) -> DataFrame:
     return versions.join(named, "id", "left_semi")
 
 
+#: Paragraphs of a decision that one task handles at a time.
+CUT = 512
+
+
 def context_windows(paragraphs: DataFrame, radius: int = 2) -> DataFrame:
     """(ecli, idx, context, focus): each paragraph with `radius` real ones on either side, whatever gaps idx has.
 
-    Every paragraph is numbered within its decision and sent to its neighbours' positions. The numbering runs over cuts of
-    the decision that are counted first, so that a decision with a large part of all rows is no single task.
+    Paragraphs are numbered within their decision over cuts that are counted first; each run of CUT numbers then gets the
+    `radius` paragraphs before and after it as well, so that a decision with a large part of all rows is no single task and
+    hardly any text is sent twice.
     """
-    cut = 512
-    rows = paragraphs.select("ecli", "idx", "body", F.floor(F.col("idx") / cut).alias("_c"))
+    rows = paragraphs.select("ecli", "idx", "body", F.floor(F.col("idx") / CUT).alias("_c"))
     sizes = rows.groupBy("ecli", "_c").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("ecli").orderBy("_c")) - F.col("_n")).drop("_n")
-    numbered = rows.withColumn("_i", F.row_number().over(Window.partitionBy("ecli", "_c").orderBy("idx"))).join(before, ["ecli", "_c"]).withColumn("_i", F.col("_i") + F.col("_before"))
-    sent = numbered.select("ecli", "idx", F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("_k"), "_i", "body").withColumn("_at", F.col("_i") + F.col("_k"))
-    windows = sent.groupBy("ecli", "_at").agg(F.array_sort(F.collect_list(F.struct((-F.col("_k")).alias("k"), "body"))).alias("_w"), F.max(F.when(F.col("_k") == 0, F.col("idx"))).alias("idx"))
-    return windows.filter("idx is not null").select("ecli", "idx", F.col("_w.body").alias("context"), F.aggregate("_w", F.lit(0), lambda a, x: a + (x["k"] < 0).cast("int")).alias("focus"))
+    numbered = rows.withColumn("_i", F.row_number().over(Window.partitionBy("ecli", "_c").orderBy("idx")) - 1).join(before, ["ecli", "_c"]).withColumn("_i", F.col("_i") + F.col("_before"))
+    numbered = numbered.withColumn("_own", F.floor(F.col("_i") / CUT)).withColumn("_in", F.col("_i") % CUT)
+    runs = F.array(F.col("_own"), F.when(F.col("_in") < radius, F.col("_own") - 1), F.when(F.col("_in") >= CUT - radius, F.col("_own") + 1))
+    sent = numbered.select("ecli", "idx", "body", "_i", "_own", F.explode(F.array_compact(runs)).alias("_run"))
+    order = Window.partitionBy("ecli", "_run").orderBy("_i")
+    near = sent.withColumn("context", F.collect_list("body").over(order.rowsBetween(-radius, radius))).withColumn("focus", F.least(F.row_number().over(order) - 1, F.lit(radius)))
+    return near.filter("_run = _own").select("ecli", "idx", "context", "focus")

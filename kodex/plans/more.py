@@ -241,6 +241,106 @@ def f16_same_sign(spark, d):
     return decisions(spark, d).filter("case_no is not null").select("ecli", legal.same_sign(F.col("case_no"), other).alias("same"))
 
 
+@query(sql("cit", "select id from cit where id % 7 = 0"))
+def f34_good_replies(spark, d):
+    return f34_gate(spark, d).filter("violation is null").select("id")
+
+
+@query("""with p as (select a.id from_version_id, b.id to_version_id, a.body from provision_version a join provision_version b on a.provision_id = b.provision_id and a.valid_from < b.valid_from and a.body <> b.body)
+select from_version_id, to_version_id, (from_version_id % 2 = 0) material, cast(0.9 as decimal(3,2)) confidence, left(body, 3) evidence_span from p where (from_version_id + to_version_id) % 4 <> 0 and length(trim(left(body, 3))) = 3 and not contains(left(body, 3), '"')""")
+def c14_judged_rewordings(spark, d):
+    """Pairs of wordings judged by recorded replies: the first is bad for each third pair, both are for each fourth."""
+    v = table(spark, d, "provision_version").select("provision_id", "id", "valid_from", "body")
+    a, b = v.select("provision_id", F.col("id").alias("from_version_id"), F.col("valid_from").alias("_f"), "body"), v.select("provision_id", F.col("id").alias("to_version_id"), F.col("valid_from").alias("_t"), F.col("body").alias("_b"))
+    pairs = a.join(b, "provision_id").filter("_f < _t and body <> _b").select("from_version_id", "to_version_id", F.col("body").alias("context_text"))
+    s = F.col("from_version_id") + F.col("to_version_id")
+    good = F.concat(F.lit('{"material": '), (F.col("from_version_id") % 2 == 0).cast("string"), F.lit(', "confidence": 0.9, "evidence_span": "'), F.left("context_text", F.lit(3)), F.lit('"}'))
+    bad = F.lit('{"material": "perhaps", "confidence": 0.9, "evidence_span": "x"}')
+    tries = F.when(s % 4 == 0, F.array(bad, bad)).when(s % 3 == 0, F.array(bad, good)).otherwise(F.array(good))
+    replies = pairs.select("from_version_id", "to_version_id", F.posexplode(tries).alias("_p", "reply")).select("from_version_id", "to_version_id", (F.col("_p") + 1).alias("attempt"), "reply")
+    # spans that aren't three plain characters don't pass the gate or aren't JSON
+    return classify.judged_pairs(pairs, replies).filter("length(evidence_span) = 3")
+
+
+@query(sql("cit", """select id, case id % 3 when 1 then 'verdict: MAYBE' when 2 then 'evidence_span: not in the context: never said' end violation from cit"""))
+def c15_proposition_gate(spark, d):
+    """Recorded verdicts on a proposition through the same gate."""
+    k = F.col("id") % 3
+    said = F.replace(F.col("raw_text"), F.lit('"'), F.lit(""))
+    reply = F.concat(F.lit('{"verdict": "'), F.when(k == 1, "MAYBE").otherwise("SUPPORTS"), F.lit('", "confidence": 1, "evidence_span": "'), F.when(k == 2, F.lit("never said")).otherwise(said), F.lit('"}'))
+    return citations(spark, d).select("id", classify.violation(reply, said, "verdict", classify.PROPOSITION).alias("violation"))
+
+
+@query(sql("cit", """select distinct citing_ecli doc, id sentence_id, case when id % 3 = 0 then citing_ecli else cited_ecli end ecli from cit c where cited_ecli is not null
+and exists (select 1 from cit x where x.citing_ecli = c.citing_ecli and x.cited_ecli = case when c.id % 3 = 0 then c.citing_ecli else c.cited_ecli end)"""))
+def c7_allowed_answers(spark, d):
+    """Answers to back references that name a decision which the document cites; each third answer names the document itself."""
+    c = citations(spark, d).filter("cited_ecli is not null")
+    answers = c.select(F.col("citing_ecli").alias("doc"), F.col("id").alias("sentence_id"), F.when(F.col("id") % 3 == 0, F.col("citing_ecli")).otherwise(F.col("cited_ecli")).alias("ecli"))
+    return extract.allowed_answers(answers, c.select(F.col("citing_ecli").alias("doc"), F.col("cited_ecli").alias("resolved_ecli"))).select("doc", "sentence_id", "ecli")
+
+
+@query(sql("dec cit trt latest authority labelled", "select cited_ecli, citing_ecli, evidence_span, min(paragraph_idx) first_paragraph from labelled group by all"))
+def j20_reason_paragraphs(spark, d):
+    """The first paragraph behind each reason, carried along with the evidence instead of looked up again."""
+    t = graph.treatments_for(citations(spark, d), treatments(spark, d), decisions(spark, d), schema.authority(spark))
+    return t.groupBy("cited_ecli", "citing_ecli", "evidence_span").agg(F.min("paragraph_idx").alias("first_paragraph"))
+
+
+@query(sql("dec cit then_", "select distinct provision_id, id version_id from then_ where id is not null"))
+def c24_wanted_wordings(spark, d):
+    """The distinct wordings in force on some citing decision's day."""
+    return graph_plans.j3_version_in_force(spark, d).filter("v0_id is not null").select("provision_id", F.col("v0_id").alias("version_id")).distinct()
+
+
+@query(f"""with al as (select distinct {_FORM.format('alias')} form from decision_alias), m as (select distinct {_FORM.format("regexp_replace(raw_text, '^sp\\. ?zn\\. ?', '')")} form from reference_span where kind = 'case_no')
+select form from m where form not in (select form from al where form is not null)""")
+def c25_unknown_cases(spark, d):
+    """Case numbers that are cited and no alias: what is left to look for."""
+    cited = table(spark, d, "reference_span").filter("kind = 'case_no'").select(tx.alias_form(F.regexp_replace("raw_text", r"^sp\. ?zn\. ?", "")).alias("form")).distinct()
+    return cited.join(table(spark, d, "decision_alias").select(tx.alias_form(F.col("alias")).alias("form")), "form", "left_anti")
+
+
+_H, _N = _FORM.format("p.body"), _FORM.format("r.raw_text")
+
+
+@query(f"select ref_id, para_id, case when length(n) > 0 then cast((length(h) - length(replace(h, n, ''))) / length(n) as int) else 0 end times from (select r.ref_id, p.para_id, {_H} h, {_N} n from reference_span r join decision_paragraph p on p.ecli = r.ecli and p.idx = r.paragraph_idx)")
+def f10_occurrences(spark, d):
+    """How often each citation's text occurs in its paragraph."""
+    p = table(spark, d, "decision_paragraph").select("ecli", F.col("idx").alias("paragraph_idx"), "para_id", "body")
+    rows = table(spark, d, "reference_span").select("ref_id", "ecli", "paragraph_idx", "raw_text").join(p, ["ecli", "paragraph_idx"])
+    return rows.select("ref_id", "para_id", tx.occurrences(F.col("body"), F.col("raw_text")).alias("times"))
+
+
+#: What the first reason in the order of the table is called.
+PHRASES = {1: "zrušeno", 2: "překonáno", 3: "předpis zrušen", 4: "rozpor", 5: "zúženo", 6: "předpis změněn", 7: "k posouzení", 8: "opírá se o oslabené"}
+
+
+@query(sql(graph_plans._STANDING, "select ecli, case min(row_ord) " + " ".join(f"when {k} then '{v}'" for k, v in PHRASES.items()) + " end phrase from every group by ecli"))
+def f24_verdict_phrases(spark, d):
+    names = F.create_map(*[F.lit(x) for kv in PHRASES.items() for x in kv])
+    return graph_plans.c19_reasons(spark, d).groupBy("ecli").agg(F.min("row_ord").alias("_o")).select("ecli", F.try_element_at(names, F.col("_o")).alias("phrase"))
+
+
+@query(sql("cit", "select distinct cited_provision from cit where cited_provision is not null except select provision_id from provision_version"))
+def u5_provisions_without_version(spark, d):
+    return citations(spark, d).filter("cited_provision is not null").select("cited_provision").subtract(table(spark, d, "provision_version").select(F.col("provision_id").alias("cited_provision")))
+
+
+@query("""with p as (select ecli, idx, arg_min(body, para_id) body from decision_paragraph group by 1, 2)
+select ecli, string_agg(body, ' ' order by idx) heading from (select *, row_number() over (partition by ecli order by idx) r from p) where r <= 4 group by ecli""")
+def s20_headings(spark, d):
+    """The heading of each decision: its first four paragraphs."""
+    from kodex.sources import pages
+
+    return pages.headings(table(spark, d, "decision_paragraph").groupBy("ecli", "idx").agg(F.min_by("body", "para_id").alias("body"))).select("ecli", "heading")
+
+
+@query("select count(distinct ecli) decisions, count(*) as refs, count(resolved_ecli) decision_hits, count(resolved_provision_id) provision_hits from reference_span")
+def a12_extraction_totals(spark, d):
+    return table(spark, d, "reference_span").agg(F.count_distinct("ecli").alias("decisions"), F.count("*").alias("refs"), F.count("resolved_ecli").alias("decision_hits"), F.count("resolved_provision_id").alias("provision_hits"))
+
+
 # --- streams
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kodex.functions import legal, text
 from kodex.operators import classify, extract, graph, merge
 from kodex.plans.derived import citations, decisions, sql
-from kodex.session import stage
+from kodex.session import spread, stage
 from kodex.sources import pages
 from kodex.sources.tables import table
 
@@ -242,12 +242,12 @@ def _edges(spark, d):
 @query()
 def c11_routes(spark, d):
     """Every edge with its cheap label, or why it needs a closer look."""
-    return classify.route(_edges(spark, d)).select("id", "route", "reason", "label", "confidence", "evidence_span")
+    return classify.route(spread(_edges(spark, d), "id")).select("id", "route", "reason", "label", "confidence", "evidence_span")
 
 
 @query()
 def a13_route_shares(spark, d):
-    return classify.route_shares(classify.route(_edges(spark, d)))
+    return classify.route_shares(classify.route(spread(_edges(spark, d), "id")))
 
 
 @query()

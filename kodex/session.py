@@ -77,6 +77,18 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return parts.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def lookup(left: DataFrame, staged: DataFrame, keys: list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join a skewed left side with a staged table: by broadcast if that has at most `rows` rows, else salted."""
+    if staged.limit(rows + 1).count() <= rows:
+        return left.join(F.broadcast(staged), keys, how)
+    return salted_join(left, staged, keys, how)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by unique keys over as many tasks as shuffles have, for costly work after a join on skewed ones."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kodex.functions.legal import czech_date
 from kodex.functions.text import despaced, squeeze, unaccented
 
 # The named entities that court pages use.
@@ -63,3 +64,15 @@ def bold_verdict(html: Column) -> Column:
     inner = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<b>(.*?)</b>"), F.lit(1)), plain_lines)
     body = F.transform(inner, lambda lines: F.filter(lines, lambda x: unaccented(x) != "vyrok"))
     return F.array_join(F.get(F.filter(body, lambda x: F.size(x) > 0), F.lit(0)), "\n")
+
+
+def headings(rows: DataFrame, first: int = 4) -> DataFrame:
+    """(ecli, heading, dated_on): the first paragraphs of each decision joined, and the last date that a paragraph gives.
+
+    The rank filter becomes a limit per group that is applied before the shuffle, so a long decision sends few rows.
+    """
+    w = Window.partitionBy("ecli").orderBy("idx")
+    ranked = rows.select("ecli", "idx", "body").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= first)
+    head = ranked.groupBy("ecli").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "body"))), lambda x: x["body"]), " ").alias("heading"))
+    dated = rows.select("ecli", "idx", czech_date(F.col("body")).alias("_d")).filter("_d is not null").groupBy("ecli").agg(F.max_by("_d", "idx").alias("dated_on"))
+    return head.join(dated, "ecli", "left")

@@ -111,6 +111,14 @@ def test_upserts(spark):
     assert merge.insert_ignore(known, known, ["act_no", "section", "subsec"], ["id"]).count() == 1
 
 
+def test_windows_across_runs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "CUT", 3)
+    idx = [1, 2, 5, 6, 7, 8, 20, 21, 22, 23, 24]
+    got = {r.idx: (r.context, r.focus) for r in graph.context_windows(spark.createDataFrame([("a", i, str(i)) for i in idx], "ecli string, idx int, body string")).collect()}
+    assert got == {i: ([str(x) for x in idx[max(0, n - 2) : n + 3]], min(n, 2)) for n, i in enumerate(idx)}
+    assert graph.context_windows(spark.createDataFrame([], "ecli string, idx int, body string")).count() == 0
+
+
 def test_overlaps_and_windows(spark):
     v = spark.createDataFrame([(1, 1, date(2000, 1, 1), None), (1, 2, date(2019, 1, 1), date(2019, 2, 1)), (1, 3, date(2019, 2, 1), None), (2, 4, date(2000, 1, 1), date(1999, 1, 1)), (2, 5, date(2000, 1, 2), None), (3, 6, None, None)], "provision_id long, id long, valid_from date, valid_to date")
     assert sorted((r.earlier_id, r.later_id) for r in graph.overlaps(v, 100).collect()) == [(1, 2), (1, 3), (2, 3)]
