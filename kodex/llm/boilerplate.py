@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kodex.llm.words import M1, M2, code_points, mix, powers, slices
-from kodex.session import salted_join, sized_broadcast, stage
+from kodex.session import lookup, stage
 
 #: A line recurs if so many decisions of its court, and this share of them, hold it.
 LEAST_DOCUMENTS, LEAST_SHARE = 4, 0.05
@@ -103,12 +103,13 @@ def recurring_lines(paragraphs: DataFrame, decisions: DataFrame, least: int = LE
     key = F.struct("para_id", "doc")
     lines = stage(chunked_lines(rows.select(key.alias("_key"), "body"), "_key", "body", mean=mean).select("_key.*", "line_no", "line_hash", "chunks"))
     seen = lines.select("doc", F.explode("chunks").alias("chunk")).distinct()
-    hot = recurring(salted_join(seen, numbered, ["doc"]), "court_code", "chunk", totals, least, share)
+    hot = recurring(lookup(seen, numbered, ["doc"]), "court_code", "chunk", totals, least, share)
     hot = stage(hot.select("court_code", "chunk"))
-    at_court = lines.select("para_id", "doc", "line_no", "line_hash", F.col("chunks")[0].alias("chunk"), "chunks").join(sized_broadcast(numbered), "doc")
-    candidates = at_court.join(sized_broadcast(hot), ["court_code", "chunk"], "left_semi")
-    rest = candidates.select("court_code", "line_hash", F.explode(F.array_distinct("chunks")).alias("chunk")).distinct().join(sized_broadcast(hot), ["court_code", "chunk"], "left_anti")
+    at_court = lines.select("para_id", "doc", "line_no", "line_hash", F.col("chunks")[0].alias("chunk"), "chunks")
+    candidates = lookup(lookup(at_court, numbered, ["doc"]), hot, ["court_code", "chunk"], "left_semi")
+    rest = candidates.select("court_code", "line_hash", F.explode(F.array_distinct("chunks")).alias("chunk")).distinct()
+    rest = lookup(rest, hot, ["court_code", "chunk"], "left_anti")
     dead = stage(rest.select("court_code", "line_hash").distinct())
-    alive = stage(candidates.drop("chunk", "chunks").join(sized_broadcast(dead), ["court_code", "line_hash"], "left_anti"))
+    alive = stage(lookup(candidates.drop("chunk", "chunks"), dead, ["court_code", "line_hash"], "left_anti"))
     found = stage(recurring(alive.select("court_code", "line_hash", "doc").distinct(), "court_code", "line_hash", totals, least, share))
-    return alive.join(sized_broadcast(found), ["court_code", "line_hash"]).select("para_id", "line_no", "court_code", "line_hash", "documents")
+    return lookup(alive, found, ["court_code", "line_hash"]).select("para_id", "line_no", "court_code", "line_hash", "documents")
