@@ -45,7 +45,7 @@ def _mapped(ch: str) -> str:
         return str(unicodedata.decimal(ch))
     wide = how.startswith(("<wide>", "<narrow>", "<small>"))
     letter = kind[0] == "L" or kind == "Nl"
-    if wide or letter and how.startswith(("<compat>", "<font>")):
+    if wide or letter and ch != "µ" and how.startswith(("<compat>", "<font>")):
         return unicodedata.normalize("NFKC", ch)
     return ch
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kodex.session import sized_broadcast, stage
+from kodex.session import lookup, sized_broadcast, stage
 
 #: Encodings in which Central European text is stored, and those with which it is read by mistake.
 STORED = ("utf-8", "cp1250", "iso8859_2", "cp852", "mac_latin2")
@@ -187,7 +187,7 @@ def garbled_rows(rows: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     """
     rows = rows.select("table_name", "row_id", "text").filter("row_id is not null")
     words = stage(dictionary(stage(vocabulary(rows if corpus is None else corpus))))
-    hits = suspect_tokens(rows).join(sized_broadcast(words), "token").distinct()
+    hits = lookup(suspect_tokens(rows), words, ["token"]).distinct()
     return hits.groupBy("table_name", "row_id").agg(F.array_sort(F.collect_list(F.struct("token", "original", "chain"))).alias("words"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kodex.llm.words import slices, winnow, word_hashes
-from kodex.session import sized_broadcast, stage
+from kodex.session import lookup, sized_broadcast, stage
 
 #: A shared run of this many words is a leak.
 RUN_WORDS = 16
@@ -64,7 +64,7 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN_WORDS, k: int =
     null texts and rows without an id never match. Other columns are not looked at.
     """
     tests = stage(fingerprints(items, "item_id", "text", run, k).withColumnRenamed("pos", "item_pos"))
-    found = fingerprints(documents, "doc_id", "text", run, k).join(sized_broadcast(tests), "h")
+    found = lookup(fingerprints(documents, "doc_id", "text", run, k), tests, ["h"])
     hits = stage(found.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct().groupBy("doc_id", "item_id").agg(F.collect_list("diagonal").alias("diagonals")))
     pairs = documents.select("doc_id", F.col("text").alias("_text")).join(sized_broadcast(hits), "doc_id")
     pairs = pairs.join(sized_broadcast(stage(items.select("item_id", F.col("text").alias("_item")))), "item_id")

@@ -96,5 +96,11 @@ hot as (select a.court_code, form from at_court a join total t on t.court_code =
 
 ORACLE = {
     "p3_found": f"with {_LINES} select para_id, line_no from at_court a join hot h on h.court_code = a.court_code and h.form = a.form",
+    "p7_found": r"""
+with d as (select doc_id, list_filter(string_split_regex(lower(strip_accents(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '') w from documents),
+i as (select item_id, list_filter(string_split_regex(lower(strip_accents(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '') w from eval_item),
+dg as (select distinct doc_id, unnest(list_transform(generate_series(1, len(w) - 15), lambda k: array_to_string(w[k:k + 15], ' '))) g from d where len(w) > 15),
+ig as (select distinct item_id, unnest(list_transform(generate_series(1, len(w) - 15), lambda k: array_to_string(w[k:k + 15], ' '))) g from i where len(w) > 15)
+select distinct doc_id, item_id from dg join ig on dg.g = ig.g""",
     "p9_found": "select doc_id from documents where strlen(text) > 2048",
 }

@@ -34,7 +34,13 @@ FOREIGN = ["Łąkowo Średnie »Źródło«", "São Brás a Saint-Ânge", "JOÃO
 ROW = "table_name string, row_id long, text string, token string, words string"
 
 
-def test_garbled_rows_and_restored(spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_garbled_rows_and_restored(spark, monkeypatch, small):
+    if not small:
+        from kodex import session
+
+        monkeypatch.setattr(encoding, "lookup", lambda *a, **k: session.lookup(*a, **k, rows=-1))
+        monkeypatch.setattr(encoding, "sized_broadcast", lambda df: df)
     rng = random.Random(1)
     sentence = lambda: " ".join(rng.choice(CLEAN) for _ in range(8))
     rows, bad, restorable = [], {}, {}
