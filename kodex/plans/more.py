@@ -36,6 +36,20 @@ def query(oracle: str | None = None):
 # --- documents
 
 
+_EVERY = """everyone as (select doc, paragraph_idx, span_start, raw_text, resolved_ecli ecli, null::bigint provision_id, 'not in corpus' reason from cases
+  union all select doc, paragraph_idx, span_start, raw_text, null, resolved_provision_id, case when act_no is null then 'not resolved' else 'not in corpus' end from provs),
+found as (select doc, ecli, provision_id, min((paragraph_idx, span_start)) f, arg_min(raw_text, (paragraph_idx, span_start)) raw_text, count(*) mentions from everyone where ecli is not null or provision_id is not null group by 1, 2, 3),
+sources as (select doc doc_id, row_number() over (partition by doc order by f)::int ord, ecli, provision_id, raw_text, mentions from found)"""
+_LIGHTS = """lights as (select d.ecli, case when min(row_ord) <= 3 then 'RED' when min(row_ord) is not null then 'AMBER' else 'GREEN' end light from dec d left join every e on e.ecli = d.ecli group by d.ecli),
+provision_lights as (select p.id provision_id, case when g.derogated_by is null then 'GREEN' else 'RED' end light from provision p left join derog g on g.provision_id = p.id),
+checked as (select s.*, coalesce(l.light, p.light) light from sources s left join lights l on l.ecli = s.ecli left join provision_lights p on p.provision_id = s.provision_id)"""
+_DOCUMENTS = f"select doc_id doc, unnest(c) body, generate_subscripts(c, 1)::int paragraph_idx from ({text_plans.ORACLE['f6_document_paragraphs'].split('), q as (')[0].removeprefix('with p as (')}) x, lateral (select case when len(a) > 1 or len(b) <= len(a) then a else b end c)"
+
+
+def _check_sql(paragraphs: str, select: str) -> str:
+    return sql(graph_plans._STANDING, "").rstrip() + ",\n" + ",\n".join([text_plans._refs_sql(paragraphs), text_plans._RESOLVED, _EVERY, _LIGHTS]) + "\n" + select
+
+
 def _sources(spark, d, rows):
     return document.cited_targets(rows, merge.first_writer(table(spark, d, "decision_alias")), table(spark, d, "provision"))
 
@@ -48,24 +62,24 @@ def _checked(spark, d):
     return document.check(_sources(spark, d, text_plans._paragraphs(spark, d))[0], graph_plans.c20_standing(spark, d), graph_plans.c21_provision_standing(spark, d))
 
 
-@query()
+@query(_check_sql(text_plans._PARA, "select doc_id, ord, ecli, provision_id, raw_text, mentions, light from checked"))
 def c22_decision_check(spark, d):
     """What every decision cites in its text and how that stands."""
     return _checked(spark, d)
 
 
-@query()
+@query(_check_sql(_DOCUMENTS, "select doc_id, ord, ecli, provision_id, raw_text, mentions, light from checked"))
 def c22_document_check(spark, d):
     """What every document of the corpus cites and how it stands."""
     return document.check(_sources(spark, d, _documents(spark, d))[0], graph_plans.c20_standing(spark, d), graph_plans.c21_provision_standing(spark, d))
 
 
-@query()
+@query(f"with {text_plans._refs_sql(_DOCUMENTS)}, {text_plans._RESOLVED}, {_EVERY} select doc doc_id, raw_text, reason, min(paragraph_idx) first_paragraph from everyone where ecli is null and provision_id is null group by 1, 2, 3")
 def c22_document_unresolved(spark, d):
     return _sources(spark, d, _documents(spark, d))[1]
 
 
-@query()
+@query(_check_sql(text_plans._PARA, "select doc_id, ord, raw_text || ': ' || case light when 'RED' then 'nelze použít' when 'AMBER' then 'použít s opatrností' when 'GREEN' then 'bez zjištěných výhrad' else 'neznámé' end || ' (k 30. 6. 2022)' phrase from checked"))
 def f25_spoken_checks(spark, d):
     return document.spoken(_checked(spark, d), AS_OF)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kodex.functions import legal, text
 from kodex.operators import classify, extract, graph, merge
+from kodex.patterns import PATTERNS
 from kodex.plans.derived import citations, decisions, sql
 from kodex.session import spread, stage
 from kodex.sources import pages
@@ -54,7 +55,15 @@ def f4_unaccented(spark, d):
     return table(spark, d, "decision_paragraph").select("para_id", text.unaccented(F.col("body")).alias("folded"))
 
 
-@query()
+def _parts(by: str) -> str:
+    return f"list_filter(list_transform(string_split_regex(text, '{by}'), lambda x: {_SQUEEZE.format('x')}), lambda x: x <> '')"
+
+
+_R = r"(?:\r\n|[\n\x0B\f\r\x{85}\x{2028}\x{2029}])"
+
+
+@query(f"""with p as (select doc_id, {_parts(_R + r"[ \t\x{A0}]*" + _R)} a, {_parts(_R)} b from documents), q as (select doc_id, case when len(a) > 1 or len(b) <= len(a) then a else b end c from p)
+select doc_id, unnest(c) paragraph, generate_subscripts(c, 1)::int idx from q""")
 def f6_document_paragraphs(spark, d):
     """Paragraphs of every document, numbered from 1."""
     return table(spark, d, "documents").select("doc_id", F.posexplode(text.paragraphs(F.col("text"))).alias("p", "paragraph")).select("doc_id", (F.col("p") + 1).alias("idx"), "paragraph")
@@ -137,17 +146,47 @@ def f33_cache_keys(spark, d):
     return citations(spark, d).select("id", classify.treatment_key(F.col("citing_ecli"), F.col("cited_ecli"), F.col("paragraph_idx"), "v1").alias("key"))
 
 
+def _refs_sql(paragraphs: str, name: str = "refs") -> str:
+    """CTEs up to `name`: the catalogue's spans of the rows (doc, paragraph_idx, body) of a SELECT, contained ones dropped."""
+    parts = []
+    for i, p in enumerate(PATTERNS):
+        named = ", ".join(f"nullif(regexp_extract(ms[k], '{p.regex}', {p.groups.index(g) + 1}), '') {g}" if g in p.groups else f"null {g}" for g in GROUPS)
+        parts.append(f"""select doc, paragraph_idx, {i} pattern_ord, '{p.kind}' kind, ms[k] raw, pos, {named} from (
+  select *, (list_sum(list_transform(pieces[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0))::int pos from (
+    select *, unnest(generate_series(1, len(ms))) k from (select doc, paragraph_idx, regexp_extract_all(body, '{p.regex}') ms, string_split_regex(body, '{p.regex}') pieces from para where contains(body, '{p.holds}')) where len(ms) > 0))""")
+    return f"""para as materialized ({paragraphs}),
+spans as materialized ({" union all ".join(parts)}),
+{name} as materialized (select doc, paragraph_idx, pattern_ord, kind, raw raw_text, pos span_start, pos + length(raw)::int span_end, {", ".join(GROUPS)} from spans s where not exists (select 1 from spans o where o.doc = s.doc and o.paragraph_idx = s.paragraph_idx
+  and o.pos <= s.pos and o.pos + length(o.raw) >= s.pos + length(s.raw) and ((o.pos, length(o.raw)) <> (s.pos, length(s.raw)) or o.pattern_ord < s.pattern_ord)))"""
+
+
+GROUPS = sorted({g for p in PATTERNS for g in p.groups})
+_PARA = f"select ecli doc, idx paragraph_idx, {_SQUEEZE.format('arg_min(body, para_id)')} body from decision_paragraph group by ecli, idx"
+_LOWER = "lower(" + _SQUEEZE + ")"
+_RESOLVED = f"""al as (select form, arg_min(ecli, alias_id) ecli from (select *, {_LOWER.format('alias')} form from decision_alias) where form <> '' group by form),
+tried as (select *, unnest(c) x, generate_subscripts(c, 1) o from (select doc, paragraph_idx, span_start, pattern_ord, case kind when 'ref_no' then [coalesce(ref_no || '-' || sheet_no, ref_no)] when 'case_no' then [case_no] when 'ecli' then [raw_text]
+  when 'journal_no' then ['R ' || journal_seq || '/' || journal_year, raw_text] end c from refs where kind <> 'provision')),
+hit as (select doc, paragraph_idx, span_start, pattern_ord, arg_min(al.ecli, o) ecli from tried join al on al.form = {_LOWER.format('x')} group by 1, 2, 3, 4),
+cases as (select r.*, hit.ecli resolved_ecli from refs r left join hit on hit.doc = r.doc and hit.paragraph_idx = r.paragraph_idx and hit.span_start = r.span_start and hit.pattern_ord = r.pattern_ord where kind <> 'provision'),
+carried as (select *, last_value(act_no ignore nulls) over (partition by doc order by paragraph_idx, span_start, span_end rows between unbounded preceding and 1 preceding) before from refs where kind = 'provision'),
+modes as (select distinct on (doc) doc, act_no as mode from (select doc, act_no, count(*) n, min((paragraph_idx, span_start, span_end)) f from carried where act_no is not null group by 1, 2) order by doc, n desc, f),
+acts as (select c.doc, c.paragraph_idx, c.span_start, c.raw_text, coalesce(c.act_no, c.before, m.mode) act_no, c.section, c.subsec,
+  case when c.act_no is not null then 'explicit' when c.before is not null then 'backward-scan' when m.mode is not null then 'document-mode' end basis from carried c left join modes m on m.doc = c.doc),
+provs as (select a.*, p.id resolved_provision_id from acts a left join provision p on p.act_no = a.act_no and p.section = a.section and p.subsec is not distinct from a.subsec)"""
+
+
 def _refs(spark, d):
     return stage(extract.references(_paragraphs(spark, d)))
 
 
-@query()
+@query(f"with {_refs_sql(_PARA)} select doc, paragraph_idx, kind, raw_text, span_start, span_end, concat_ws(';', " + ", ".join(f"'{g}=' || {g}" for g in GROUPS) + ") groups from refs")
 def c1_references(spark, d):
     """Citation spans of every paragraph, contained ones dropped."""
-    return _refs(spark, d).select("doc", "paragraph_idx", "kind", "raw_text", "span_start", "span_end", F.to_json("groups").alias("groups"))
+    groups = F.array_join(F.array_sort(F.transform(F.map_entries("groups"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return _refs(spark, d).select("doc", "paragraph_idx", "kind", "raw_text", "span_start", "span_end", groups.alias("groups"))
 
 
-@query()
+@query(f"with {_refs_sql(_PARA)}, {_RESOLVED} select doc, paragraph_idx, kind, raw_text, span_start, resolved_ecli from cases")
 def c5_resolved_decisions(spark, d):
     """Each citation of a decision with the decision that its first known alias names."""
     refs = _refs(spark, d).filter("kind <> 'provision'")
@@ -155,13 +194,13 @@ def c5_resolved_decisions(spark, d):
     return extract.resolve_decisions(refs, merge.first_writer(table(spark, d, "decision_alias")), keys).select("doc", "paragraph_idx", "kind", "raw_text", "span_start", "resolved_ecli")
 
 
-@query()
+@query(f"with {_refs_sql(_PARA)}, {_RESOLVED} select doc, paragraph_idx, span_start, raw_text, act_no, section, subsec, basis, resolved_provision_id from provs")
 def w3_resolved_provisions(spark, d):
     """Each citation of a provision with the act carried forward, on what basis, and the provision."""
     return extract.resolve_provisions(_refs(spark, d), table(spark, d, "provision")).select("doc", "paragraph_idx", "span_start", "raw_text", "act_no", "section", "subsec", "basis", "resolved_provision_id")
 
 
-@query()
+@query(f"with {_refs_sql(_PARA)}, {_RESOLVED} select kind, count(*) filter (r) resolved, count(*) filter (not r) unresolved, round(count(*) filter (r) / count(*), 6) coverage from (select kind, resolved_ecli is not null r from cases union all select 'provision', resolved_provision_id is not null from provs) group by kind")
 def a11_extraction_coverage(spark, d):
     """Resolution by kind of what was extracted."""
     refs = _refs(spark, d)
@@ -171,7 +210,12 @@ def a11_extraction_coverage(spark, d):
     return extract.resolution_stats(cases.unionByName(acts))
 
 
-@query()
+_SPAN = "doc, paragraph_idx, kind, raw_text, span_start, span_end"
+
+
+@query(f"""with {_refs_sql("select distinct ecli doc, idx paragraph_idx, body from decision_paragraph")}, f as (select distinct {_SPAN} from refs), g as (select distinct ecli doc, paragraph_idx, kind, raw_text, span_start, span_end from reference_span),
+n as (select kind, (select count(*) from (select {_SPAN} from g where g.kind = k.kind intersect select {_SPAN} from f)) tp, (select count(*) from f where f.kind = k.kind) nf, (select count(*) from g where g.kind = k.kind) ng from (select kind from f union select kind from g) k)
+select kind, tp, nf - tp fp, ng - tp fn, round(tp / nullif(nf, 0), 6) as precision, round(tp / nullif(ng, 0), 6) recall from n""")
 def a18_span_scores(spark, d):
     """Extracted spans against those of reference_span, over the stored bodies."""
     from kodex.operators.evaluate import span_scores
@@ -250,7 +294,11 @@ def a13_route_shares(spark, d):
     return classify.route_shares(classify.route(spread(_edges(spark, d), "id")))
 
 
-@query()
+@query(f"""with p as (select ecli, idx, arg_min(body, para_id) body from decision_paragraph group by 1, 2),
+f as (select *, replace(lower({_SQUEEZE.format(_CZ.format(r"regexp_replace(left(body, 64), '\\p{M}', '', 'g')"))}), ' ', '') f from p),
+s as (select ecli, min(idx) s from f where f like 'takto%' or f like '%takto:' group by 1),
+l as (select f.* from f join s on s.ecli = f.ecli and f.idx > s.s), e as (select ecli, min(idx) e from l where starts_with(f, 'oduvodneni') or regexp_matches(body, '^\\[\\d+\\]') group by 1)
+select l.ecli, trim(string_agg(body, chr(10) order by idx)) verdict_text from l left join e on e.ecli = l.ecli where e.e is null or idx < e.e group by 1 having trim(string_agg(body, chr(10) order by idx)) <> ''""".replace("\\\\", "\\"))
 def w9_verdicts(spark, d):
     """The operative part of each decision."""
     return pages.verdicts(table(spark, d, "decision_paragraph").groupBy("ecli", "idx").agg(F.min_by("body", "para_id").alias("body")))
@@ -263,7 +311,14 @@ def w8_numbered_paragraphs(spark, d):
     return pages.numbered(table(spark, d, "decision_paragraph"))
 
 
-@query()
+_LINES = "text"
+for _p, _r in [("(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<head\\b.*?</head\\s*>", "''"), ("[\\r\\n]+", "' '"), ("(?i)<br\\s*/?>|</(?:p|div|tr|li|h[1-6]|table|blockquote|title)\\s*>", "chr(10)"), ("<[^<>]*>", "''")]:
+    _LINES = f"regexp_replace({_LINES}, '{_p}', {_r}, 'g')"
+for _p, _r in pages.ENTITIES.items():
+    _LINES = f"replace({_LINES}, '&{_p};', '" + _r.replace("'", "''") + "')"
+
+
+@query(f"select page_id, unnest(c) body, generate_subscripts(c, 1)::int idx from (select page_id, list_filter(list_transform(string_split({_LINES}, chr(10)), lambda x: {_SQUEEZE.format('x')}), lambda x: x <> '') c from cached_page)")
 def s15_page_paragraphs(spark, d):
     """The paragraphs of every cached page."""
     return pages.paragraphs(table(spark, d, "cached_page"), "page_id", "text")
