@@ -79,25 +79,31 @@ def _tables() -> list[tuple[str, bool, dict[int, str]]]:
     return out
 
 
-def garble(word: str) -> dict[str, str]:
-    """Each garbled form of a word, with the first chain that gives it, also without the characters that are often LOST.
+def garblings(word: str) -> Iterator[tuple[str, str]]:
+    """(form, chain) of every chain, for those that leave characters that are often LOST also without these.
 
-    Words that an encoding lacks have no form in it.
+    Words that an encoding lacks have no form in it; a form is no word of one character, but for the replacement one.
     """
-    forms: dict[str, str] = {}
     for stored in STORED[1:]:
         try:
-            forms.setdefault(word.encode(stored).decode("utf-8", "replace"), f"{stored}>utf-8")
+            form = word.encode(stored).decode("utf-8", "replace")
         except UnicodeEncodeError:
-            pass
+            continue
+        if form != word and (len(form) > 1 or form == "\ufffd"):
+            yield form, f"{stored}>utf-8"
     for chain, wide, table in _tables():
         form = word.translate(table)
-        if "\0" not in form:
-            forms.setdefault(form, chain)
-            if wide and (bare := form.translate(LOST)) != form and not bare.isascii():
-                forms.setdefault(bare, chain)
-    forms.pop(word, None)
-    return {form: chain for form, chain in forms.items() if len(form) > 1}
+        if "\0" in form or form == word:
+            continue
+        if len(form) > 1:
+            yield form, chain
+        if wide and (bare := form.translate(LOST)) not in (form, word) and len(bare) > 1 and not bare.isascii():
+            yield bare, chain
+
+
+def garble(word: str) -> dict[str, str]:
+    """Each garbled form of a word, with the first chain that gives it."""
+    return dict(reversed(list(garblings(word))))
 
 
 def ungarble(form: str, chain: str) -> str | None:
@@ -130,15 +136,15 @@ def skeleton(token: Column) -> Column:
     return F.regexp_replace(token, r"[^\x00-\x7F]+", "")
 
 
-def garbled_forms(words: DataFrame) -> DataFrame:
-    """(token, original, chain, n_original, seen): the garbled forms of (original, n_original, seen)."""
+def garbled_forms(words: DataFrame, every_chain: bool = False) -> DataFrame:
+    """(token, original, chain, n_original, seen): the garbled forms of (original, n_original, seen), each with one chain or all."""
     columns = ["token", "original", "chain", "n_original", "seen"]
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = []
             for word, n, seen in zip(pdf["original"], pdf["n_original"], pdf["seen"]):
-                out += [(form, word, chain, n, seen) for form, chain in garble(word).items()]
+                out += [(form, word, chain, n, seen) for form, chain in (garblings(word) if every_chain else garble(word).items())]
                 if len(out) > 100_000:
                     yield pd.DataFrame(out, columns=columns)
                     out = []
@@ -153,7 +159,7 @@ def dictionary(vocab: DataFrame) -> DataFrame:
     Clean words also count with their first letter in the other case. Only those with the skeleton of some suspect token
     are garbled, as the forms of the others can't match. Verified: the clean word must be at least as frequent as the
     garbled form, so that a correct foreign word isn't taken for the garbled form of some rarity. original is null where
-    several words have the form and none is clearly the one.
+    several words have the form and none is clearly the one, and where only the parts of a word are known (by_runs).
     """
     parts = int(vocab.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     suspects = stage(vocab.filter(F.col("token").rlike(ODD) & (F.length("token") > 1)).withColumn("skeleton", skeleton(F.col("token"))))
@@ -168,7 +174,23 @@ def dictionary(vocab: DataFrame) -> DataFrame:
     per = pairs.groupBy("token").agg(F.max(F.struct("seen", "n", "original", "chain")).alias("best"), F.sum(F.when(F.col("seen"), F.col("n"))).alias("_seen"), F.sum("n").alias("_all"))
     others = F.when(F.col("best.seen"), F.col("_seen")).otherwise(F.col("_all")) - F.col("best.n")
     clear = F.col("best.n") >= CLEAR * others
-    return per.select("token", F.when(clear, F.col("best.original")).alias("original"), F.col("best.chain").alias("chain"))
+    found = stage(per.select("token", F.when(clear, F.col("best.original")).alias("original"), F.col("best.chain").alias("chain")))
+    return found.unionByName(by_runs(suspects.join(sized_broadcast(found), "token", "left_anti"), vocab))
+
+
+def by_runs(suspects: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(token, original null, chain) of suspects without a clean twin, such as rare names, by their parts beyond ASCII.
+
+    Such a token is garbled if under one chain each of its parts is a garbled form of a part of the corpus's own words.
+    Only forms that can't be letters by themselves count: of UTF-8, in several characters, or with replaced bytes.
+    """
+    runs = lambda c: F.regexp_extract_all(c, F.lit(r"[^\x00-\x7F]+"), F.lit(0))
+    own = vocab.filter(F.col("token").rlike(rf"^[0-9A-Za-z{OWN}]+$")).select("n", F.explode(runs(F.col("token"))).alias("original"))
+    own = own.groupBy("original").agg(F.sum("n").alias("n_original")).withColumn("seen", F.lit(True))
+    forms = stage(garbled_forms(own, every_chain=True).filter(F.col("chain").startswith("utf-8") | F.col("token").contains("\ufffd")).groupBy(F.col("token").alias("run"), "chain").agg(F.max("n_original").alias("n_original")))
+    parts = suspects.select("token", "n", F.array_distinct(runs(F.col("token"))).alias("_r")).withColumn("parts", F.size("_r")).select("token", "n", "parts", F.explode("_r").alias("run"))
+    hits = parts.join(sized_broadcast(forms), "run").filter(F.col("n_original") >= F.col("n")).groupBy("token", "parts", "chain").agg(F.count("*").alias("_n")).filter("_n = parts")
+    return hits.groupBy("token").agg(F.min("chain").alias("chain")).select("token", F.lit(None).cast("string").alias("original"), "chain")
 
 
 def suspect_tokens(rows: DataFrame) -> DataFrame:
