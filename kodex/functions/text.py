@@ -52,7 +52,7 @@ def sentences(text: Column) -> Column:
     clean = F.regexp_replace(text, _MARK, " ")
     pieces = F.split(F.regexp_replace(clean, r"(?<=[.!?])(\s+)", rf"$1{_MARK}"), _MARK)
     words = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS.split())
-    open_end = rf"(?i)(?:^|\s)(?:{words}|[0-9IVX]+\.)\s+$"
+    open_end = rf"(?iu)(?:^|\s)(?:{words}|[0-9IVX]+\.)\s+$"
     empty = F.lit(None).cast("array<struct<start:int,sentence:string>>")
     zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("start"), F.lit("").alias("held"), F.coalesce(empty, F.array().cast("array<struct<start:int,sentence:string>>")).alias("out"))
 

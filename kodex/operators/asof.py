@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kodex.session import salted_join, stage
+from kodex.session import hot_keys, salted_join, stage
 
 #: Days in a time bucket.
 BUCKET_DAYS = 366
@@ -54,7 +54,8 @@ def known_provisions(contexts: DataFrame, references: DataFrame, decisions: Data
     relied = references.filter("ecli is not null and resolved_provision_id is not null").select("ecli", F.col("resolved_provision_id").alias("provision_id")).distinct()
     decided = decisions.groupBy("ecli").agg(F.max("decided_on").alias("decided_on"))
     asked = contexts.filter("ecli is not null").select("request_id", "ecli", "as_of").distinct()
-    needed = relied.join(asked.select("ecli").distinct(), "ecli", "left_semi").join(decided, "ecli", "left")
+    hot = stage(hot_keys(relied, ["ecli"]))
+    needed = salted_join(salted_join(relied, asked.select("ecli").distinct(), ["ecli"], "left_semi", hot), decided, ["ecli"], "left", hot)
     pairs = stage(salted_join(asked, needed, ["ecli"]))
     days = needed.select("provision_id", F.col("decided_on").alias("day")).unionByName(pairs.select("provision_id", F.col("as_of").alias("day")))
     found = winners(versions, days, "provision_id", "valid_from", "valid_to", "recorded_on", "id", bucket_days)

@@ -197,8 +197,13 @@ def k10_overwritten_pages(spark, d):
     """Cached pages that overwrote an earlier one of their url."""
     from pyspark.sql import Window
 
-    rows = table(spark, d, "cached_page").filter("status = 200").select("page_id", "url", "fetched_at")
-    return rows.withColumn("before_page", F.lag("page_id").over(Window.partitionBy("url").orderBy("fetched_at", "page_id"))).filter("before_page is not null").select("page_id", "before_page", "url")
+    # a url's pages are ordered day by day, and the last page of the day before is carried over
+    at = F.struct("fetched_at", "page_id")
+    rows = table(spark, d, "cached_page").filter("status = 200").select("page_id", "url", "fetched_at", F.to_date("fetched_at").alias("_d"))
+    days = rows.groupBy("url", "_d").agg(F.max(at).alias("_last"))
+    days = days.withColumn("_carried", F.lag("_last").over(Window.partitionBy("url").orderBy("_d"))["page_id"]).drop("_last")
+    within = F.lag("page_id").over(Window.partitionBy("url", "_d").orderBy("fetched_at", "page_id"))
+    return rows.withColumn("_w", within).join(days, ["url", "_d"]).withColumn("before_page", F.coalesce("_w", "_carried")).filter("before_page is not null").select("page_id", "before_page", "url")
 
 
 @query("select url, arg_max(page_id, (fetched_at, page_id)) page_id from cached_page where status = 200 group by url")

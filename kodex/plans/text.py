@@ -69,7 +69,14 @@ def f6_document_paragraphs(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(text.paragraphs(F.col("text"))).alias("p", "paragraph")).select("doc_id", (F.col("p") + 1).alias("idx"), "paragraph")
 
 
-@query()
+_WORDS = "|".join(a.replace(".", r"\.") for a in text.ABBREVIATIONS.split())
+
+
+@query(rf"""with c as (select para_id, string_split(regexp_replace(body, '([.!?]\s+)', '\1' || chr(1), 'g'), chr(1)) c from decision_paragraph),
+p as (select para_id, unnest(c) piece, generate_subscripts(c, 1) i from c),
+q as (select *, coalesce(sum(length(piece)) over (partition by para_id order by i rows between unbounded preceding and 1 preceding), 0) before,
+  coalesce(sum(case when regexp_matches(piece, '(?i)(?:^|\s)(?:{_WORDS}|[0-9IVX]+\.)\s+$') then 0 else 1 end) over (partition by para_id order by i rows between unbounded preceding and 1 preceding), 0) run from p)
+select para_id, min(before)::int sentence_start, regexp_replace(string_agg(piece, '' order by i), '\s+$', '') sentence from q group by para_id, run having trim(string_agg(piece, '' order by i)) <> '' and trim(regexp_replace(string_agg(piece, '' order by i), '\s+$', '')) <> ''""")
 def f7_sentences(spark, d):
     """Sentences of every paragraph with their offsets."""
     return table(spark, d, "decision_paragraph").select("para_id", F.inline(text.sentences(F.col("body")))).select("para_id", F.col("start").alias("sentence_start"), "sentence")

@@ -189,3 +189,22 @@ def test_scores(spark):
     assert tuple(evaluate.red_scores(s).first())[:3] == (1, 1, 1)
     assert tuple(evaluate.cluster_scores(s.limit(0)).first()) == (0, 0, 0, 0, 0, None)
     assert evaluate.confusion(s).count() == 3
+
+
+def test_ask_a_model(spark):
+    from kodex.operators import model
+    from kodex.session import ship
+
+    ship(spark)
+    edges = spark.createDataFrame([("k", "say x", "x y", "f"), ("k", "say x", "x y", "f"), ("m", "say z", "x y", "f"), ("n", "never", "x y", "f"), ("c", "cached", "x y", "f")], "cache_key string, prompt string, context_text string, fallback_span string")
+
+    def call(prompt):
+        span = "x" if "x" in prompt.split("\n")[0] or "rejected" in prompt and "never" not in prompt else "nowhere"
+        return '{"label": "FOLLOWED", "confidence": 0.9, "evidence_span": "%s"}' % span
+
+    prompts = model.unasked(edges, edges.filter("cache_key = 'c'"))
+    assert prompts.count() == 3
+    replies = model.ask(prompts, call)
+    assert sorted((r.cache_key, r.attempt) for r in replies.collect()) == [("k", 1), ("m", 1), ("m", 2), ("n", 1), ("n", 2)]
+    got = {r.cache_key: r.label for r in classify.judged(edges, replies).collect()}
+    assert got == {"k": "FOLLOWED", "m": "FOLLOWED", "n": "UNCLASSIFIED", "c": "UNCLASSIFIED"}
