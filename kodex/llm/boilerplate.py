@@ -85,6 +85,31 @@ def recurring(counted: DataFrame, group: str, what: str, totals: DataFrame, leas
     return sums.join(F.broadcast(totals), group).filter(F.col("documents") >= F.lit(share) * F.col("total")).select(group, what, "documents")
 
 
+def _courts(paragraphs: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((doc, court_code) of every decision that has paragraphs, (court_code, total)), both staged; doc stands for ecli."""
+    courts = decisions.filter("court_code is not null").groupBy("ecli").agg(F.max("court_code").alias("court_code"))
+    holders = paragraphs.filter("ecli is not null").groupBy("ecli").count().select("ecli").join(courts, "ecli")
+    numbered = stage(holders.select(F.xxhash64("ecli").alias("doc"), "court_code"))
+    return numbered, numbered.groupBy("court_code").agg(F.count("*").alias("total"))
+
+
+def _lines(paragraphs: DataFrame, mean: int) -> DataFrame:
+    """(para_id, doc, line_no, line_hash, chunks) of every line, staged."""
+    rows = paragraphs.filter("ecli is not null").select("body", F.struct("para_id", F.xxhash64("ecli").alias("doc")).alias("_key"))
+    return stage(chunked_lines(rows, "_key", "body", mean=mean).select("_key.*", "line_no", "line_hash", "chunks"))
+
+
+def _recurring_chunks(lines: DataFrame, numbered: DataFrame, totals: DataFrame, least: int, share: float) -> DataFrame:
+    seen = lines.select("doc", F.explode("chunks").alias("chunk")).distinct()
+    return recurring(lookup(seen, numbered, ["doc"]), "court_code", "chunk", totals, least, share)
+
+
+def recurring_chunks(paragraphs: DataFrame, decisions: DataFrame, least: int = LEAST_DOCUMENTS, share: float = LEAST_SHARE, mean: int = MEAN_CHUNK) -> DataFrame:
+    """(court_code, chunk, documents) of every content-defined chunk that recurs in its court, by the chunk's hash."""
+    numbered, totals = _courts(paragraphs, decisions)
+    return _recurring_chunks(_lines(paragraphs, mean), numbered, totals, least, share)
+
+
 def recurring_lines(paragraphs: DataFrame, decisions: DataFrame, least: int = LEAST_DOCUMENTS, share: float = LEAST_SHARE, mean: int = MEAN_CHUNK) -> DataFrame:
     """(para_id, line_no, court_code, line_hash, documents) of every line that recurs in its court.
 
@@ -94,22 +119,29 @@ def recurring_lines(paragraphs: DataFrame, decisions: DataFrame, least: int = LE
     a large part of all rows weighs as one. Paragraphs without a decision or court belong to no court; null bodies have
     no lines; repeated rows change no count. Totals hold one row per court.
     """
-    courts = decisions.filter("court_code is not null").groupBy("ecli").agg(F.max("court_code").alias("court_code"))
-    holders = paragraphs.filter("ecli is not null").groupBy("ecli").count().select("ecli").join(courts, "ecli")
-    # the number that stands for a decision is made from ecli and carried instead of it
-    numbered = stage(holders.select(F.xxhash64("ecli").alias("doc"), "court_code"))
-    totals = numbered.groupBy("court_code").agg(F.count("*").alias("total"))
-    rows = paragraphs.filter("ecli is not null").select("para_id", "body", F.xxhash64("ecli").alias("doc"))
-    key = F.struct("para_id", "doc")
-    lines = stage(chunked_lines(rows.select(key.alias("_key"), "body"), "_key", "body", mean=mean).select("_key.*", "line_no", "line_hash", "chunks"))
-    seen = lines.select("doc", F.explode("chunks").alias("chunk")).distinct()
-    hot = recurring(lookup(seen, numbered, ["doc"]), "court_code", "chunk", totals, least, share)
-    hot = stage(hot.select("court_code", "chunk"))
+    numbered, totals = _courts(paragraphs, decisions)
+    lines = _lines(paragraphs, mean)
+    hot = stage(_recurring_chunks(lines, numbered, totals, least, share).select("court_code", "chunk"))
     at_court = lines.select("para_id", "doc", "line_no", "line_hash", F.col("chunks")[0].alias("chunk"), "chunks")
     candidates = lookup(lookup(at_court, numbered, ["doc"]), hot, ["court_code", "chunk"], "left_semi")
     rest = candidates.select("court_code", "line_hash", F.explode(F.array_distinct("chunks")).alias("chunk")).distinct()
-    rest = lookup(rest, hot, ["court_code", "chunk"], "left_anti")
-    dead = stage(rest.select("court_code", "line_hash").distinct())
+    dead = stage(lookup(rest, hot, ["court_code", "chunk"], "left_anti").select("court_code", "line_hash").distinct())
     alive = stage(lookup(candidates.drop("chunk", "chunks"), dead, ["court_code", "line_hash"], "left_anti"))
     found = stage(recurring(alive.select("court_code", "line_hash", "doc").distinct(), "court_code", "line_hash", totals, least, share))
     return lookup(alive, found, ["court_code", "line_hash"]).select("para_id", "line_no", "court_code", "line_hash", "documents")
+
+
+def line_texts(found: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """(court_code, line, documents, occurrences) of each recurring line, as its first occurrence by para_id says it."""
+    first = found.groupBy("court_code", "line_hash").agg(F.max("documents").alias("documents"), F.count("*").alias("occurrences"), F.min(F.struct("para_id", "line_no")).alias("_f"))
+    first = stage(first.select("court_code", "documents", "occurrences", "_f.*"))
+    bodies = lookup(paragraphs.select("para_id", "body"), first, ["para_id"])
+    return bodies.select("court_code", F.get(F.split("body", "\n"), F.col("line_no") - 1).alias("line"), "documents", "occurrences")
+
+
+def without_lines(found: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """(para_id, body) of every paragraph, its recurring lines cut out; a body of nothing else is empty, a null one null."""
+    cut = stage(found.groupBy("para_id").agg(F.collect_set("line_no").alias("_cut")))
+    rows = lookup(paragraphs.select("para_id", "body"), cut, ["para_id"], "left")
+    kept = F.filter(F.split("body", "\n"), lambda line, i: ~F.array_contains("_cut", i + 1))
+    return rows.select("para_id", F.when(F.col("_cut").isNull(), F.col("body")).otherwise(F.array_join(kept, "\n")).alias("body"))

@@ -53,6 +53,25 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.recurring_lines(table(spark, d, "decision_paragraph"), table(spark, d, "decision")).select("para_id", "line_no")
 
 
+def _recurring(spark: SparkSession, d: str) -> DataFrame:
+    return stage(boilerplate.recurring_lines(table(spark, d, "decision_paragraph"), table(spark, d, "decision")))
+
+
+def p3_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The recurring lines of each court."""
+    return boilerplate.line_texts(_recurring(spark, d), table(spark, d, "decision_paragraph"))
+
+
+def p3_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Every body without them."""
+    return boilerplate.without_lines(_recurring(spark, d), table(spark, d, "decision_paragraph"))
+
+
+def p3_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The recurring chunks of each court, by hash."""
+    return boilerplate.recurring_chunks(table(spark, d, "decision_paragraph"), table(spark, d, "decision"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_spans(spark, d).select("doc_id", "item_id")
 
@@ -83,7 +102,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_restored, p2_found, p2_forms, p2_links, p3_found, p7_found, p7_spans, p7_items, p8_mix, p8_shares, p9_found, p9_pieces)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_restored, p2_found, p2_forms, p2_links, p3_found, p3_lines, p3_bodies, p3_chunks, p7_found, p7_spans, p7_items, p8_mix, p8_shares, p9_found, p9_pieces)}
 
 _LINES = r"""lines as (
   select para_id, ecli, unnest(string_split(body, chr(10))) line, generate_subscripts(string_split(body, chr(10)), 1)::int line_no from decision_paragraph),
@@ -96,6 +115,11 @@ hot as (select a.court_code, form from at_court a join total t on t.court_code =
 
 ORACLE = {
     "p3_found": f"with {_LINES} select para_id, line_no from at_court a join hot h on h.court_code = a.court_code and h.form = a.form",
+    "p3_lines": f"""with {_LINES}, texts as (select a.*, l.line from at_court a join lines l on l.para_id = a.para_id and l.line_no = a.line_no)
+select t.court_code, arg_min(line, (para_id, line_no)) line, count(distinct ecli) documents, count(*) occurrences from texts t join hot h on h.court_code = t.court_code and h.form = t.form group by t.court_code, t.form""",
+    "p3_bodies": f"""with {_LINES}, cut as (select para_id, line_no from at_court a join hot h on h.court_code = a.court_code and h.form = a.form)
+select p.para_id, case when body is null then null else coalesce(string_agg(l.line, chr(10) order by l.line_no) filter (c.para_id is null), '') end body
+from decision_paragraph p left join lines l on l.para_id = p.para_id left join cut c on c.para_id = l.para_id and c.line_no = l.line_no group by p.para_id, p.body""",
     "p7_found": r"""
 with d as (select doc_id, list_filter(string_split_regex(lower(strip_accents(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '') w from documents),
 i as (select item_id, list_filter(string_split_regex(lower(strip_accents(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '') w from eval_item),

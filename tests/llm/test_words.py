@@ -226,6 +226,12 @@ def test_recurring_lines_are_brute_force(spark, seed, monkeypatch):
         got = sorted((r.para_id, r.line_no) for r in boilerplate.recurring_lines(df, dec, least, share, mean=16).collect())
         assert got == plain_recurring([r for r in rows if r[1]], court, least, share)
         assert got or least == 10
+    found = boilerplate.recurring_lines(df, dec, 4, 0.05, mean=16)
+    gone = {(r.para_id, r.line_no) for r in found.collect()}
+    want = {p: None if b is None else "\n".join(x for i, x in enumerate(b.split("\n")) if (p, i + 1) not in gone) for p, _, b in rows}
+    assert {r.para_id: r.body for r in boilerplate.without_lines(found, df).collect()} == want
+    assert sum(r.occurrences for r in boilerplate.line_texts(found, df).collect()) == len(gone)
+    assert boilerplate.recurring_chunks(df, dec, 4, 0.05, mean=16).count() > 0
     assert boilerplate.recurring_lines(df.limit(0), dec).count() == 0 and boilerplate.recurring_lines(df, dec.limit(0)).count() == 0
 
 
