@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -22,12 +24,19 @@ BROADCAST_ROWS = 200_000
 _shipped: set[str] = set()
 
 
+def _temporary() -> str:
+    """A local folder that goes with this process."""
+    folder = tempfile.mkdtemp(prefix="kodex-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def ship(spark: SparkSession) -> None:
     """Give this package to the Python workers of every executor, once per application."""
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
-        path = Path(tempfile.mkdtemp(prefix="kodex-")) / "kodex.zip"
+        path = Path(_temporary()) / "kodex.zip"
         with zipfile.ZipFile(path, "w") as z:
             for f in sorted(root.rglob("*.py")):
                 z.write(f, f.relative_to(root.parent))
@@ -35,12 +44,17 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (single-machine tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="kodex-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = "file://" + _temporary()
+        folder = _local[app]
     return folder.rstrip("/")
 
 
