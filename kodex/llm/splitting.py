@@ -52,8 +52,10 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP, tokenizer: str =
     allowed = np.zeros(len(text) + 1, bool)
     allowed[free] = True
     allowed[[m.start() for m in CLINGING.finditer(text)]] = False
-    levels = [p[allowed[p]] for p in boundaries(text)]
-    hard = np.flatnonzero(allowed)
+    places = [p[allowed[p]] for p in boundaries(text)] + [np.flatnonzero(allowed), free]
+    # each kind of place with its token offsets, the hard cuts last
+    levels = [(p, sums[p]) for p in places]
+    free_sums = levels[-1][1]
     out, start = [], 0
     while True:
         base = int(sums[start])
@@ -61,18 +63,17 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP, tokenizer: str =
             out.append((start, len(text), total - base))
             return out
         half = base + limit // 2
-        for places in [*levels, hard, free]:
-            i = np.searchsorted(sums[places], base + limit, "right") - 1
-            if i >= 0 and sums[places[i]] > half:
-                end = int(places[i])
+        for at, offsets in levels:
+            i = np.searchsorted(offsets, base + limit, "right") - 1
+            if i >= 0 and offsets[i] > half:
+                end = int(at[i])
                 break
         else:  # one token run of several characters fills more than half: cut after what fits
-            fits, after = np.searchsorted(sums[free], base + limit, "right") - 1, np.searchsorted(free, start, "right")
-            end = int(free[max(fits, after)])
+            end = int(free[max(np.searchsorted(free_sums, base + limit, "right") - 1, np.searchsorted(free, start, "right"))])
         out.append((start, end, int(sums[end]) - base))
         if end == len(text):
             return out
-        back, after = np.searchsorted(sums[free], sums[end] - overlap, "right") - 1, np.searchsorted(free, start, "right")
+        back, after = np.searchsorted(free_sums, sums[end] - overlap, "right") - 1, np.searchsorted(free, start, "right")
         start = int(free[max(back, after)])
 
 
