@@ -61,6 +61,7 @@ def known_provisions(contexts: DataFrame, references: DataFrame, decisions: Data
     found = winners(versions, days, "provision_id", "valid_from", "valid_to", "recorded_on", "id", bucket_days)
     at_decision = found.select("provision_id", F.col("day").alias("decided_on"), F.col("id").alias("_v0"))
     at_asof = found.select("provision_id", F.col("day").alias("as_of"), F.col("id").alias("_v1"))
-    out = salted_join(pairs, at_decision, ["provision_id", "decided_on"], "left")
-    out = salted_join(out, at_asof, ["provision_id", "as_of"], "left")
+    # both lookups keep the rows of pairs, which is where their hot keys are counted
+    out = salted_join(pairs, at_decision, ["provision_id", "decided_on"], "left", hot_keys(pairs, ["provision_id", "decided_on"]))
+    out = salted_join(out, at_asof, ["provision_id", "as_of"], "left", hot_keys(pairs, ["provision_id", "as_of"]))
     return out.select("request_id", "provision_id", F.coalesce("_v0", F.lit(0)).alias("decided_version_id"), F.coalesce("_v1", F.lit(0)).alias("asof_version_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kodex.session import salted_join
+from kodex.session import hot_keys, salted_join
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -32,7 +32,9 @@ def treatments_for(citations: DataFrame, treatments: DataFrame, decisions: DataF
     labelled = edges.join(latest_treatments(treatments).select("citation_id", "label", "confidence", "evidence_span"), "citation_id")
     cited = decisions.select(F.col("ecli").alias("cited_ecli"), F.col("court_code").alias("cited_court"))
     citing = decisions.select(F.col("ecli").alias("citing_ecli"), F.col("court_code").alias("citing_court"), F.col("panel_type").alias("citing_panel"), F.col("decided_on").alias("citing_date"))
-    rows = salted_join(salted_join(labelled, cited, ["cited_ecli"]), citing, ["citing_ecli"])
+    # hot decisions are counted over the edges alone
+    rows = salted_join(labelled, cited, ["cited_ecli"], hot=hot_keys(edges, ["cited_ecli"]))
+    rows = salted_join(rows, citing, ["citing_ecli"], hot=hot_keys(edges, ["citing_ecli"]))
     rows = rows.join(F.broadcast(authority.select("citing_court", "citing_panel", "cited_court", "binding")), ["citing_court", "citing_panel", "cited_court"], "left")
     return rows.withColumn("may_depart", F.coalesce("binding", F.lit(False))).drop("binding")
 

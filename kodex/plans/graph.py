@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kodex import schema
-from kodex.operators import classify, evaluate, extract, graph, merge, status
+from kodex.operators import evaluate, extract, graph, merge, status
 from kodex.plans.derived import AS_OF, citations, day, decisions, judgements, sql, treatments
 from kodex.session import stage
 from kodex.sources.tables import table

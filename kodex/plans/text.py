@@ -72,11 +72,16 @@ def f6_document_paragraphs(spark, d):
 _WORDS = "|".join(a.replace(".", r"\.") for a in text.ABBREVIATIONS.split())
 
 
-@query(rf"""with c as (select para_id, string_split(regexp_replace(body, '([.!?]\s+)', '\1' || chr(1), 'g'), chr(1)) c from decision_paragraph),
-p as (select para_id, unnest(c) piece, generate_subscripts(c, 1) i from c),
-q as (select *, coalesce(sum(length(piece)) over (partition by para_id order by i rows between unbounded preceding and 1 preceding), 0) before,
-  coalesce(sum(case when regexp_matches(piece, '(?i)(?:^|\s)(?:{_WORDS}|[0-9IVX]+\.)\s+$') then 0 else 1 end) over (partition by para_id order by i rows between unbounded preceding and 1 preceding), 0) run from p)
-select para_id, min(before)::int sentence_start, regexp_replace(string_agg(piece, '' order by i), '\s+$', '') sentence from q group by para_id, run having trim(string_agg(piece, '' order by i)) <> '' and trim(regexp_replace(string_agg(piece, '' order by i), '\s+$', '')) <> ''""")
+def _sentences_sql(source: str, keys: str) -> str:
+    """CTEs up to sentences (keys, sentence_start, sentence) of a SELECT of keys and t."""
+    return rf"""cut as (select {keys}, string_split(regexp_replace(t, '([.!?]\s+)', '\1' || chr(1), 'g'), chr(1)) c from ({source})),
+pieces as (select {keys}, unnest(c) piece, generate_subscripts(c, 1) i from cut),
+runs_ as (select *, coalesce(sum(length(piece)) over before_, 0) before, coalesce(sum(case when regexp_matches(piece, '(?i)(?:^|\s)(?:{_WORDS}|[0-9IVX]+\.)\s+$') then 0 else 1 end) over before_, 0) run
+  from pieces window before_ as (partition by {keys} order by i rows between unbounded preceding and 1 preceding)),
+sentences as (select {keys}, min(before)::int sentence_start, regexp_replace(string_agg(piece, '' order by i), '\s+$', '') sentence from runs_ group by {keys}, run having trim(regexp_replace(string_agg(piece, '' order by i), '\s+$', '')) <> '')"""
+
+
+@query("with " + _sentences_sql("select para_id, body t from decision_paragraph", "para_id") + " select para_id, sentence_start, sentence from sentences")
 def f7_sentences(spark, d):
     """Sentences of every paragraph with their offsets."""
     return table(spark, d, "decision_paragraph").select("para_id", F.inline(text.sentences(F.col("body")))).select("para_id", F.col("start").alias("sentence_start"), "sentence")
@@ -276,6 +281,13 @@ def w1_context_windows(spark, d):
     return graph.context_windows(rows).select("ecli", "idx", F.array_join("context", "\n\n").alias("context"), F.col("focus").cast("int").alias("focus"))
 
 
+_VERDICTS = f"""whole as (select ecli, idx, arg_min(body, para_id) body from decision_paragraph group by 1, 2),
+folded as (select *, replace(lower({_SQUEEZE.format(_CZ.format(r"regexp_replace(left(body, 64), '\\p{M}', '', 'g')"))}), ' ', '') f from whole),
+starts as (select ecli, min(idx) s from folded where f like 'takto%' or f like '%takto:' group by 1),
+later as (select f.* from folded f join starts s on s.ecli = f.ecli and f.idx > s.s), stops as (select ecli, min(idx) e from later where starts_with(f, 'oduvodneni') or regexp_matches(body, '^\\[\\d+\\]') group by 1),
+verdicts as (select l.ecli, trim(string_agg(body, chr(10) order by idx)) verdict_text from later l left join stops e on e.ecli = l.ecli where e.e is null or idx < e.e group by 1 having trim(string_agg(body, chr(10) order by idx)) <> '')"""
+
+
 def _edges(spark, d):
     """Citation edges with both decisions, the aliases of the cited one, the context and the citing verdict."""
     rows = decisions(spark, d)
@@ -290,22 +302,38 @@ def _edges(spark, d):
     return edges.withColumn("context", F.coalesce("context", F.array().cast("array<string>"))).withColumn("focus", F.coalesce("focus", F.lit(0))).withColumn("cited_names", F.coalesce("cited_names", F.array().cast("array<string>")))
 
 
-@query()
+_has = lambda names: "(" + " or ".join(f"contains(form, '{p}')" for p in names) + ")"
+_ROUTES = sql("dec cit", "").rstrip() + f""",
+{_VERDICTS},
+near as (select ecli, idx, body, array_to_string(list(body) over (partition by ecli order by idx rows between 2 preceding and 2 following), chr(10) || chr(10)) around from whole),
+called as (select ecli, list(distinct form) names from (select ecli, unnest([{_LOWER.format('ecli')}, {_LOWER.format('case_no')}, {_LOWER.format('ref_no')}]) form from dec) where form <> '' group by ecli),
+edges as (select c.id, a.panel_type citing_panel, coalesce(b.decided_on < a.decided_on, false) in_order, {_LOWER.format('c.raw_text')} cited, n.body here, n.around, v.verdict_text, k.names from cit c join dec a on a.ecli = c.citing_ecli join dec b on b.ecli = c.cited_ecli
+  left join near n on n.ecli = c.citing_ecli and n.idx = c.paragraph_idx left join verdicts v on v.ecli = c.citing_ecli left join called k on k.ecli = c.cited_ecli where c.cited_ecli is not null),
+{_sentences_sql("select id, 'h' k, here t from edges where here is not null union all select id, 'a', around from edges where around is not null union all select id, 'v', verdict_text from edges where verdict_text is not null", "id, k")},
+said as (select s.*, {_LOWER.format('sentence')} form, e.cited, e.names, e.in_order from sentences s join edges e on e.id = s.id),
+flags as (select id, arg_min(sentence, sentence_start) filter (k = 'v' and in_order and {_has(classify.QUASHING)} and list_bool_or(list_transform(names, lambda n: contains(form, n)))) q,
+  arg_min(sentence, sentence_start) filter (k = 'h' and cited <> '' and {_has(classify.PARTY)} and contains(form, cited)) m, arg_min(sentence, sentence_start) filter (k = 'h' and cited <> '' and contains(form, cited)) c,
+  coalesce(bool_or(k = 'a' and {_has(classify.DEPARTURE)}), false) departs, coalesce(bool_or(k = 'a' and {_has(classify.NARROWING)}), false) narrows from said group by id),
+reasons_ as (select e.id, q, m, c, case when q is not null then 'quashed' when m is not null then 'party_submission' when citing_panel in ('extended', 'grand', 'plenary') then 'panel_type' when departs then 'departure_marker'
+  when narrows then 'narrowing_marker' when c is null then 'low_confidence' else 'triage' end reason from edges e left join flags f on f.id = e.id),
+routes as (select id, case when reason in ('quashed', 'party_submission') then 'structural' when reason = 'triage' then 'triage' else 'reasoning' end route, reason,
+  case reason when 'quashed' then 'QUASHED' when 'party_submission' then 'MENTIONED' when 'triage' then 'FOLLOWED' end as label,
+  cast(case reason when 'quashed' then 1.00 when 'party_submission' then 0.95 when 'triage' then 0.80 end as decimal(3,2)) confidence, case reason when 'quashed' then q when 'party_submission' then m when 'triage' then c end evidence_span from reasons_)
+"""
+
+
+@query(_ROUTES + "select id, route, reason, label, confidence, evidence_span from routes")
 def c11_routes(spark, d):
     """Every edge with its cheap label, or why it needs a closer look."""
     return classify.route(spread(_edges(spark, d), "id")).select("id", "route", "reason", "label", "confidence", "evidence_span")
 
 
-@query()
+@query(_ROUTES + "select route, reason, count(*) n, round(count(*) / sum(count(*)) over (), 6) share from routes group by route, reason")
 def a13_route_shares(spark, d):
     return classify.route_shares(classify.route(spread(_edges(spark, d), "id")))
 
 
-@query(f"""with p as (select ecli, idx, arg_min(body, para_id) body from decision_paragraph group by 1, 2),
-f as (select *, replace(lower({_SQUEEZE.format(_CZ.format(r"regexp_replace(left(body, 64), '\\p{M}', '', 'g')"))}), ' ', '') f from p),
-s as (select ecli, min(idx) s from f where f like 'takto%' or f like '%takto:' group by 1),
-l as (select f.* from f join s on s.ecli = f.ecli and f.idx > s.s), e as (select ecli, min(idx) e from l where starts_with(f, 'oduvodneni') or regexp_matches(body, '^\\[\\d+\\]') group by 1)
-select l.ecli, trim(string_agg(body, chr(10) order by idx)) verdict_text from l left join e on e.ecli = l.ecli where e.e is null or idx < e.e group by 1 having trim(string_agg(body, chr(10) order by idx)) <> ''""".replace("\\\\", "\\"))
+@query(f"with {_VERDICTS} select ecli, verdict_text from verdicts")
 def w9_verdicts(spark, d):
     """The operative part of each decision."""
     return pages.verdicts(table(spark, d, "decision_paragraph").groupBy("ecli", "idx").agg(F.min_by("body", "para_id").alias("body")))

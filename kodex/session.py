@@ -81,8 +81,9 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFr
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None, salts: int = SALTS) -> DataFrame:
     """Equi-join that splits the hot keys of `left` into `salts` parts and repeats the right rows of just those keys.
 
-    `how`: inner, left, left_semi or left_anti. Rows with a null key match nothing. `hot` may be given when it is known;
-    it is broadcast, being bounded by 1 / HOT_SHARE rows.
+    `how`: inner, left, left_semi or left_anti. Rows with a null key match nothing. `hot` may be given when it is known or
+    can be counted on something cheaper than `left`, which is else computed once more for it; it is broadcast, being
+    bounded by 1 / HOT_SHARE rows.
     """
     hot = F.broadcast((hot_keys(left, keys) if hot is None else hot).withColumn("_hot", F.lit(True)))
     # the salt is a function of the row, so a recomputed task gives the same part
