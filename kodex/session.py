@@ -75,7 +75,7 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFr
     """Distinct keys that hold more than `share` of df's rows: at most 1 / share rows by construction."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total"))
-    return counts.join(F.broadcast(total), F.col("_n") > F.col("_total") * F.lit(share)).select(*keys)
+    return counts.filter(F.col("_n") > total.scalar() * F.lit(share)).select(*keys)
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None, salts: int = SALTS) -> DataFrame:
