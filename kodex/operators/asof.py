@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kodex.session import hot_keys, salted_join, stage
+from kodex.session import lookup, salted_join, stage
 
 #: Days in a time bucket.
 BUCKET_DAYS = 366
@@ -54,14 +54,15 @@ def known_provisions(contexts: DataFrame, references: DataFrame, decisions: Data
     relied = references.filter("ecli is not null and resolved_provision_id is not null").select("ecli", F.col("resolved_provision_id").alias("provision_id")).distinct()
     decided = decisions.groupBy("ecli").agg(F.max("decided_on").alias("decided_on"))
     asked = contexts.filter("ecli is not null").select("request_id", "ecli", "as_of").distinct()
-    hot = stage(hot_keys(relied, ["ecli"]))
-    needed = salted_join(salted_join(relied, asked.select("ecli").distinct(), ["ecli"], "left_semi", hot), decided, ["ecli"], "left", hot)
+    relied = stage(relied)
+    needed = lookup(relied, stage(asked.select("ecli").distinct().join(decided, "ecli", "left")), ["ecli"])
     pairs = stage(salted_join(asked, needed, ["ecli"]))
+    # what a decision relies on is looked up for its own day once, not once for each request
     days = needed.select("provision_id", F.col("decided_on").alias("day")).unionByName(pairs.select("provision_id", F.col("as_of").alias("day")))
-    found = winners(versions, days, "provision_id", "valid_from", "valid_to", "recorded_on", "id", bucket_days)
+    found = stage(winners(versions, days, "provision_id", "valid_from", "valid_to", "recorded_on", "id", bucket_days))
     at_decision = found.select("provision_id", F.col("day").alias("decided_on"), F.col("id").alias("_v0"))
     at_asof = found.select("provision_id", F.col("day").alias("as_of"), F.col("id").alias("_v1"))
     # both lookups keep the rows of pairs, which is where their hot keys are counted
-    out = salted_join(pairs, at_decision, ["provision_id", "decided_on"], "left", hot_keys(pairs, ["provision_id", "decided_on"]))
-    out = salted_join(out, at_asof, ["provision_id", "as_of"], "left", hot_keys(pairs, ["provision_id", "as_of"]))
+    out = lookup(pairs, at_decision, ["provision_id", "decided_on"], "left", counted=pairs)
+    out = lookup(out, at_asof, ["provision_id", "as_of"], "left", counted=pairs)
     return out.select("request_id", "provision_id", F.coalesce("_v0", F.lit(0)).alias("decided_version_id"), F.coalesce("_v1", F.lit(0)).alias("asof_version_id"))

@@ -92,11 +92,14 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return parts.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
-def lookup(left: DataFrame, staged: DataFrame, keys: list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a skewed left side with a staged table: by broadcast if that has at most `rows` rows, else salted."""
+def lookup(left: DataFrame, staged: DataFrame, keys: list[str], how: str = "inner", rows: int = BROADCAST_ROWS, counted: DataFrame | None = None) -> DataFrame:
+    """Join a skewed left side with a staged table: by broadcast if that has at most `rows` rows, else salted.
+
+    Hot keys are counted on `counted`, where that is cheaper than `left`.
+    """
     if staged.limit(rows + 1).count() <= rows:
         return left.join(F.broadcast(staged), keys, how)
-    return salted_join(left, staged, keys, how)
+    return salted_join(left, staged, keys, how, hot_keys(left if counted is None else counted, keys))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -70,7 +70,12 @@ def test_winners_are_brute_force(spark, seed):
     assert got == want
 
 
-def test_known_provisions_odd_cases(spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_known_provisions_odd_cases(spark, monkeypatch, small):
+    if not small:  # as if every table were too large to be broadcast
+        from kodex import session
+
+        monkeypatch.setattr(asof, "lookup", lambda *a, **k: session.lookup(*a, **k, rows=-1))
     contexts = spark.createDataFrame([(1, "a", D(50)), (1, "a", D(50)), (2, "gone", D(50)), (3, None, D(1)), (4, "a", None)], "request_id long, ecli string, as_of date")
     refs = spark.createDataFrame([("a", 7), ("a", 7), ("a", None), (None, 7), ("b", 8), ("gone", 7)], "ecli string, resolved_provision_id long")
     decisions = spark.createDataFrame([("a", D(10)), ("a", D(10)), ("b", D(1))], "ecli string, decided_on date")
