@@ -128,7 +128,22 @@ def f18_fragment_keys(spark, d):
     return table(spark, d, "provision").select("id", legal.fragment_keys(path).alias("k")).select("id", "k.section", "k.subsec")
 
 
-@query()
+_NO_MARKS = r"regexp_replace(h.body, '\p{M}', '', 'g')"
+
+
+def _asserted(marker: str) -> str:
+    """SQL: whether f has a match of the marker without a verb of referral in the characters before it."""
+    ms, pieces = f"regexp_extract_all(f, '{marker}')", f"string_split_regex(f, '{marker}')"
+    total = lambda part: f"coalesce(list_sum(list_transform({part}, lambda x: length(x))), 0)"
+    at = f"({total(f'({pieces})[1:k]')} + {total(f'({ms})[1:k - 1]')})"
+    free = f"not regexp_matches(substr(f, cast(greatest({at} - {legal.LOOK_BACK}, 0) + 1 as bigint), cast(least({at}, {legal.LOOK_BACK}) as bigint)), '{legal.REFERRAL}')"
+    return f"coalesce(list_bool_or(list_transform(generate_series(1, len({ms})), lambda k: {free})), false)"
+
+
+@query(sql("dec", "").rstrip() + rf""", p as (select ecli, arg_min(body, para_id) body, idx from decision_paragraph group by ecli, idx), h as (select ecli, arg_min({_SQUEEZE.format('body')}, idx) body from p group by ecli),
+r as (select d.ecli, d.court_code, d.case_no, h.body, lower({_SQUEEZE.format(_CZ.format(_NO_MARKS))}) f from dec d left join h on h.ecli = d.ecli)
+select ecli, case when trim(coalesce(body, '')) = '' and trim(coalesce(case_no, '')) = '' then 'unknown' when court_code = 'US' and (coalesce(regexp_matches(trim(case_no), '^(?i)Pl\.?\s*ÚS\s*\d+/\d{{2,4}}$'), false) or {_asserted(legal.PANEL_NAMES['plenary'])}) then 'plenary'
+  when court_code = 'NSS' and {_asserted(legal.PANEL_NAMES['extended'])} then 'extended' when court_code = 'NS' and {_asserted(legal.PANEL_NAMES['grand'])} then 'grand' else 'panel' end panel_type from r""")
 def f20_panel_types(spark, d):
     """The panel of each decision as its first paragraph and case number tell it."""
     head = _paragraphs(spark, d).groupBy(F.col("doc").alias("ecli")).agg(F.min_by("body", "paragraph_idx").alias("body"))
@@ -265,7 +280,9 @@ def a22_days(spark, d):
     return days.join(seen, ["court_code", "day"], "left").fillna(0, ["reported", "seen"]).withColumn("missing", F.greatest(F.col("reported") - F.col("seen"), F.lit(0)))
 
 
-@query()
+@query(f"with {_refs_sql(_PARA)}, {_sentences_sql('select doc, paragraph_idx, body t from para', 'doc, paragraph_idx')}, said as (select *, {_LOWER.format('sentence')} form from sentences)"
+    + f""" select s.doc, s.paragraph_idx, sentence_start, sentence, coalesce((select string_agg(b.body, chr(10) || chr(10) order by b.paragraph_idx) from para b where b.doc = s.doc and b.paragraph_idx between s.paragraph_idx - 3 and s.paragraph_idx - 1 and b.body <> ''), '') context
+from said s where ({" or ".join(f"contains(form, '{t}')" for t in extract.TRIGGERS)}) and not exists (select 1 from refs r where r.doc = s.doc and r.paragraph_idx = s.paragraph_idx and r.span_start < s.sentence_start + length(s.sentence) and r.span_end > s.sentence_start)""")
 def c6_back_references(spark, d):
     """Sentences that refer back and hold no citation, with the paragraphs before them."""
     rows = _paragraphs(spark, d)
