@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kodex.functions.legal import czech_date
-from kodex.functions.text import despaced, squeeze, unaccented
+from kodex.functions.text import SPACE, despaced, squeeze, unaccented
 
 # The named entities that court pages use.
 ENTITIES = {"nbsp": "\xa0", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "sect": "§", "ndash": "–", "mdash": "—", "aacute": "á", "eacute": "é", "iacute": "í", "oacute": "ó", "uacute": "ú", "yacute": "ý", "amp": "&"}
+#: Paragraphs in which the Constitutional Court's verdict opens, and letters that tell how a paragraph begins.
+VERDICT_DEPTH, HEAD_LETTERS = 6, 16
 
 
 def plain_lines(html: Column) -> Column:
@@ -30,15 +32,28 @@ def paragraphs(pages: DataFrame, key: str, html: str, min_length: int = 1) -> Da
 
 
 def verdicts(rows: DataFrame) -> DataFrame:
-    """(ecli, verdict_text): the paragraphs after the first that begins with `takto`, up to the reasons or a numbered paragraph.
+    """(ecli, verdict_text): the paragraphs after the opener, up to the reasons or, but for the Constitutional Court, a numbered paragraph.
+
+    As each court's pages are laid out, the opener is: of the Constitutional Court the last of the first six paragraphs that
+    ends with `takto:` or is `výrok`; of the Supreme Administrative Court the first paragraph that begins with `takto`; of
+    any other the first that is one of these. Starts are told by the first letters whatever the spaces between them, ends by
+    the whole paragraph.
 
     The start and end positions are aggregated first and only the paragraphs between them are gathered, so that a decision
     with a large part of all rows isn't.
     """
-    flat = rows.select("ecli", "idx", "body", despaced(F.substring("body", 1, 64)).alias("_f"))
-    starts = flat.filter("_f like 'takto%' or _f like '%takto:'").groupBy("ecli").agg(F.min("idx").alias("_start"))
+    # the first letters with what stands between them: enough for the longest opener or closer
+    head = despaced(F.regexp_extract("body", rf"^(?:(?:{SPACE}|\p{{M}})*+[^\p{{M}}]){{0,{HEAD_LETTERS}}}", 0))
+    us, nss = F.col("ecli").rlike("^(?:nalus|ECLI:CZ:US):"), F.col("ecli").startswith("ECLI:CZ:NSS:")
+    flat = rows.select("ecli", "idx", "body", head.alias("_f"), us.alias("_us"), nss.alias("_nss"))
+    ends = F.when(F.col("body").contains(":"), despaced(F.col("body")).endswith("takto:")).otherwise(False)
+    begins, label = F.col("_f").startswith("takto"), F.col("_f") == "vyrok"
+    openers = flat.filter(~F.col("_us")).filter(begins | (~F.col("_nss") & (label | ends))).select("ecli", "idx", "_us")
+    depth = flat.filter("_us").withColumn("_r", F.row_number().over(Window.partitionBy("ecli").orderBy("idx"))).filter(F.col("_r") <= VERDICT_DEPTH)
+    openers = openers.unionByName(depth.filter(label | ends).select("ecli", "idx", "_us"))
+    starts = openers.groupBy("ecli").agg(F.coalesce(F.max(F.when(F.col("_us"), F.col("idx"))), F.min("idx")).alias("_start"))
     later = flat.join(starts, "ecli").filter("idx > _start")
-    stops = later.filter(F.col("_f").startswith("oduvodneni") | F.col("body").rlike(r"^\[\d+\]")).groupBy("ecli").agg(F.min("idx").alias("_stop"))
+    stops = later.filter(F.col("_f").startswith("oduvodneni") | (~F.col("_us") & F.col("body").rlike(r"^\[\d+\]"))).groupBy("ecli").agg(F.min("idx").alias("_stop"))
     inside = later.join(stops, "ecli", "left").filter("_stop is null or idx < _stop")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "body"))), lambda x: x["body"]), "\n")
     return inside.groupBy("ecli").agg(F.trim(text).alias("verdict_text")).filter("verdict_text <> ''")

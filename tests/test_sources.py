@@ -57,6 +57,21 @@ def test_pages(spark):
     assert {r.ecli: r.verdict_text for r in pages.verdicts(p).collect()} == {"a": "I. Ruší se.\nII. X", "c": "Y"}
 
 
+def test_verdicts_as_each_court_opens_them(spark):
+    long = "Ústavní soud rozhodl v senátu složeném z předsedy a soudců o ústavní stížnosti stěžovatele proti rozsudku Nejvyššího soudu, "
+    cases = {
+        "nalus:1-1-20_1": ["I. ÚS 1/20", long + "takto:", "Rozsudek se zrušuje.", "[1] dále", "Odůvodnění", "x"],
+        "nalus:2-1-20_1": ["Nález", long + "t a k t o :", "I.", "V ý r o k", "II.", "Odůvodnění"],
+        "nalus:3-1-20_1": ["a", "b", "c", "d", "e", "f", long + "takto:", "cizí výrok"],
+        "nalus:4-1-20_1": ["Výrok se ruší", "b"],
+        "ECLI:CZ:NSS:2020:1": ["1 As 1/2020", "[1] " + long + "takto:", "cizí", " " * 80 + "t a k t o :", "Zamítá se.", "O d ů v o d n ě n í", "x"],
+        "ECLI:CZ:NS:2020:1": [long + "takto:", "Dovolání se odmítá.", "[1] x"],
+    }
+    rows = spark.createDataFrame([(k, i, b) for k, v in cases.items() for i, b in enumerate(v, 2)], "ecli string, idx int, body string")
+    want = {"nalus:1-1-20_1": "Rozsudek se zrušuje.\n[1] dále", "nalus:2-1-20_1": "II.", "ECLI:CZ:NSS:2020:1": "Zamítá se.", "ECLI:CZ:NS:2020:1": "Dovolání se odmítá."}
+    assert {r.ecli: r.verdict_text for r in pages.verdicts(rows).collect()} == want
+
+
 def test_kept_latest_survives_restarts_and_late_rows(spark, tmp_path):
     source, schema = tmp_path / "in", "k int, v string, at int"
     kept = incremental.KeptLatest(spark, ["k"], ["at", "v"], str(tmp_path / "kept"))
