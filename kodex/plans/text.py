@@ -128,6 +128,8 @@ def f18_fragment_keys(spark, d):
     return table(spark, d, "provision").select("id", legal.fragment_keys(path).alias("k")).select("id", "k.section", "k.subsec")
 
 
+#: How many paragraphs are a decision's heading; one where a court has no known layout.
+HEADINGS = {"NSS": 4, "US": 2}
 _NO_MARKS = r"regexp_replace(h.body, '\p{M}', '', 'g')"
 
 
@@ -145,9 +147,12 @@ r as (select d.ecli, d.court_code, d.case_no, h.body, lower({_SQUEEZE.format(_CZ
 select ecli, case when trim(coalesce(body, '')) = '' and trim(coalesce(case_no, '')) = '' then 'unknown' when court_code = 'US' and (coalesce(regexp_matches(trim(case_no), '^(?i)Pl\.?\s*ÚS\s*\d+/\d{{2,4}}$'), false) or {_asserted(legal.PANEL_NAMES['plenary'])}) then 'plenary'
   when court_code = 'NSS' and {_asserted(legal.PANEL_NAMES['extended'])} then 'extended' when court_code = 'NS' and {_asserted(legal.PANEL_NAMES['grand'])} then 'grand' else 'panel' end panel_type from r""")
 def f20_panel_types(spark, d):
-    """The panel of each decision as its first paragraph and case number tell it."""
-    head = _paragraphs(spark, d).groupBy(F.col("doc").alias("ecli")).agg(F.min_by("body", "paragraph_idx").alias("body"))
-    rows = decisions(spark, d).select("ecli", "court_code", "case_no").join(head, "ecli", "left")
+    """The panel of each decision as its heading and case number tell it."""
+    rows = decisions(spark, d).select("ecli", "court_code", "case_no")
+    first = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in HEADINGS.items() for x in kv]), F.col("court_code")), F.lit(1))
+    head = pages.leading(_paragraphs(spark, d).select(F.col("doc").alias("ecli"), F.col("paragraph_idx").alias("idx"), "body"), max(HEADINGS.values()))
+    head = pages.joined(head.join(rows.select("ecli", first.alias("_first")), "ecli").filter("rank <= _first")).withColumnRenamed("heading", "body")
+    rows = rows.join(head, "ecli", "left")
     return rows.select("ecli", legal.panel_type(F.col("court_code"), F.col("body"), F.col("case_no")).alias("panel_type"))
 
 

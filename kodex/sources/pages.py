@@ -81,13 +81,21 @@ def bold_verdict(html: Column) -> Column:
     return F.array_join(F.get(F.filter(body, lambda x: F.size(x) > 0), F.lit(0)), "\n")
 
 
-def headings(rows: DataFrame, first: int = 4) -> DataFrame:
-    """(ecli, heading, dated_on): the first paragraphs of each decision joined, and the last date that a paragraph gives.
+def leading(rows: DataFrame, first: int) -> DataFrame:
+    """(ecli, idx, body, rank): the first paragraphs of each decision.
 
     The rank filter becomes a limit per group that is applied before the shuffle, so a long decision sends few rows.
     """
     w = Window.partitionBy("ecli").orderBy("idx")
-    ranked = rows.select("ecli", "idx", "body").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= first)
-    head = ranked.groupBy("ecli").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "body"))), lambda x: x["body"]), " ").alias("heading"))
+    return rows.select("ecli", "idx", "body").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= first)
+
+
+def joined(rows: DataFrame) -> DataFrame:
+    """(ecli, heading): few paragraphs of each decision in one line."""
+    return rows.groupBy("ecli").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "body"))), lambda x: x["body"]), " ").alias("heading"))
+
+
+def headings(rows: DataFrame, first: int = 4) -> DataFrame:
+    """(ecli, heading, dated_on): the first paragraphs of each decision joined, and the last date that a paragraph gives."""
     dated = rows.select("ecli", "idx", czech_date(F.col("body")).alias("_d")).filter("_d is not null").groupBy("ecli").agg(F.max_by("_d", "idx").alias("dated_on"))
-    return head.join(dated, "ecli", "left")
+    return joined(leading(rows, first)).join(dated, "ecli", "left")

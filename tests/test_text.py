@@ -9,6 +9,7 @@ from kodex.functions import legal, text
 from kodex.functions.regex import find_all
 from kodex.operators import extract
 from kodex.patterns import PATTERNS
+from kodex.plans import text as plans
 
 TEXTS = [
     "Viz č. j. 6 Ads 45/2014-32 a sp. zn. II. ÚS 2379/08, též sp. zn. Pl. ÚS 29/98.",
@@ -123,3 +124,12 @@ def test_legal_forms(spark):
 def test_panel_type(spark, court, said, case_no, want):
     got = one(spark, legal.panel_type, court, said, case_no)
     assert got == want or (want == "panel" and got == "extended" and "rozhodl v rozšířeném" in said)
+
+
+def test_panel_of_the_whole_heading(spark, monkeypatch):
+    court = {"a": "NSS", "b": "NSS", "c": "US", "d": "US", "e": "NSS"}
+    marked = {"a": (4, "rozhodl v rozšířeném senátu"), "b": (5, "rozhodl v rozšířeném senátu"), "c": (2, "plénum rozhodlo"), "d": (3, "plénum rozhodlo"), "e": (2, "věc se postupuje rozšířenému senátu")}
+    rows = [(k, i + 1, k_at[1] if i == k_at[0] else f"odstavec {i}") for k, k_at in marked.items() for i in range(1, 7)]
+    monkeypatch.setattr(plans, "_paragraphs", lambda s, d: spark.createDataFrame(rows, "doc string, paragraph_idx int, body string"))
+    monkeypatch.setattr(plans, "decisions", lambda s, d: spark.createDataFrame([(k, v, "1/20") for k, v in court.items()], "ecli string, court_code string, case_no string"))
+    assert {r.ecli: r.panel_type for r in plans.f20_panel_types(spark, "").collect()} == {"a": "extended", "b": "panel", "c": "plenary", "d": "panel", "e": "panel"}
