@@ -269,6 +269,20 @@ def a19_case_mentions(spark, d):
     return rows.groupBy(key.alias("key")).agg(F.count("*").alias("mentions")).select("key", "mentions", F.lit(True).alias("known"))
 
 
+@query()
+def a19_case_histogram(spark, d):
+    """Mentions of each constitutional case by document key, both forms of the year in one, with the most frequent spelling; most cited first."""
+    p = r"sp\.\s*zn\.\s*((?:Pl\.|[IVX]+\.?)\s*ÚS\s+\d+/\d{2,4})"
+    rows = table(spark, d, "decision_paragraph").filter(F.col("body").contains("ÚS")).select(F.explode(F.regexp_extract_all("body", F.lit(p), F.lit(1))).alias("raw"))
+    return case_histogram(rows.select(text.squeeze(F.col("raw")).alias("spelling"))).orderBy(F.desc("mentions"), "key")
+
+
+def case_histogram(mentions: DataFrame) -> DataFrame:
+    """(key, spelling, mentions) of the cases that (spelling) names: the most frequent spelling, the least one of several, and all mentions."""
+    per = mentions.groupBy(legal.sign_key(F.col("spelling")).alias("key"), "spelling").agg(F.count("*").alias("n")).filter("key is not null")
+    return per.groupBy("key").agg(F.min_by("spelling", F.struct(-F.col("n"), "spelling")).alias("spelling"), F.sum("n").alias("mentions"))
+
+
 @query("select substr(content_type, 1, case when strpos(content_type, ';') > 0 then strpos(content_type, ';') - 1 else length(content_type) end) prefix, count(*) n from cached_page where content_type is not null group by 1")
 def a20_prefix_counts(spark, d):
     return table(spark, d, "cached_page").filter("content_type is not null").groupBy(F.substring_index("content_type", ";", 1).alias("prefix")).agg(F.count("*").alias("n"))

@@ -133,3 +133,24 @@ def test_panel_of_the_whole_heading(spark, monkeypatch):
     monkeypatch.setattr(plans, "_paragraphs", lambda s, d: spark.createDataFrame(rows, "doc string, paragraph_idx int, body string"))
     monkeypatch.setattr(plans, "decisions", lambda s, d: spark.createDataFrame([(k, v, "1/20") for k, v in court.items()], "ecli string, court_code string, case_no string"))
     assert {r.ecli: r.panel_type for r in plans.f20_panel_types(spark, "").collect()} == {"a": "extended", "b": "panel", "c": "plenary", "d": "panel", "e": "panel"}
+
+
+def test_cases_by_document_key(spark):
+    said = ["Pl. ÚS 44/2021", "Pl. ÚS 44/21", "Pl. ÚS 44/21", "IV. ÚS 5/20", "IV.ÚS 5/20", "XX. ÚS 1/20"]
+    rows = spark.createDataFrame([(x,) for x in said], "spelling string")
+    assert {tuple(r) for r in plans.case_histogram(rows).collect()} == {("Pl-44-21_1", "Pl. ÚS 44/21", 3), ("4-5-20_1", "IV. ÚS 5/20", 2)}
+
+
+def test_case_histogram_has_every_mention(spark, data):
+    from collections import Counter, defaultdict
+
+    want = defaultdict(Counter)
+    for r in spark.read.parquet(f"{data}/decision_paragraph.parquet").select("body").collect():
+        for who, n, year in re.findall(r"sp\.\s*zn\.\s*(Pl|[IVX]+)\.?\s*ÚS\s+(\d+)/(\d{2,4})", r.body or "", re.A):
+            k = {"Pl": "Pl", "I": "1", "II": "2", "III": "3", "IV": "4"}.get(who)
+            if k:
+                want[f"{k}-{n}-{year[-2:]}_1"][who] += 1
+    got = plans.a19_case_histogram(spark, data).collect()
+    assert {r.key: r.mentions for r in got} == {k: sum(c.values()) for k, c in want.items()} and got
+    assert [(-r.mentions, r.key) for r in got] == sorted((-r.mentions, r.key) for r in got)
+
