@@ -355,6 +355,15 @@ def s20_headings(spark, d):
     return pages.headings(table(spark, d, "decision_paragraph").groupBy("ecli", "idx").agg(F.min_by("body", "para_id").alias("body"))).select("ecli", "heading")
 
 
+@query()
+def s20_decision_dates(spark, d):
+    """The heading of each decision with the last date that any of its paragraphs gives, which is the decision's own."""
+    from kodex.sources import pages
+
+    rows = pages.headings(table(spark, d, "decision_paragraph").groupBy("ecli", "idx").agg(F.min_by("body", "para_id").alias("body")))
+    return rows.select("ecli", "heading", F.date_format("dated_on", "yyyy-MM-dd").alias("dated_on"))
+
+
 @query("select count(distinct ecli) decisions, count(*) as refs, count(resolved_ecli) decision_hits, count(resolved_provision_id) provision_hits from reference_span")
 def a12_extraction_totals(spark, d):
     return table(spark, d, "reference_span").agg(F.count_distinct("ecli").alias("decisions"), F.count("*").alias("refs"), F.count("resolved_ecli").alias("decision_hits"), F.count("resolved_provision_id").alias("provision_hits"))

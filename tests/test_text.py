@@ -154,3 +154,35 @@ def test_case_histogram_has_every_mention(spark, data):
     assert {r.key: r.mentions for r in got} == {k: sum(c.values()) for k, c in want.items()} and got
     assert [(-r.mentions, r.key) for r in got] == sorted((-r.mentions, r.key) for r in got)
 
+
+def test_decisions_are_dated_by_their_last_date(spark, data):
+    from datetime import date
+
+    from kodex.plans import more
+
+    rows = spark.read.parquet(f"{data}/decision_paragraph.parquet").orderBy("ecli", "idx", "para_id").collect()
+    bodies = {}
+    for r in rows:
+        bodies.setdefault((r.ecli, r.idx), r.body)
+    want = {}
+    for (ecli, _), body in sorted(bodies.items()):
+        want.setdefault(ecli, None)
+        plain = text_plain(body or "")
+        if m := re.search(r"(\d{1,2})\.\s*(\d{1,2})\.\s*(\d{4})", body or "", re.A):
+            d, mon, y = map(int, m.groups())
+        elif (m := re.search(r"(\d{1,2})\.\s*([a-z]+)\s+(\d{4})", plain, re.A)) and m[2] in legal.MONTHS:
+            d, mon, y = int(m[1]), legal.MONTHS[m[2]], int(m[3])
+        else:
+            continue
+        try:
+            want[ecli] = date(y, mon, d).isoformat()
+        except ValueError:
+            pass
+    got = {r.ecli: r.dated_on for r in more.s20_decision_dates(spark, data).collect()}
+    assert got == want and any(got.values())
+
+
+def text_plain(s):
+    import unicodedata
+
+    return " ".join("".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c)).split()).lower()
