@@ -14,11 +14,12 @@ from kodex.session import shared_dir
 BUCKETS = 64
 
 
-def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 64) -> DataFrame:
-    """A table of the data folder as a file stream."""
+def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = 64) -> DataFrame:
+    """A table of the data folder as a file stream; all files in one batch if no number is given."""
     path = f"{folder}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path}*")
+    stream = spark.readStream.schema(schema)
+    return (stream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else stream).parquet(f"{path}*")
 
 
 def event_windows(events: DataFrame, late: str = "1 hour", size: str = "1 day") -> DataFrame:

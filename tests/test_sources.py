@@ -85,6 +85,22 @@ def test_kept_latest_survives_restarts_and_late_rows(spark, tmp_path):
     assert sorted(map(str, again.run(both).collect())) == sorted(map(str, out.collect()))
 
 
+def test_event_windows_of_many_files_in_no_order(spark, tmp_path):
+    import os
+
+    from kodex.plans import more
+
+    spark.sql("select timestamp '2024-03-20' - make_interval(0, 0, 0, id) ts, 'a' event_type, 1.0D value from range(140)").coalesce(1).write.parquet(str(tmp_path / "all"))
+    rows = spark.read.parquet(str(tmp_path / "all"))
+    rows.repartitionByRange(140, F.desc("ts")).write.parquet(str(tmp_path / "events.parquet"))
+    files_ = sorted((tmp_path / "events.parquet").glob("part-*"))
+    assert len(files_) > 128  # rows are late from the third batch on
+    for i, f in enumerate(files_):  # the latest days come first
+        os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+    got = more.stream_event_windows(spark, str(tmp_path)).collect()
+    assert len(got) == 138 and all(r.n == 1 for r in got)
+
+
 def test_repeats_within_watermark(spark, tmp_path):
     spark.sql("select id % 3 k, timestamp '2024-01-01' + make_interval(0,0,0,0,0,0,id) ts from range(9)").coalesce(1).write.parquet(str(tmp_path / "e"))
     stream = spark.readStream.schema("k long, ts timestamp").parquet(str(tmp_path / "e"))
