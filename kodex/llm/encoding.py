@@ -125,10 +125,15 @@ def tokens(text: Column) -> Column:
 
 
 def vocabulary(rows: DataFrame) -> DataFrame:
-    """(token, n): every distinct token that has a character beyond ASCII, with its count over all rows of `text`."""
+    """(token, n): every distinct token that has a character beyond ASCII, with its count over the distinct values of `text`."""
+    # copies share the weight 1, so that no text has to be shuffled to leave the others out
+    copies = stage(rows.groupBy(F.xxhash64("text").alias("_h")).agg(F.count("*").alias("_copies")).filter("_copies > 1"))
+    texts = lookup(rows.select("text", F.xxhash64("text").alias("_h")), copies, ["_h"], "left")
     # explode_outer, as a plain explode is preceded by a filter that splits every text a second time
-    words = rows.select(F.explode_outer(F.filter(tokens(F.col("text")), lambda t: F.length(t) != F.octet_length(t))).alias("token"))
-    return words.filter("token is not null").groupBy("token").agg(F.count("*").alias("n"))
+    words = texts.select("_copies", F.explode_outer(F.filter(tokens(F.col("text")), lambda t: F.length(t) != F.octet_length(t))).alias("token"))
+    per = words.filter("token is not null").groupBy("token", F.coalesce("_copies", F.lit(1)).alias("_copies")).agg(F.count("*").alias("n"))
+    # whole numbers: each copy of a text adds as much
+    return per.groupBy("token").agg(F.sum(F.expr("n div _copies")).alias("n"))
 
 
 def skeleton(token: Column) -> Column:

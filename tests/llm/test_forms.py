@@ -66,6 +66,14 @@ def test_garbled_rows_and_restored(spark, monkeypatch, small):
     assert encoding.garbled_rows(df.limit(0)).count() == 0 and encoding.restored(df.filter("row_id >= 2000")).count() == 0
 
 
+def test_copies_of_a_garbled_text_weigh_as_one(spark):
+    garbled = misread("žluťoučký", ("cp1250", "cp1252"))
+    rows = [(1, "kůň žluťoučký"), (2, None), (3, None)] + [(i, f"x {garbled}") for i in range(10, 15)]
+    df = spark.createDataFrame([("t", i, x) for i, x in rows], "table_name string, row_id long, text string")
+    assert {r.row_id for r in encoding.garbled_rows(df).collect()} == set(range(10, 15))
+    assert {r.token: r.n for r in encoding.vocabulary(df).collect()} == {"kůň": 1, "žluťoučký": 1, garbled: 1}
+
+
 def test_rare_names_are_decoded_by_the_chain_of_their_row(spark):
     rows = [(i, "soudní řízení", "t") for i in range(5)] + [(9, misread("soudní řízení Halazaůvka", ("utf-8", "cp1250")), "t")]
     got = encoding.restored(spark.createDataFrame(rows, "row_id long, text string, table_name string")).collect()
