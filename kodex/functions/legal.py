@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kodex.functions.regex import find_all
+from kodex.functions.regex import let, matches
 from kodex.functions.text import squeeze, unaccented
 
 # Months as decisions write them, without diacritics, and the panels' Roman numerals.
@@ -81,28 +84,38 @@ def fragment_keys(path: Column) -> Column:
     return F.struct(section.alias("section"), F.when(section.isNotNull() & seg("odst").rlike(number), seg("odst")).alias("subsec"))
 
 
-def asserts(text: Column, marker: str, referral: str, look_back: int = LOOK_BACK) -> Column:
-    """Whether the unaccented text has a match of `marker` that no match of `referral` within the characters before it takes away."""
-    folded = unaccented(text)
-    free = F.exists(find_all(folded, marker), lambda m: ~F.substring(folded, F.greatest(m["start"] - look_back, F.lit(0)) + 1, F.least(m["start"], F.lit(look_back))).rlike(referral))
-    return F.coalesce(free, F.lit(False))
+def asserts(text: Column, markers: list[str], referral: str, look_back: int = LOOK_BACK) -> Column:
+    """Whether the unaccented text has a match of a marker that no match of `referral` within the characters before it takes away."""
+    def free(folded: Column) -> Column:
+        before = lambda m: F.substring(folded, F.greatest(m["start"] - look_back, F.lit(0)) + 1, F.least(m["start"], F.lit(look_back)))
+        return reduce(or_, [F.exists(matches(folded, p), lambda m: ~before(m).rlike(referral)) for p in markers])
+
+    return F.coalesce(let(unaccented(text), free), F.lit(False))
 
 
-# Verbs of referral and the panels' names, as regular expressions over unaccented text.
-REFERRAL = r"\b(?:postoup\w*|postupuj\w*|predlozi\w*|predlozen\w*|predklad\w*|prikaz\w*)\b"
-PANEL_NAMES = {"extended": r"\brozsiren\w+ senat\w*", "grand": r"\bvelk\w+ senat\w*", "plenary": r"\bplen(?:um|a|u|em|arni)\w*"}
+# Per court the names of its special panels and the verbs by which a panel refers a case to one, over unaccented text.
+EXTENDED_NSS = [r"\brozsiren\w* senat\w*\b", r"\b\d+clenn\w* rs nss\b"]
+PLENARY_NSS = [r"\bplen\w* nss\b"]
+GRAND_NS = [r"\bvelk\w* senat\w*\b"]
+PLENARY_US = [r"\bplen\w*\b"]
+PLENARY_SIGN = r"^\s*pl\.?\s*us\b"
+REFERRAL_NSS = r"\b(?:postoup\w*|postupuje|postupuji|predlozi\w*|predlozen\w*|predklad\w*|prikaz\w*|navrh\w* na postoupeni)\b"
+REFERRAL_NS = r"\b(?:postoup\w*|postupuje|postupuji|predlozi\w*|predlozen\w*|predklad\w*|prikaz\w*|navrh\w* na postoupeni)\b"
+REFERRAL_US = r"\b(?:postoup\w*|postupuje|predlozi\w*|predlozen\w*|predklad\w*|navrh\w* na postoupeni)\b"
 
 
 def panel_type(court: Column, text: Column, case_no: Column) -> Column:
-    """extended, grand, plenary, panel, or unknown where nothing is known.
+    """extended, grand, plenary, panel, or unknown where nothing is known, by each court's own names of panels.
 
-    A court's own special panel counts where the text asserts it; a constitutional case number with Pl. is plenary by itself.
+    A special panel counts where the text or the case number asserts it; a constitutional case number with Pl. is plenary by itself.
     """
     known = (F.trim(F.coalesce(text, F.lit(""))) != "") | (F.trim(F.coalesce(case_no, F.lit(""))) != "")
+    said = F.concat_ws(" ", text, case_no)
     return (
         F.when(~known, "unknown")
-        .when((court == "US") & ((sign_parts(case_no)["designator"] == "Pl") | asserts(text, PANEL_NAMES["plenary"], REFERRAL)), "plenary")
-        .when((court == "NSS") & asserts(text, PANEL_NAMES["extended"], REFERRAL), "extended")
-        .when((court == "NS") & asserts(text, PANEL_NAMES["grand"], REFERRAL), "grand")
+        .when((court == "US") & (F.coalesce(unaccented(case_no).rlike(PLENARY_SIGN), F.lit(False)) | asserts(text, PLENARY_US, REFERRAL_US)), "plenary")
+        .when((court == "NSS") & asserts(said, EXTENDED_NSS, REFERRAL_NSS), "extended")
+        .when((court == "NSS") & asserts(said, PLENARY_NSS, REFERRAL_NSS), "plenary")
+        .when((court == "NS") & asserts(said, GRAND_NS, REFERRAL_NS), "grand")
         .otherwise("panel")
     )

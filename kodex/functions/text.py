@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kodex.functions.regex import let, sums
+
 #: Fixed value: every Unicode white space, with the separators FS..US that Python's str.split() also takes.
 SPACE = r"[\s\x{85}\p{Z}\x1c-\x1f]+"
 #: Fixed value: Czech letters with diacritics, and the same without.
@@ -15,6 +17,8 @@ PLAIN = "acdeeinorstuuyzACDEEINORSTUUYZ"
 #: Fixed value: tokens that end in a full stop without ending a sentence.
 ABBREVIATIONS = "sp. zn. č. j. odst. písm. pís. zák. sb. čl. resp. tj. tzv. např. mj. str. obč. obch. tr. usn. roz. pl. atd. apod. s. ř. z. o. sr."
 _MARK = "\x01"
+#: Fixed value: ASCII white space, which ends a sentence after its full stop.
+_BLANK = " \t\n\x0b\f\r"
 
 
 def squeeze(text: Column) -> Column:
@@ -46,33 +50,23 @@ def paragraphs(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """array<struct<start, sentence>>: sentences with 0-based offsets; no break after abbreviations and numerals.
 
-    A break is white space after . ! or ?, unless the token before is in ABBREVIATIONS or a numeral with a full stop. Break
-    by break, the piece after it opens a new sentence or joins the one before.
+    A break is white space after . ! or ?, unless the token before is in ABBREVIATIONS or a numeral with a full stop. The
+    text is cut at every such white space, put together again with marks at the true breaks, and cut there.
     """
-    clean = F.regexp_replace(text, _MARK, " ")
+    clean = F.translate(text, _MARK, " ")
     pieces = F.split(F.regexp_replace(clean, r"(?<=[.!?])(\s+)", rf"$1{_MARK}"), _MARK)
-    words = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS.split())
-    open_end = rf"(?iu)(?:^|\s)(?:{words}|[0-9IVX]+\.)\s+$"
-    empty = F.lit(None).cast("array<struct<start:int,sentence:string>>")
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("start"), F.lit("").alias("held"), F.coalesce(empty, F.array().cast("array<struct<start:int,sentence:string>>")).alias("out"))
-
-    def add(acc: Column, piece: Column) -> Column:
-        held = F.concat(acc["held"], piece)
-        at = acc["at"] + F.length(piece)
-        goes_on = piece.rlike(open_end)
-        whole = F.struct(acc["start"].alias("start"), F.regexp_replace(held, r"\s+$", "").alias("sentence"))
-        return F.struct(
-            at.alias("at"),
-            F.when(goes_on, acc["start"]).otherwise(at).alias("start"),
-            F.when(goes_on, held).otherwise("").alias("held"),
-            F.when(goes_on, acc["out"]).otherwise(F.concat(acc["out"], F.array(whole))).alias("out"),
-        )
-
-    def finish(acc: Column) -> Column:
-        rest = F.array(F.struct(acc["start"].alias("start"), F.regexp_replace(acc["held"], r"\s+$", "").alias("sentence")))
-        return F.filter(F.when(acc["held"] != "", F.concat(acc["out"], rest)).otherwise(acc["out"]), lambda s: F.trim(s["sentence"]) != "")
-
-    return F.when(text.isNotNull(), F.aggregate(pieces, zero, add, finish))
+
+    def closed(piece: Column) -> Column:
+        token = F.substring_index(F.translate(F.rtrim(piece, F.lit(_BLANK)), _BLANK, " " * len(_BLANK)), " ", -1)
+        goes_on = let(token, lambda t: F.lower(t).isin(ABBREVIATIONS.split()) | t.rlike(r"^[0-9IVXivx]+\.$"))
+        return F.when(goes_on, piece).otherwise(F.concat(piece, F.lit(_MARK)))
+
+    def located(whole: Column) -> Column:
+        lengths = F.transform(whole, F.length)
+        entry = lambda s, at: F.struct((at - F.length(s)).alias("start"), F.rtrim(s, F.lit(_BLANK)).alias("sentence"))
+        return F.filter(let(sums(lengths), lambda at: F.transform(whole, lambda s, i: entry(s, F.get(at, i)))), lambda s: s["sentence"] != "")
+
+    return F.when(text.isNotNull(), let(F.split(F.array_join(F.transform(pieces, closed), ""), _MARK), located))
 
 
 def contains_any(text: Column, phrases: list[str]) -> Column:
@@ -101,17 +95,27 @@ def occurrences(text: Column, needle: Column) -> Column:
 
 def citation_sentence(paragraph: Column, citation: Column) -> Column:
     """The first sentence of a paragraph that holds the citation; null if none does."""
-    hit = F.filter(sentences(paragraph), lambda s: F.contains(alias_form(s["sentence"]), alias_form(citation)))
-    return F.when(squeeze(citation) != "", F.get(hit, F.lit(0))["sentence"])
+    return F.when(squeeze(citation) != "", cited(sentences(paragraph), citation))
+
+
+def cited(said: Column, citation: Column) -> Column:
+    """citation_sentence of sentences that were split already."""
+    return let(alias_form(citation), lambda c: F.get(F.filter(said, lambda s: F.contains(alias_form(s["sentence"]), c)), F.lit(0))["sentence"])
 
 
 def marked_sentence(text: Column, phrases: list[str], also: Column | None = None) -> Column:
     """The first sentence with one of the phrases (and, if given, with one of the strings of array `also`); null if none."""
-    hit = F.filter(sentences(text), lambda s: contains_any(s["sentence"], phrases))
-    if also is not None:
-        hit = F.filter(hit, lambda s: F.exists(also, lambda x: (x != "") & F.contains(alias_form(s["sentence"]), x)))
     # a text without any of the phrases isn't split
-    return F.when(contains_any(text, phrases), F.get(hit, F.lit(0))["sentence"])
+    return F.when(contains_any(text, phrases), marked(sentences(text), phrases, also))
+
+
+def marked(said: Column, phrases: list[str], also: Column | None = None) -> Column:
+    """marked_sentence of sentences that were split already."""
+    def fits(form: Column) -> Column:
+        any_of = form.rlike("|".join(re.escape(p) for p in phrases))
+        return any_of if also is None else any_of & F.exists(also, lambda x: (x != "") & F.contains(form, x))
+
+    return F.get(F.filter(said, lambda s: let(alias_form(s["sentence"]), fits)), F.lit(0))["sentence"]
 
 
 def truncated(text: Column, limit: int = 120) -> Column:

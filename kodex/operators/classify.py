@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kodex.functions.text import alias_form, citation_sentence, is_verbatim, marked_sentence, squeeze, truncated
+from kodex.functions.text import alias_form, cited, contains_any, is_verbatim, marked, marked_sentence, sentences, squeeze, truncated
 from kodex.patterns import DEPARTURE, NARROWING, PARTY, QUASHING
 from kodex.schema import MODEL_LABELS
 
@@ -19,11 +19,6 @@ def quashed_sentence(verdict: Column, names: Column, cited_on: Column, citing_on
     return F.when(F.coalesce(cited_on < citing_on, F.lit(False)), marked_sentence(verdict, QUASHING, F.transform(names, alias_form)))
 
 
-def submitted_sentence(paragraph: Column, citation: Column) -> Column:
-    """The sentence of a paragraph in which a party brings up the citation; null if none."""
-    return F.when(squeeze(citation) != "", marked_sentence(paragraph, PARTY, F.array(alias_form(citation))))
-
-
 def route(edges: DataFrame) -> DataFrame:
     """edges with route, label, confidence, evidence_span, reason.
 
@@ -34,8 +29,10 @@ def route(edges: DataFrame) -> DataFrame:
     here = F.coalesce(F.get("context", F.col("focus")), F.lit(""))
     around = F.array_join("context", "\n\n")
     rows = edges.withColumn("_q", quashed_sentence(F.col("verdict_text"), F.col("cited_names"), F.col("cited_date"), F.col("citing_date")))
-    rows = rows.withColumn("_m", submitted_sentence(here, F.col("raw_text"))).withColumn("_c", citation_sentence(here, F.col("raw_text")))
-    departs, narrows = marked_sentence(around, DEPARTURE).isNotNull(), marked_sentence(around, NARROWING).isNotNull()
+    # the paragraph is split once for both rules; no phrase holds what ends a sentence, so the context needn't be split
+    rows = rows.withColumn("_s", F.when(squeeze(F.col("raw_text")) != "", sentences(here)))
+    rows = rows.withColumn("_m", F.when(contains_any(here, PARTY), marked(F.col("_s"), PARTY, F.array(alias_form(F.col("raw_text")))))).withColumn("_c", cited(F.col("_s"), F.col("raw_text")))
+    departs, narrows = contains_any(around, DEPARTURE), contains_any(around, NARROWING)
     why = (
         F.when(F.col("_q").isNotNull(), "quashed").when(F.col("_m").isNotNull(), "party_submission").when(F.col("citing_panel").isin(DEPARTURE_PANELS), "panel_type")
         .when(departs, "departure_marker").when(narrows, "narrowing_marker").when(F.col("_c").isNull(), "low_confidence").otherwise("triage")

@@ -7,43 +7,60 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kodex.functions.regex import find_all
+from kodex.functions.regex import let, located, parted, running
 from kodex.functions.text import alias_form, contains_any, sentences
-from kodex.patterns import PATTERNS, TRIGGERS, Pattern
+from kodex.patterns import PATTERNS, TRIGGERS
 from kodex.session import salted_join
 
-_SPAN = "array<struct<pattern_ord:int,kind:string,raw:string,start:int,end:int,groups:map<string,string>>>"
-
-
-def spans(text: Column) -> Column:
-    """array<struct<pattern_ord, kind, raw, start, end, groups>>: the catalogue's matches in one text, contained ones dropped.
+def kept_spans(text: Column) -> Column:
+    """array<struct<start, back, pattern_ord, raw>>: the catalogue's matches in one text, contained ones dropped; back is minus the end.
 
     A span goes if a strictly longer one contains it, or an equal one of an earlier pattern does; crossing spans both stay.
-    Sorted by start, end, pattern. A pattern runs only over texts that hold its fixed part.
+    In the order of start, falling end and pattern, that is a span whose end doesn't go beyond all ends before it.
     """
-    def hits(i: int, p: Pattern) -> Column:
-        entry = lambda m: F.struct(F.lit(i).alias("pattern_ord"), F.lit(p.kind).alias("kind"), m["raw"].alias("raw"), m["start"].alias("start"), m["end"].alias("end"), m["groups"].alias("groups"))
-        return F.when(text.contains(p.holds), F.transform(find_all(text, p.regex, p.groups), entry)).otherwise(F.array().cast(_SPAN))
+    # one expression finds the matches of all patterns; a text without a pattern's fixed part isn't searched for it
+    none = F.array().cast("array<string>")
+    cut = F.array(*[F.when(text.contains(p.holds), parted(text, p.regex)).otherwise(none) for p in PATTERNS])
+    entry = lambda m, i: F.struct(m["start"].alias("start"), (-m["end"]).alias("back"), i.alias("pattern_ord"), m["raw"].alias("raw"))
+    found = F.flatten(F.transform(cut, lambda parts, i: F.transform(located(parts), lambda m: entry(m, i))))
+
+    def outer(every: Column) -> Column:
+        least = running(F.transform(every, lambda s: s["back"]), "int", F.least, F.lit(0))
+        return let(least, lambda low: F.filter(every, lambda s, i: (i == 0) | (s["back"] < F.get(low, i - 1))))
+
+    return let(F.array_sort(found), lambda e: F.when(F.size(e) > 1, outer(e)).otherwise(e))
+
 
-    every = F.concat(*[hits(i, p) for i, p in enumerate(PATTERNS)])
+def named_groups(pattern_ord: Column, raw: Column) -> Column:
+    """The map of a match's groups; absent ones aren't in it."""
+    pairs = lambda p: F.array(*[F.struct(F.lit(g).alias("key"), F.regexp_extract(raw, p.regex, k + 1).alias("value")) for k, g in enumerate(p.groups)])
+    some = reduce(lambda w, ip: w.when(pattern_ord == ip[0], pairs(ip[1])), enumerate(PATTERNS[1:], 1), F.when(pattern_ord == 0, pairs(PATTERNS[0])))
+    return F.map_from_entries(F.filter(some, lambda e: e["value"] != ""))
 
-    def covers(o: Column, s: Column) -> Column:
-        same = (o["start"] == s["start"]) & (o["end"] == s["end"])
-        return (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & (~same | (o["pattern_ord"] < s["pattern_ord"]))
 
-    kept = F.filter(every, lambda s: ~F.exists(every, lambda o: covers(o, s)))
-    key = lambda s: F.struct(s["start"], s["end"], s["pattern_ord"])
-    return F.array_sort(kept, lambda a, b: F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0))
+def kind_of(pattern_ord: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(p.kind) for p in PATTERNS]), pattern_ord + 1)
+
+
+def spans(text: Column) -> Column:
+    """array<struct<pattern_ord, kind, raw, start, end, groups>> of kept_spans, sorted by start, end, pattern.
+
+    A pattern runs only over texts that hold its fixed part.
+    """
+    entry = lambda s: F.struct(s["pattern_ord"].alias("pattern_ord"), kind_of(s["pattern_ord"]).alias("kind"), s["raw"].alias("raw"), s["start"].alias("start"), (-s["back"]).alias("end"), named_groups(s["pattern_ord"], s["raw"]).alias("groups"))
+    # no two kept spans begin at one place, so their order is that of their ends as well
+    return F.transform(kept_spans(text), entry)
 
 
 def references(paragraphs: DataFrame) -> DataFrame:
     """(doc, paragraph_idx, kind, raw_text, span_start, span_end, pattern_ord, groups) of (doc, paragraph_idx, body).
 
-    Map-only. Null bodies have no spans; paragraphs without the fixed part of any pattern aren't searched.
+    Map-only. Null bodies have no spans; paragraphs without the fixed part of any pattern aren't searched. Groups are read
+    off the kept matches alone.
     """
     some = reduce(lambda a, b: a | b, [F.col("body").contains(p.holds) for p in PATTERNS])
-    found = paragraphs.filter(some).select("doc", "paragraph_idx", F.explode(spans(F.col("body"))).alias("s"))
-    return found.select("doc", "paragraph_idx", F.col("s.kind").alias("kind"), F.col("s.raw").alias("raw_text"), F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.pattern_ord").alias("pattern_ord"), F.col("s.groups").alias("groups"))
+    found = paragraphs.filter(some).select("doc", "paragraph_idx", F.explode(kept_spans(F.col("body"))).alias("s"))
+    return found.select("doc", "paragraph_idx", kind_of(F.col("s.pattern_ord")).alias("kind"), F.col("s.raw").alias("raw_text"), F.col("s.start").alias("span_start"), (-F.col("s.back")).alias("span_end"), F.col("s.pattern_ord").alias("pattern_ord"), named_groups(F.col("s.pattern_ord"), F.col("s.raw")).alias("groups"))
 
 
 def alias_candidates(kind: Column, raw: Column, groups: Column, bare_fallback: bool = False) -> Column:

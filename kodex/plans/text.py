@@ -11,7 +11,7 @@ from kodex.functions import legal, text
 from kodex.operators import classify, extract, graph, merge
 from kodex.patterns import PATTERNS
 from kodex.plans.derived import citations, decisions, sql
-from kodex.session import spread, stage
+from kodex.session import hot_keys, salted_join, spread, stage, widened
 from kodex.sources import pages
 from kodex.sources.tables import table
 
@@ -84,7 +84,7 @@ sentences as (select {keys}, min(before)::int sentence_start, regexp_replace(str
 @query("with " + _sentences_sql("select para_id, body t from decision_paragraph", "para_id") + " select para_id, sentence_start, sentence from sentences")
 def f7_sentences(spark, d):
     """Sentences of every paragraph with their offsets."""
-    return table(spark, d, "decision_paragraph").select("para_id", F.inline(text.sentences(F.col("body")))).select("para_id", F.col("start").alias("sentence_start"), "sentence")
+    return widened(table(spark, d, "decision_paragraph").select("para_id", "body")).select("para_id", F.inline(text.sentences(F.col("body")))).select("para_id", F.col("start").alias("sentence_start"), "sentence")
 
 
 def _phrases(names: list[str]) -> str:
@@ -133,19 +133,29 @@ HEADINGS = {"NSS": 4, "US": 2}
 _NO_MARKS = r"regexp_replace(h.body, '\p{M}', '', 'g')"
 
 
-def _asserted(marker: str) -> str:
-    """SQL: whether f has a match of the marker without a verb of referral in the characters before it."""
-    ms, pieces = f"regexp_extract_all(f, '{marker}')", f"string_split_regex(f, '{marker}')"
-    total = lambda part: f"coalesce(list_sum(list_transform({part}, lambda x: length(x))), 0)"
-    at = f"({total(f'({pieces})[1:k]')} + {total(f'({ms})[1:k - 1]')})"
-    free = f"not regexp_matches(substr(f, cast(greatest({at} - {legal.LOOK_BACK}, 0) + 1 as bigint), cast(least({at}, {legal.LOOK_BACK}) as bigint)), '{legal.REFERRAL}')"
-    return f"coalesce(list_bool_or(list_transform(generate_series(1, len({ms})), lambda k: {free})), false)"
+def _asserted(markers: list[str], referral: str) -> str:
+    """SQL: whether f has a match of a marker without a verb of referral in the 48 characters before it."""
+    def one(marker: str) -> str:
+        ms, pieces = f"regexp_extract_all(f, '{marker}')", f"string_split_regex(f, '{marker}')"
+        total = lambda part: f"coalesce(list_sum(list_transform({part}, lambda x: length(x))), 0)"
+        at = f"({total(f'({pieces})[1:k]')} + {total(f'({ms})[1:k - 1]')})"
+        free = f"not regexp_matches(substr(f, cast(greatest({at} - 48, 0) + 1 as bigint), cast(least({at}, 48) as bigint)), '{referral}')"
+        return f"coalesce(list_bool_or(list_transform(generate_series(1, len({ms})), lambda k: {free})), false)"
 
+    return "(" + " or ".join(map(one, markers)) + ")"
 
-@query(sql("dec", "").rstrip() + rf""", p as (select ecli, arg_min(body, para_id) body, idx from decision_paragraph group by ecli, idx), h as (select ecli, arg_min({_SQUEEZE.format('body')}, idx) body from p group by ecli),
-r as (select d.ecli, d.court_code, d.case_no, h.body, lower({_SQUEEZE.format(_CZ.format(_NO_MARKS))}) f from dec d left join h on h.ecli = d.ecli)
-select ecli, case when trim(coalesce(body, '')) = '' and trim(coalesce(case_no, '')) = '' then 'unknown' when court_code = 'US' and (coalesce(regexp_matches(trim(case_no), '^(?i)Pl\.?\s*ÚS\s*\d+/\d{{2,4}}$'), false) or {_asserted(legal.PANEL_NAMES['plenary'])}) then 'plenary'
-  when court_code = 'NSS' and {_asserted(legal.PANEL_NAMES['extended'])} then 'extended' when court_code = 'NS' and {_asserted(legal.PANEL_NAMES['grand'])} then 'grand' else 'panel' end panel_type from r""")
+
+# the courts' rules in SQL by themselves, so that a fault in the operator's lists shows
+_NSS_REFERS, _US_REFERS = (r"\b(?:postoup\w*|postupuje|" + x + r"predlozi\w*|predlozen\w*|predklad\w*|" + y + r"navrh\w* na postoupeni)\b" for x, y in (("postupuji|", r"prikaz\w*|"), ("", "")))
+
+
+@query(sql("dec", "").rstrip() + rf""", p as (select ecli, arg_min(body, para_id) body, idx from decision_paragraph group by ecli, idx), n as (select *, row_number() over (partition by ecli order by idx) r from p),
+h as (select d.ecli, string_agg({_SQUEEZE.format('n.body')}, ' ' order by idx) body from dec d join n on n.ecli = d.ecli and r <= case d.court_code when 'NSS' then 4 when 'US' then 2 else 1 end group by d.ecli),
+r as (select d.ecli, d.court_code, d.case_no, h.body, lower({_SQUEEZE.format(_CZ.format(_NO_MARKS.replace("h.body", "concat_ws(' ', h.body, case when court_code <> 'US' then case_no end)")))}) f,
+  lower({_SQUEEZE.format(_CZ.format("case_no"))}) sign from dec d left join h on h.ecli = d.ecli)
+select ecli, case when trim(coalesce(body, '')) = '' and trim(coalesce(case_no, '')) = '' then 'unknown' when court_code = 'US' and (coalesce(regexp_matches(sign, '^\s*pl\.?\s*us\b'), false) or {_asserted([r'\bplen\w*\b'], _US_REFERS)}) then 'plenary'
+  when court_code = 'NSS' and {_asserted([r'\brozsiren\w* senat\w*\b', r'\b\d+clenn\w* rs nss\b'], _NSS_REFERS)} then 'extended' when court_code = 'NSS' and {_asserted([r'\bplen\w* nss\b'], _NSS_REFERS)} then 'plenary'
+  when court_code = 'NS' and {_asserted([r'\bvelk\w* senat\w*\b'], _NSS_REFERS)} then 'grand' else 'panel' end panel_type from r""")
 def f20_panel_types(spark, d):
     """The panel of each decision as its heading and case number tell it."""
     rows = decisions(spark, d).select("ecli", "court_code", "case_no")
@@ -258,22 +268,25 @@ def a18_span_scores(spark, d):
     return span_scores(gold, found, ["doc", "paragraph_idx", "raw_text", "span_start", "span_end"])
 
 
-@query(r"""with m as (select unnest(regexp_extract_all(body, 'sp\.\s*zn\.\s*(?:(?:Pl\.|[IVX]+\.?)\s*ÚS\s+\d+/\d{2,4})')) raw from decision_paragraph where contains(body, 'ÚS')),
-k as (select lower(trim(regexp_replace(regexp_replace(raw, '^sp\.\s*zn\.\s*', ''), '\s+', ' ', 'g'))) as key, raw, count(*) n from m group by all)
-select key, sum(n)::bigint mentions, arg_max(raw, n * 1.0 - 0.0) is not null as known from k group by key""")
+_CASES = r"""m as (select trim(regexp_replace(unnest(regexp_extract_all(body, 'sp\.\s*zn\.\s*((?:Pl\.|[IVX]+\.?)\s*ÚS\s+\d+/\d{2,4})', 1)), '\s+', ' ', 'g')) spelling from decision_paragraph where contains(body, 'ÚS')),
+k as (select case when starts_with(spelling, 'Pl') then 'Pl' else list_position(['I', 'II', 'III', 'IV'], regexp_extract(spelling, '^([IVX]+)', 1))::varchar end || '-' || regexp_extract(spelling, '(\d+)/', 1) || '-' || right(spelling, 2) || '_1' as key, spelling, count(*) n from m group by all),
+histogram as (select key, arg_min(spelling, (-n, spelling)) spelling, sum(n)::bigint mentions from k where key is not null group by key)"""
+_STORED_KEY = r"""case when regexp_matches(c, '^(?i)pl') then 'Pl' else cast(list_position(['I', 'II', 'III', 'IV'], upper(regexp_extract(c, '^([IVXivx]+)', 1))) as varchar) end || '-' || regexp_extract(c, '(\d+)/', 1) || '-' || right(regexp_extract(c, '/(\d{2,4})$', 1), 2) || '_1'"""
+
+
+@query(rf"""with {_CASES}, stored as (select distinct {_STORED_KEY} as key from (select trim(case_no) c from decision) where regexp_matches(c, '^(?i)(?:Pl\.?|[IVX]+\.?)\s*ÚS\s*\d+/\d{{2,4}}$'))
+select h.key, spelling, mentions, s.key is not null as known from histogram h left join stored s on s.key = h.key""")
 def a19_case_mentions(spark, d):
-    """How often each constitutional case number is mentioned in paragraphs that pass the cheap test."""
-    p = r"sp\.\s*zn\.\s*(?:(?:Pl\.|[IVX]+\.?)\s*ÚS\s+\d+/\d{2,4})"
-    rows = table(spark, d, "decision_paragraph").filter(F.col("body").contains("ÚS")).select(F.explode(F.regexp_extract_all("body", F.lit(p), F.lit(0))).alias("raw"))
-    key = F.lower(F.trim(F.regexp_replace(F.regexp_replace("raw", r"^sp\.\s*zn\.\s*", ""), r"\s+", " ")))
-    return rows.groupBy(key.alias("key")).agg(F.count("*").alias("mentions")).select("key", "mentions", F.lit(True).alias("known"))
+    """Each constitutional case that paragraphs mention, by document key, and whether its decision is stored already."""
+    stored = table(spark, d, "decision").select(legal.sign_key(F.col("case_no")).alias("key")).filter("key is not null").distinct().withColumn("known", F.lit(True))
+    return a19_case_histogram(spark, d).join(stored, "key", "left").fillna(False, ["known"])
 
 
-@query()
+@query(f"with {_CASES} select key, spelling, mentions from histogram order by mentions desc, key")
 def a19_case_histogram(spark, d):
     """Mentions of each constitutional case by document key, both forms of the year in one, with the most frequent spelling; most cited first."""
-    p = r"sp\.\s*zn\.\s*((?:Pl\.|[IVX]+\.?)\s*ÚS\s+\d+/\d{2,4})"
-    rows = table(spark, d, "decision_paragraph").filter(F.col("body").contains("ÚS")).select(F.explode(F.regexp_extract_all("body", F.lit(p), F.lit(1))).alias("raw"))
+    p = dict((x.name, x) for x in PATTERNS)["case_no_us"]
+    rows = table(spark, d, "decision_paragraph").filter(F.col("body").contains(p.holds)).select(F.explode(F.regexp_extract_all("body", F.lit(p.regex), F.lit(1))).alias("raw"))
     return case_histogram(rows.select(text.squeeze(F.col("raw")).alias("spelling"))).orderBy(F.desc("mentions"), "key")
 
 
@@ -318,23 +331,36 @@ def w1_context_windows(spark, d):
 
 
 _VERDICTS = f"""whole as (select ecli, idx, arg_min(body, para_id) body from decision_paragraph group by 1, 2),
-folded as (select *, replace(lower({_SQUEEZE.format(_CZ.format(r"regexp_replace(left(body, 64), '\\p{M}', '', 'g')"))}), ' ', '') f from whole),
-starts as (select ecli, min(idx) s from folded where f like 'takto%' or f like '%takto:' group by 1),
-later as (select f.* from folded f join starts s on s.ecli = f.ecli and f.idx > s.s), stops as (select ecli, min(idx) e from later where starts_with(f, 'oduvodneni') or regexp_matches(body, '^\\[\\d+\\]') group by 1),
+folded as (select *, replace(lower({_SQUEEZE.format(_CZ.format(r"regexp_replace(body, '\\p{M}', '', 'g')"))}), ' ', '') f, case when regexp_matches(ecli, '^(nalus|ECLI:CZ:US):') then 'US' when starts_with(ecli, 'ECLI:CZ:NSS:') then 'NSS' end court,
+  row_number() over (partition by ecli order by idx) r from whole),
+starts as (select ecli, max(idx) s from folded where court = 'US' and r <= 6 and (f = 'vyrok' or f like '%takto:') group by 1 union all select ecli, min(idx) from folded where court = 'NSS' and f like 'takto%' group by 1),
+later as (select f.* from folded f join starts s on s.ecli = f.ecli and f.idx > s.s), stops as (select ecli, min(idx) e from later where starts_with(f, 'oduvodneni') or (court = 'NSS' and regexp_matches(body, '^\\[\\d+\\]')) group by 1),
 verdicts as (select l.ecli, trim(string_agg(body, chr(10) order by idx)) verdict_text from later l left join stops e on e.ecli = l.ecli where e.e is null or idx < e.e group by 1 having trim(string_agg(body, chr(10) order by idx)) <> '')"""
 
 
+def _bodies(spark, d):
+    """(ecli, idx, body): a paragraph that was loaded twice once."""
+    return table(spark, d, "decision_paragraph").groupBy("ecli", "idx").agg(F.min_by("body", "para_id").alias("body"))
+
+
+def _verdicts(rows):
+    return pages.verdicts(rows.filter(pages.has_layout(F.col("ecli"))))
+
+
 def _edges(spark, d):
     """Citation edges with both decisions, the aliases of the cited one, the context and the citing verdict."""
-    rows = decisions(spark, d)
-    c = citations(spark, d).filter("cited_ecli is not null")
+    rows = stage(decisions(spark, d).select("ecli", "panel_type", "decided_on", "case_no", "ref_no", "journal_no"))
+    c = stage(citations(spark, d).filter("cited_ecli is not null"))
+    names = merge.alias_rows(rows).filter("alias_kind <> 'journal_no'").groupBy("ecli").agg(F.array_sort(F.collect_set("alias")).alias("cited_names"))
     citing = rows.select(F.col("ecli").alias("citing_ecli"), F.col("panel_type").alias("citing_panel"), F.col("decided_on").alias("citing_date"))
-    cited = rows.select(F.col("ecli").alias("cited_ecli"), F.col("decided_on").alias("cited_date"))
-    names = merge.alias_rows(rows).filter("alias_kind <> 'journal_no'").groupBy(F.col("ecli").alias("cited_ecli")).agg(F.array_sort(F.collect_set("alias")).alias("cited_names"))
-    paragraphs = table(spark, d, "decision_paragraph").groupBy("ecli", "idx").agg(F.min_by("body", "para_id").alias("body"))
-    windows = graph.context_windows(paragraphs).select(F.col("ecli").alias("citing_ecli"), F.col("idx").alias("paragraph_idx"), "context", "focus")
-    verdicts = pages.verdicts(paragraphs).withColumnRenamed("ecli", "citing_ecli")
-    edges = c.join(citing, "citing_ecli").join(cited, "cited_ecli").join(names, "cited_ecli", "left").join(windows, ["citing_ecli", "paragraph_idx"], "left").join(verdicts, "citing_ecli", "left")
+    cited = rows.join(names, "ecli", "left").select(F.col("ecli").alias("cited_ecli"), F.col("decided_on").alias("cited_date"), "cited_names")
+    paragraphs = stage(_bodies(spark, d))
+    # contexts of cited paragraphs alone; a decision's window is at most four paragraphs wider
+    windows = graph.context_windows(paragraphs).select(F.col("ecli").alias("citing_ecli"), F.col("idx").alias("paragraph_idx"), "context", "focus").join(c.select("citing_ecli", "paragraph_idx").distinct(), ["citing_ecli", "paragraph_idx"], "left_semi")
+    verdicts = stage(_verdicts(paragraphs).withColumnRenamed("ecli", "citing_ecli"))
+    by_citing, by_cited = stage(hot_keys(c, ["citing_ecli"])), stage(hot_keys(c, ["cited_ecli"]))
+    edges = salted_join(salted_join(c, citing, ["citing_ecli"], hot=by_citing), cited, ["cited_ecli"], hot=by_cited)
+    edges = salted_join(edges.join(windows, ["citing_ecli", "paragraph_idx"], "left"), verdicts, ["citing_ecli"], "left", hot=by_citing)
     return edges.withColumn("context", F.coalesce("context", F.array().cast("array<string>"))).withColumn("focus", F.coalesce("focus", F.lit(0))).withColumn("cited_names", F.coalesce("cited_names", F.array().cast("array<string>")))
 
 
@@ -371,8 +397,30 @@ def a13_route_shares(spark, d):
 
 @query(f"with {_VERDICTS} select ecli, verdict_text from verdicts")
 def w9_verdicts(spark, d):
-    """The operative part of each decision."""
-    return pages.verdicts(table(spark, d, "decision_paragraph").groupBy("ecli", "idx").agg(F.min_by("body", "para_id").alias("body")))
+    """The operative part of each decision of a court whose pages' layout is known."""
+    return _verdicts(_bodies(spark, d))
+
+
+def _bold_pages(spark, d):
+    """(ecli, html) of a page for each constitutional decision: some paragraphs with emphasis, then the verdict in bold under its label."""
+    filler = F.repeat(F.lit("<p>Odstavec <b>zvýrazněný text</b> návrhu.</p>"), F.length("ecli") % 9)
+    html = F.concat(F.lit('<html><head><title>x</title></head><body><div class="DocContent">'), filler, F.lit("<p><b>V ý r o k<br/>Stížnost "), "ecli", F.lit(" se&nbsp;odmítá.</b></p><p>Odůvodnění</p></div></body></html>"))
+    return table(spark, d, "decision").filter("court_code = 'US'").select("ecli").distinct().select("ecli", html.alias("html"))
+
+
+_BOLD = "bold as (select distinct ecli, 'Stížnost ' || ecli || ' se odmítá.' bold from decision where court_code = 'US' and length(ecli) % 9 + 2 <= 6)"
+
+
+@query(f"with {_BOLD} select ecli, bold verdict_text from bold")
+def s21_bold_verdicts(spark, d):
+    """The verdict that a page sets in bold within its first six paragraphs, without its label."""
+    return _bold_pages(spark, d).select("ecli", pages.bold_verdict(F.col("html")).alias("verdict_text")).filter("verdict_text is not null")
+
+
+@query(f"with {_VERDICTS}, {_BOLD} select coalesce(b.ecli, v.ecli) ecli, coalesce(bold, verdict_text) verdict_text from bold b full join verdicts v on v.ecli = b.ecli")
+def s19_cached_verdicts(spark, d):
+    """Each decision's verdict: what its cached page sets in bold, else what its paragraphs announce."""
+    return pages.cached_verdicts(_bodies(spark, d), _bold_pages(spark, d))
 
 
 @query(r"""with n as (select ecli, cast(regexp_extract(body, '^\[(\d{1,9})\]', 1) as int) no, idx, para_id from decision_paragraph where regexp_matches(body, '^\[\d{1,9}\]')),
@@ -392,7 +440,7 @@ for _p, _r in pages.ENTITIES.items():
 @query(f"select page_id, unnest(c) body, generate_subscripts(c, 1)::int idx from (select page_id, list_filter(list_transform(string_split({_LINES}, chr(10)), lambda x: {_SQUEEZE.format('x')}), lambda x: x <> '') c from cached_page)")
 def s15_page_paragraphs(spark, d):
     """The paragraphs of every cached page."""
-    return pages.paragraphs(table(spark, d, "cached_page"), "page_id", "text")
+    return pages.paragraphs(widened(table(spark, d, "cached_page").select("page_id", "text")), "page_id", "text")
 
 
 @query(r"""select page_id, regexp_extract(text, '(?s)<title>(.*?)</title>', 1) title, list_position([true], status between 200 and 299) is not null ok from cached_page""")

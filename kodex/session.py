@@ -12,15 +12,19 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A key that holds more than this share of the rows is hot. At most 1 / HOT_SHARE keys can be, which bounds their broadcast.
 HOT_SHARE = 1 / 256
 #: Parts into which a hot key is split.
 SALTS = 32
-#: Rows up to which a staged table may be broadcast by sized_broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows, and bytes in memory, up to which a staged table may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 48 << 20
 
 
+#: Bytes of files a core below which a table is dealt out by `widened`.
+SPLIT_BYTES = 4 << 20
+
 _shipped: set[str] = set()
 
 
@@ -48,27 +52,79 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (single-machine tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder all executors share: spark.checkpoint.dir. Only where that is unset and the master is local, a local one."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
-        app = spark.sparkContext.applicationId
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        app = context.applicationId
         if app not in _local:
             _local[app] = "file://" + _temporary()
         folder = _local[app]
     return folder.rstrip("/")
 
 
+def _staged(spark: SparkSession) -> str:
+    """The folder of this application's staged tables."""
+    return f"{shared_dir(spark)}/kodex-{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Write df as a compressed table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as a compressed table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The tables of an application are in one folder, which `release` removes once its results have been read.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{_staged(spark)}/stage-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized_broadcast(staged: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A staged table with a broadcast hint if it has at most `rows` rows; else unhinted, so that the join shuffles."""
-    return F.broadcast(staged) if staged.limit(rows + 1).count() <= rows else staged
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of the JVM."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables that this application staged. Results that still read from them must have been written before."""
+    files, path = hadoop_path(spark, _staged(spark))
+    files.delete(path, True)
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row of df takes in memory."""
+    def width(name: str, kind: T.DataType) -> Column:
+        c = F.col(f"`{name}`")
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
+            return F.coalesce(F.size(c), F.lit(0)) * 8 + 24
+        if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 24
+        return F.lit(8)
+
+    return reduce(lambda a, b: a + b, [width(f.name, f.dataType).cast("long") for f in df.schema.fields], F.lit(40).cast("long"))
+
+
+def file_bytes(df: DataFrame) -> int:
+    """Catalyst's size of a plan: for a table that is only read, that of its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def is_small(staged: DataFrame, rows: int | None = None) -> bool:
+    """Whether a staged table has at most `rows` rows and BROADCAST_BYTES in memory: its files are asked first, then the rows themselves."""
+    rows = BROADCAST_ROWS if rows is None else rows
+    if rows < 0 or file_bytes(staged) > BROADCAST_BYTES:
+        return False
+    n, size = staged.limit(rows + 1).agg(F.count("*"), F.sum(row_bytes(staged))).first()
+    return n <= rows and (size or 0) <= BROADCAST_BYTES
+
+
+def sized_broadcast(staged: DataFrame, rows: int | None = None) -> DataFrame:
+    """A staged table with a broadcast hint if it is small; else unhinted, so that the join shuffles."""
+    return F.broadcast(staged) if is_small(staged, rows) else staged
 
 
 def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
@@ -92,16 +148,27 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return parts.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
-def lookup(left: DataFrame, staged: DataFrame, keys: list[str], how: str = "inner", rows: int = BROADCAST_ROWS, counted: DataFrame | None = None) -> DataFrame:
-    """Join a skewed left side with a staged table: by broadcast if that has at most `rows` rows, else salted.
+def lookup(left: DataFrame, staged: DataFrame, keys: list[str], how: str = "inner", rows: int | None = None, counted: DataFrame | None = None) -> DataFrame:
+    """Join a skewed left side with a staged table: by broadcast if that is small, else salted.
 
     Hot keys are counted on `counted`, where that is cheaper than `left`.
     """
-    if staged.limit(rows + 1).count() <= rows:
+    if is_small(staged, rows):
         return left.join(F.broadcast(staged), keys, how)
     return salted_join(left, staged, keys, how, hot_keys(left if counted is None else counted, keys))
 
 
+def widened(rows: DataFrame) -> DataFrame:
+    """A table's rows dealt out over all cores where its files are too few to fill them by their own splits.
+
+    Decided by the files' size: a table of more than SPLIT_BYTES a core is never shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if file_bytes(rows) > SPLIT_BYTES * cores:
+        return rows
+    return rows.repartition(cores, F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")]))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df dealt out by unique keys over as many tasks as shuffles have, for costly work after a join on skewed ones."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

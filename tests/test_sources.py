@@ -85,6 +85,40 @@ def test_kept_latest_survives_restarts_and_late_rows(spark, tmp_path):
     assert sorted(map(str, again.run(both).collect())) == sorted(map(str, out.collect()))
 
 
+def test_kept_latest_goes_on_after_a_restart(spark, tmp_path):
+    source, schema, folder = tmp_path / "in", "k int, v string, at int", str(tmp_path / "kept")
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    fresh = lambda: incremental.KeptLatest(spark, ["k"], ["at", "v"], folder, buckets=4)
+    got = lambda df: sorted(tuple(r) for r in df.collect())
+    put([(1, "a", 1), (2, "a", 1)])
+    fresh().run(stream())
+    put([(3, "c", 1)])
+    assert got(fresh().run(stream())) == [(1, "a", 1), (2, "a", 1), (3, "c", 1)]
+    assert got(fresh().run(stream())) == [(1, "a", 1), (2, "a", 1), (3, "c", 1)]  # nothing new
+    kept = fresh()
+    before, last = dict(kept.state["at"]), kept.state["number"]
+    kept.fold(spark.createDataFrame([(1, "repeated", 9)], schema), last)  # a committed batch again
+    assert got(kept.table()) == [(1, "a", 1), (2, "a", 1), (3, "c", 1)]
+    kept.fold(spark.createDataFrame([(1, "b", 5)], schema), last + 1)
+    assert sum(before[b] != kept.state["at"][b] for b in before) == 1  # only the bucket touched
+
+    class Killed(Exception):
+        pass
+
+    def die(state):
+        raise Killed
+
+    broken = fresh()
+    broken._commit = die
+    with pytest.raises(Killed):  # written, not committed
+        broken.fold(spark.createDataFrame([(2, "lost", 7)], schema), last + 2)
+    again = fresh()
+    assert got(again.table()) == [(1, "b", 5), (2, "a", 1), (3, "c", 1)]
+    again.fold(spark.createDataFrame([(2, "kept", 7)], schema), last + 2)
+    assert got(fresh().table()) == [(1, "b", 5), (2, "kept", 7), (3, "c", 1)]
+
+
 def test_event_windows_of_many_files_in_no_order(spark, tmp_path):
     import os
 
