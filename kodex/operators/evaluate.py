@@ -63,9 +63,16 @@ def red_scores(scored: DataFrame) -> DataFrame:
 
 
 def span_scores(gold: DataFrame, found: DataFrame, keys: list[str], kind: str = "kind") -> DataFrame:
-    """(kind, tp, fp, fn, precision, recall) by equality of whole spans, repeated ones counting once."""
-    g, f = gold.select(*keys, kind).distinct().withColumn("_g", F.lit(1)), found.select(*keys, kind).distinct().withColumn("_f", F.lit(1))
-    rows = g.join(f, [*keys, kind], "full")
+    """(kind, tp, fp, fn, precision, recall) by equality of whole spans, repeated ones counting once.
+
+    Where both sides have `groups` (map), also group_mismatches: spans that both have, with other groups.
+    """
+    grouped = "groups" in gold.columns and "groups" in found.columns
+    # a map isn't orderable, its sorted text is
+    said = F.to_json(F.array_sort(F.map_entries("groups"))) if grouped else F.lit("")
+    side = lambda df, name: df.groupBy(*keys, kind).agg(F.max(F.coalesce(said, F.lit("[]"))).alias(name))
+    rows = side(gold, "_g").join(side(found, "_f"), [*keys, kind], "full")
     both, only_f, only_g = F.col("_g").isNotNull() & F.col("_f").isNotNull(), F.col("_g").isNull(), F.col("_f").isNull()
-    sums = rows.groupBy(kind).agg(F.count_if(both).alias("tp"), F.count_if(only_f).alias("fp"), F.count_if(only_g).alias("fn"))
+    more = [F.count_if(both & (F.col("_g") != F.col("_f"))).alias("group_mismatches")] if grouped else []
+    sums = rows.groupBy(kind).agg(F.count_if(both).alias("tp"), F.count_if(only_f).alias("fp"), F.count_if(only_g).alias("fn"), *more)
     return sums.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))

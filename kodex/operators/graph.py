@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kodex.session import hot_keys, salted_join
+from kodex.operators.asof import winners
+from kodex.operators.sweep import coverage
+from kodex.session import hot_keys, lookup, salted_join, stage
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -46,17 +48,24 @@ def followed(citations: DataFrame, treatments: DataFrame) -> DataFrame:
     return edges.join(ok, "citation_id").select("citing_ecli", "cited_ecli").distinct()
 
 
-def in_force(rows: DataFrame, versions: DataFrame, day: str, keys: list[str], prefix: str) -> DataFrame:
-    """rows (with provision_id and a day column) with <prefix>_id, _body, _from of the version in force, null if none.
+def in_force(rows: DataFrame, versions: DataFrame, day: str, prefix: str) -> DataFrame:
+    """rows (with provision_id and a day column) with <prefix>_id, <prefix>_from of the version in force, null if none.
 
-    Of several versions in force the one that starts last counts, of equals the greatest id. An equi-join on the provision
-    with a range condition, then the best per row; a provision with many rows is salted.
+    Of several versions in force the one that starts last counts, of equals the greatest id. Each provision and day is
+    looked up once, through the disjoint intervals between changes of asof.winners; rows of a hot provision are salted.
     """
-    v = versions.filter("valid_from is not null").select("provision_id", F.struct(F.col("valid_from").alias("from"), F.col("id").alias("id"), F.col("body").alias("body")).alias("_v"), F.col("valid_to").alias("_to"))
-    pairs = salted_join(rows.select(*keys, "provision_id", day).distinct(), v, ["provision_id"])
-    hit = pairs.filter((F.col("_v.from") <= F.col(day)) & (F.col("_to").isNull() | (F.col("_to") >= F.col(day))))
-    best = hit.groupBy(*keys, "provision_id").agg(F.max_by("_v", F.struct("_v.from", "_v.id")).alias("_v"))
-    return rows.join(best, [*keys, "provision_id"], "left").select(*rows.columns, *[F.col(f"_v.{c}").alias(f"{prefix}_{c}") for c in ("id", "body", "from")])
+    days = stage(rows.select("provision_id", F.col(day).alias("day")).distinct())
+    best = winners(versions, days, "provision_id", "valid_from", "valid_to", None, "id")
+    starts = versions.select("id", F.col("valid_from").alias(f"{prefix}_from"))
+    found = stage(best.join(starts, "id").select("provision_id", F.col("day").alias(day), F.col("id").alias(f"{prefix}_id"), f"{prefix}_from"))
+    return lookup(rows, found, ["provision_id", day], "left").select(*rows.columns, f"{prefix}_id", f"{prefix}_from")
+
+
+def differing_pairs(pairs: DataFrame, versions: DataFrame) -> DataFrame:
+    """The distinct (v0_id, v1_id) of pairs whose bodies differ; a pair that many decisions share is compared once."""
+    bodies = lambda side: versions.select(F.col("id").alias(f"{side}_id"), F.col("body").alias(f"_{side}"))
+    asked = pairs.filter("v0_id <> v1_id").select("v0_id", "v1_id").distinct()
+    return asked.join(bodies("v0"), "v0_id").join(bodies("v1"), "v1_id").filter("_v0 <> _v1").select("v0_id", "v1_id")
 
 
 def in_force_at(versions: DataFrame, day: Column) -> DataFrame:
@@ -85,13 +94,18 @@ def relied_on(citations: DataFrame, decisions: DataFrame, versions: DataFrame, j
     """
     cases = decisions.select(F.col("ecli").alias("citing_ecli"), "decided_on")
     cited = citations.filter("cited_provision is not null").select("citing_ecli", F.col("cited_provision").alias("provision_id")).distinct()
-    rows = in_force(cited.join(cases, "citing_ecli"), versions, "decided_on", ["citing_ecli"], "v0")
-    now = in_force_at(versions, day).select("provision_id", *[F.col(c).alias(f"v1_{c}") for c in ("id", "body", "from")])
-    rows = rows.join(now, "provision_id", "left").join(latest_materiality(judgements), ["v0_id", "v1_id"], "left").join(derogations(versions, decisions, day), "provision_id", "left")
+    dated = stage(salted_join(cited, cases, ["citing_ecli"]))
+    now = stage(in_force_at(versions, day).select("provision_id", F.col("id").alias("v1_id"), F.col("from").alias("v1_from")))
+    rows = lookup(in_force(dated, versions, "decided_on", "v0"), now, ["provision_id"], "left", counted=dated)
+    rows = lookup(rows, stage(derogations(versions, decisions, day)), ["provision_id"], "left", counted=dated)
+    rows = stage(rows)
+    reworded = differing_pairs(rows, versions).withColumn("reworded", F.lit(True))
+    pairs = stage(rows.select("v0_id", "v1_id").distinct().join(reworded, ["v0_id", "v1_id"], "left").join(latest_materiality(judgements), ["v0_id", "v1_id"], "left"))
+    rows = lookup(rows, pairs, ["v0_id", "v1_id"], "left")
     return rows.select(
         F.col("citing_ecli").alias("ecli"),
         "provision_id",
-        F.coalesce(F.col("v0_body") != F.col("v1_body"), F.lit(False)).alias("reworded"),
+        F.coalesce("reworded", F.lit(False)).alias("reworded"),
         F.when(~F.col("v0_id").eqNullSafe(F.col("v1_id")), F.col("v1_from")).alias("changed_on"),
         F.coalesce("material", F.lit(False)).alias("material"),
         "derogated_by",
@@ -102,10 +116,11 @@ def pending_rewordings(citations: DataFrame, decisions: DataFrame, versions: Dat
     """Distinct (from_version_id, to_version_id) of reworded provisions that this prompt version hasn't judged."""
     cases = decisions.select(F.col("ecli").alias("citing_ecli"), "decided_on")
     # many decisions share a provision and a day: the pair is looked up once
-    asked = citations.filter("cited_provision is not null").select("citing_ecli", F.col("cited_provision").alias("provision_id")).distinct().join(cases, "citing_ecli").select("provision_id", "decided_on").distinct()
-    rows = in_force(asked, versions, "decided_on", ["decided_on"], "v0")
-    now = in_force_at(versions, day).select("provision_id", F.col("id").alias("v1_id"), F.col("body").alias("v1_body"))
-    pairs = rows.join(now, "provision_id").filter("v0_id <> v1_id and v0_body <> v1_body").select(F.col("v0_id").alias("from_version_id"), F.col("v1_id").alias("to_version_id")).distinct()
+    cited = citations.filter("cited_provision is not null").select("citing_ecli", F.col("cited_provision").alias("provision_id")).distinct()
+    asked = stage(salted_join(cited, cases, ["citing_ecli"]).select("provision_id", "decided_on").distinct())
+    now = stage(in_force_at(versions, day).select("provision_id", F.col("id").alias("v1_id")))
+    rows = lookup(in_force(asked, versions, "decided_on", "v0"), now, ["provision_id"], counted=asked)
+    pairs = differing_pairs(rows, versions).select(F.col("v0_id").alias("from_version_id"), F.col("v1_id").alias("to_version_id"))
     done = judgements.filter(F.col("prompt_version") == prompt_version).select("from_version_id", "to_version_id")
     return pairs.join(done, ["from_version_id", "to_version_id"], "left_anti")
 
@@ -129,9 +144,45 @@ def overlaps(versions: DataFrame, bucket: int = OVERLAP_BUCKET) -> DataFrame:
     return a.join(b, ["provision_id", "_b"]).filter("_start > _f and _t >= _start").select("provision_id", "earlier_id", "later_id")
 
 
+def overlap_counts(versions: DataFrame) -> DataFrame:
+    """(provision_id, day, n_starting, n_earlier): per start day how many windows start and how many earlier ones reach it.
+
+    Earlier ones that reach a day are those that started before it less those that ended before it, so starts and ends are
+    summed per day and their running sums compared: a provision's group is bounded by the calendar, and no pair is made.
+    """
+    rows = versions.filter("valid_from is not null").select("provision_id", F.unix_date("valid_from").alias("_f"), F.unix_date("valid_to").alias("_t"))
+    # a window that ends before it starts reaches no day, but is reached
+    whole = F.col("_t").isNull() | (F.col("_t") >= F.col("_f"))
+    entry = lambda day, starting, d: F.struct(day.alias("_day"), F.lit(starting).cast("long").alias("_s"), d.cast("long").alias("_d"))
+    one, none = F.when(whole, 1).otherwise(0), F.lit(0)
+    # a start counts from the day after it, an end likewise
+    events = rows.select("provision_id", F.inline(F.array(entry(F.col("_f"), 1, none), entry(F.col("_f") + 1, 0, one), entry(F.col("_t") + 1, 0, -one)))).filter("_day is not null")
+    per = events.groupBy("provision_id", "_day").agg(F.sum("_s").alias("n_starting"), F.sum("_d").alias("_d"))
+    reach = F.sum("_d").over(Window.partitionBy("provision_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, 0))
+    return per.withColumn("n_earlier", reach).filter("n_starting > 0").select("provision_id", F.date_from_unix_date("_day").alias("day"), "n_starting", "n_earlier")
+
+
+def overlap_classes(versions: DataFrame) -> DataFrame:
+    """(id, provision_id, class_from, links): every window with the first day of its continuous period and its number of earlier windows that reach its start.
+
+    The windows of one period are one class of the overlaps; links are counted, never paired. An inverted window has no
+    period of its own: its class is that of the period that covers its start, null if none does.
+    """
+    periods = coverage(versions, "provision_id", "valid_from", "valid_to").filter("kind = 'period'").select("provision_id", F.unix_date(F.col("day_from").cast("date")).alias("_c"))
+    # the period of a start is the last that begins by it, if it reaches it: both are events on one line of days
+    starts = overlap_counts(versions)
+    marks = periods.select("provision_id", "_c", F.col("_c").alias("_day"), F.lit(0).alias("_k")).unionByName(starts.select("provision_id", F.lit(None).cast("int").alias("_c"), F.unix_date("day").alias("_day"), F.lit(1).alias("_k")))
+    over = Window.partitionBy("provision_id").orderBy("_day", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    classes = marks.withColumn("_c", F.last("_c", ignorenulls=True).over(over)).filter("_k = 1").select("provision_id", F.date_from_unix_date("_day").alias("day"), F.date_from_unix_date("_c").alias("_c"))
+    days = stage(starts.join(classes, ["provision_id", "day"]).select("provision_id", F.col("day").alias("valid_from"), "_c", "n_earlier"))
+    rows = lookup(versions.filter("valid_from is not null").select("id", "provision_id", "valid_from", "valid_to"), days, ["provision_id", "valid_from"])
+    inverted = F.coalesce(F.col("valid_to") < F.col("valid_from"), F.lit(False))
+    return rows.select("id", "provision_id", F.when(~inverted | (F.col("n_earlier") > 0) | (F.col("_c") == F.col("valid_from")), F.col("_c")).alias("class_from"), F.col("n_earlier").alias("links"))
+
+
 def timeline_problems(versions: DataFrame) -> DataFrame:
-    """(provision_id, problem, n): overlapping pairs and more than one open window."""
-    pairs = overlaps(versions).groupBy("provision_id").agg(F.count("*").alias("n")).select("provision_id", F.lit("overlap").alias("problem"), "n")
+    """(provision_id, problem, n): overlapping pairs, which are counted without being made, and more than one open window."""
+    pairs = overlap_counts(versions).groupBy("provision_id").agg(F.sum(F.col("n_starting") * F.col("n_earlier")).alias("n")).filter("n > 0").select("provision_id", F.lit("overlap").alias("problem"), "n")
     open_ = versions.filter("valid_to is null").groupBy("provision_id").agg(F.count("*").alias("n")).filter("n > 1").select("provision_id", F.lit("open").alias("problem"), "n")
     return pairs.unionByName(open_)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kodex.functions.legal import sign_spellings
 from kodex.functions.text import alias_form
 from kodex.operators.graph import latest
-from kodex.session import salted_join
+from kodex.session import salted_join, stage
 
 #: Kinds of alias in the order in which a decision's own ones are kept.
 ALIAS_KINDS = [("ecli_variant", "ecli"), ("case_no", "case_no"), ("ref_no", "ref_no"), ("journal_no", "journal_no")]
@@ -124,16 +124,49 @@ def timeline_refusals(records: DataFrame) -> DataFrame:
     return inverted.unionByName(clash).distinct()
 
 
-def timeline_actions(old: DataFrame, new: DataFrame) -> DataFrame:
+def timeline_actions(old: DataFrame, new: DataFrame, judgements: DataFrame | None = None) -> DataFrame:
     """(provision_id, valid_from, id, action): insert, update, unchanged or delete, matched by start, ids kept.
 
-    Only provisions that occur in new are touched.
+    Only provisions that occur in new are touched. With judgements, a provision of which a version would be deleted that a
+    judgement names is refused whole: `refused` stands for each of its actions, and referenced_versions says why.
     """
     fields = ["body", "valid_to", "derogated_by"]
     o = old.join(new.select("provision_id").distinct(), "provision_id", "left_semi").select("provision_id", "valid_from", "id", F.struct(*fields).alias("_old"))
     n = new.select("provision_id", "valid_from", F.struct(*fields).alias("_new"))
     action = F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "delete").when(F.col("_old").eqNullSafe(F.col("_new")), "unchanged").otherwise("update")
-    return o.join(n, ["provision_id", "valid_from"], "full").select("provision_id", "valid_from", "id", action.alias("action"))
+    rows = o.join(n, ["provision_id", "valid_from"], "full").select("provision_id", "valid_from", "id", action.alias("action"))
+    if judgements is None:
+        return rows
+    rows = stage(rows)
+    held = referenced_versions(rows, judgements).select("provision_id").distinct().withColumn("_held", F.lit(True))
+    return rows.join(held, "provision_id", "left").select("provision_id", "valid_from", "id", F.when(F.col("_held"), "refused").otherwise(F.col("action")).alias("action"))
+
+
+def referenced_versions(actions: DataFrame, judgements: DataFrame) -> DataFrame:
+    """(provision_id, id) of versions to be deleted that a judgement names on either side: must be empty before a timeline is written."""
+    named = judgements.select(F.explode(F.array("from_version_id", "to_version_id")).alias("id")).distinct()
+    return actions.filter("action = 'delete'").select("provision_id", "id").join(named, "id", "left_semi").select("provision_id", "id")
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """old with the rows of new put in the place of those of the same (null-safe) keys; of several new rows the greatest in `order`."""
+    fresh = latest(new, keys, order).select(*old.columns)
+    o = old.withColumn("_k", F.struct(*keys))
+    n = fresh.select(F.struct(*keys).alias("_n"))
+    return o.join(n, F.col("_k").eqNullSafe(F.col("_n")), "left_anti").drop("_k").unionByName(fresh)
+
+
+def samples_until(samples: DataFrame, totals: DataFrame, group: str, key: str) -> DataFrame:
+    """(group, key, first_pass) over passes of unstable samples: each key by its first pass, passes taken until the group's total is reached.
+
+    samples: group, pass (from 0), key; totals: group, total. A pass is used if the union of those before it falls short of
+    the total; a group without a total, or with 0, gives nothing. A group has few passes, so their running counts are small.
+    """
+    first = samples.groupBy(group, key).agg(F.min("pass").alias("first_pass"))
+    per = first.groupBy(group, "first_pass").agg(F.count("*").alias("_n"))
+    before = per.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("first_pass").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    used = before.join(totals.filter("total > 0"), group).filter("_before < total").select(group, "first_pass")
+    return salted_join(first, used, [group, "first_pass"], "left_semi").select(group, key, "first_pass")
 
 
 def unknown_derogations(new: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -97,6 +97,7 @@ SQL = {
   union select cited_ecli, 5, 'Narrowed', citing_ecli, null, evidence_span, null, null, null, null from labelled where citing_date <= date '{AS_OF}' and label = 'NARROWED' and confidence >= 0.60
   union select ecli, 6, 'ProvisionReworded', null, null, null, provision_id, changed_on, null, null from relied where reworded and material and changed_on <= date '{AS_OF}'
   union select cited_ecli, 7, 'NeedsReview', citing_ecli, null, null, null, null, citation_id, null from labelled where citing_date <= date '{AS_OF}' and label = 'UNCLASSIFIED')""",
+    "day_": "day_ as (select ecli, decided_on from dec)",
     "every": """red as (select distinct ecli from own where row_ord <= 3),
 every as (select * from own where ecli in (select ecli from dec) union all
   select f.citing_ecli, 8, 'InheritedWeakness', null, null, null, null, null, null, f.cited_ecli from follows f join red on red.ecli = f.cited_ecli where f.citing_ecli in (select ecli from dec))""",

@@ -150,15 +150,33 @@ def c16_timeline_refusals(spark, d):
     return merge.timeline_refusals(table(spark, d, "provision_version"))
 
 
-@query(f"""with {_RECORDS}, old as (select distinct on (provision_id, valid_from) * from provision_version order by provision_id, valid_from, id)
-select coalesce(o.provision_id, n.provision_id) provision_id, coalesce(o.valid_from, n.valid_from) valid_from, o.id,
+_ACTIONS = f"""{_RECORDS}, old as (select distinct on (provision_id, valid_from) * from provision_version order by provision_id, valid_from, id),
+acts_ as (select coalesce(o.provision_id, n.provision_id) provision_id, coalesce(o.valid_from, n.valid_from) valid_from, o.id,
   case when o.id is null then 'insert' when n.provision_id is null then 'delete'
     when o.body is not distinct from n.body and o.valid_to is not distinct from n.valid_to and o.derogated_by is not distinct from n.derogated_by then 'unchanged' else 'update' end as action
-from (select * from old where provision_id in (select provision_id from tl)) o full join tl n on n.provision_id = o.provision_id and n.valid_from = o.valid_from""")
-def k8_timeline_actions(spark, d):
+from (select * from old where provision_id in (select provision_id from tl)) o full join tl n on n.provision_id = o.provision_id and n.valid_from = o.valid_from),
+few as (select * from jud where from_version_id % 40 = 0),
+named as (select provision_id, id from acts_ where action = 'delete' and id in (select from_version_id from few union select to_version_id from few))"""
+
+
+def _actions(spark, d):
+    """The stored timelines, the judgements that name some of their versions, and what the dumps would change."""
     old = table(spark, d, "provision_version")
     old = old.groupBy("provision_id", "valid_from").agg(F.min_by(F.struct("id", "body", "valid_to", "derogated_by"), "id").alias("r")).select("provision_id", "valid_from", "r.*")
-    return merge.timeline_actions(old, merge.timeline(_records(spark, d)))
+    return old, judgements(spark, d).filter("from_version_id % 40 = 0"), merge.timeline(_records(spark, d))
+
+
+@query(sql("jud", "").rstrip() + f""", {_ACTIONS} select provision_id, valid_from, id, case when provision_id in (select provision_id from named) then 'refused' else action end as action from acts_""")
+def k8_timeline_actions(spark, d):
+    old, named, new = _actions(spark, d)
+    return merge.timeline_actions(old, new, named)
+
+
+@query(sql("jud", "").rstrip() + f", {_ACTIONS} select provision_id, id from named")
+def j22_referenced_versions(spark, d):
+    """Versions that the dumps no longer have but a judgement names."""
+    old, named, new = _actions(spark, d)
+    return merge.referenced_versions(merge.timeline_actions(old, new), named)
 
 
 @query(f"with {_RECORDS} select provision_id, valid_from, derogated_by from tl where derogated_by is not null and derogated_by not in (select ecli from decision)")
@@ -171,9 +189,14 @@ def k11_ingest_counts(spark, d):
     return merge.timeline(_records(spark, d)).agg(F.count("*").alias("versions"), F.count_if(F.col("valid_to").isNull()).alias("open_versions"), F.count("derogated_by").alias("derogated"))
 
 
-@query(sql("jud", "select distinct on (from_version_id, to_version_id, prompt_version) from_version_id, to_version_id, prompt_version, material from jud order by from_version_id, to_version_id, prompt_version, created_at desc"))
+@query(sql("jud", """, old as (select from_version_id, to_version_id, prompt_version, material, created_at from jud where from_version_id % 3 <> 0),
+new as (select from_version_id, to_version_id, prompt_version, not material material, created_at + 10 created_at from jud where to_version_id % 2 = 0)
+select * from new union all select * from old o where not exists (select 1 from new n where n.from_version_id = o.from_version_id and n.to_version_id = o.to_version_id and n.prompt_version = o.prompt_version)""").replace("\n, old", ", old"))
 def k9_judgements_upserted(spark, d):
-    return graph.latest(judgements(spark, d), ["from_version_id", "to_version_id", "prompt_version"], ["created_at"]).select("from_version_id", "to_version_id", "prompt_version", "material")
+    """Judgements written again over the stored ones, where there are any."""
+    rows = stage(judgements(spark, d).select("from_version_id", "to_version_id", "prompt_version", "material", "created_at"))
+    new = rows.filter("to_version_id % 2 = 0").withColumn("material", ~F.col("material")).withColumn("created_at", F.date_add("created_at", 10))
+    return merge.upsert(rows.filter("from_version_id % 3 <> 0"), new, ["from_version_id", "to_version_id", "prompt_version"], ["created_at"])
 
 
 @query(sql("dec", f"""select distinct on (ecli, alias) {_FORM.format('a')} as alias, kind as alias_kind, ecli
@@ -206,7 +229,7 @@ def j2_followed(spark, d):
 def j3_version_in_force(spark, d):
     cases = decisions(spark, d).select(F.col("ecli").alias("citing_ecli"), "decided_on")
     rows = citations(spark, d).filter("cited_provision is not null").select("citing_ecli", F.col("cited_provision").alias("provision_id")).distinct().join(cases, "citing_ecli")
-    return graph.in_force(rows, table(spark, d, "provision_version"), "decided_on", ["citing_ecli"], "v0").drop("v0_body")
+    return graph.in_force(stage(rows), table(spark, d, "provision_version"), "decided_on", "v0")
 
 
 @query(sql("now", "select provision_id, id, valid_from as from from now".replace("as from from", 'as "from" from')))
@@ -261,6 +284,17 @@ def j14_overlaps(spark, d):
     return graph.overlaps(table(spark, d, "provision_version"))
 
 
+@query("""with links as (select b.id, count(a.id) links from provision_version b left join provision_version a on a.provision_id = b.provision_id and a.valid_from < b.valid_from and (a.valid_to is null or a.valid_to >= b.valid_from) where b.valid_from is not null group by b.id),
+ok as (select provision_id, valid_from f, coalesce(valid_to, date '9999-12-31') t from provision_version where valid_from is not null and (valid_to is null or valid_to >= valid_from)),
+m as (select *, max(t) over (partition by provision_id order by f, t rows between unbounded preceding and 1 preceding) before from ok),
+n as (select *, sum(case when before is null or f > before + 1 then 1 else 0 end) over (partition by provision_id order by f, t rows unbounded preceding) run from m),
+periods as (select provision_id, min(f) f, max(t) t from n group by provision_id, run)
+select v.id, v.provision_id, p.f class_from, l.links from provision_version v join links l on l.id = v.id left join periods p on p.provision_id = v.provision_id and p.f <= v.valid_from and p.t >= v.valid_from""")
+def j14_overlap_classes(spark, d):
+    """Each window with the class of windows that overlap or meet in one period, and how many earlier ones reach its start: no pairs."""
+    return graph.overlap_classes(table(spark, d, "provision_version"))
+
+
 @query("""select a.provision_id, 'overlap' problem, count(*) n from provision_version a join provision_version b on b.provision_id = a.provision_id and b.valid_from > a.valid_from where a.valid_to is null or a.valid_to >= b.valid_from group by 1
 union all select provision_id, 'open', count(*) from provision_version where valid_to is null group by 1 having count(*) > 1""")
 def c18_timeline_problems(spark, d):
@@ -278,10 +312,15 @@ def j17_courts(spark, d):
     return schema.courts(spark).join(rows, "code", "left").fillna(0, ["decisions"])
 
 
-@query(sql("dec cit trt latest follows", "select distinct ecli, source_url from dec where ecli in (select citing_ecli from follows union select cited_ecli from follows)"))
+def _links_sql() -> str:
+    return sql(_STANDING, "select ecli, source_url from dec where ecli in (select cited_ecli from cit where cited_ecli is not null union select by_ecli from every where ecli in (select cited_ecli from cit) union select via_ecli from every where ecli in (select cited_ecli from cit))")
+
+
 def j23_link_table(spark, d):
-    f = graph.followed(citations(spark, d), treatments(spark, d))
-    keys = f.select(F.explode(F.array("citing_ecli", "cited_ecli")).alias("ecli")).distinct()
+    """The pages of all cited decisions and of those that their reasons name, by whom or through whom."""
+    cited = stage(citations(spark, d).filter("cited_ecli is not null").select(F.col("cited_ecli").alias("ecli")).distinct())
+    named = c19_reasons(spark, d).join(cited, "ecli", "left_semi").select(F.explode(F.array("by_ecli", "via_ecli")).alias("ecli"))
+    keys = cited.unionByName(named).filter("ecli is not null").distinct()
     return decisions(spark, d).join(keys, "ecli", "left_semi").select("ecli", "source_url")
 
 
@@ -373,6 +412,9 @@ def _standing(spark, d):
 _STANDING = "dec cit trt latest authority labelled follows now derog then_ jud mat relied own every"
 
 
+query(_links_sql())(j23_link_table)
+
+
 @query(sql(_STANDING, "select d.ecli, case when min(row_ord) <= 3 then 'RED' when min(row_ord) is not null then 'AMBER' else 'GREEN' end light, count(row_ord) n_reasons from dec d left join every e on e.ecli = d.ecli group by d.ecli"))
 def c20_standing(spark, d):
     return _standing(spark, d)[0]
@@ -393,10 +435,33 @@ def c21_provision_standing(spark, d):
     return j8_directly_cited(spark, d).select("provision_id", F.when(F.col("derogated_by").isNull(), "GREEN").otherwise("RED").alias("light"))
 
 
-@query()
+@query(sql(_STANDING.replace("every", "day_ every"), """select ecli, row_number() over (partition by ecli order by row_ord, k1, k2, span, panel, changed_on, citation_id)::int place, row_ord, kind, by_ecli, provision_id, via_ecli from (
+  select e.*, case when row_ord in (3, 6) then lpad(provision_id::varchar, 20, '0') when row_ord = 8 then via_ecli else d.decided_on::varchar end k1, case when row_ord in (3, 6, 8) then '' else by_ecli end k2 from every e left join day_ d on d.ecli = e.by_ecli)""") )
 def c19_ordered_reasons(spark, d):
-    """Each decision's reasons as one array in their order."""
-    return status.ordered(_standing(spark, d)[1]).select("ecli", F.to_json("reasons").alias("reasons"))
+    """Each decision's reasons in their order: by the row of the table, then by day and citing decision, or by provision."""
+    rows = status.ordered(_standing(spark, d)[1]).select("ecli", F.posexplode("reasons").alias("p", "r"))
+    return rows.select("ecli", (F.col("p") + 1).alias("place"), "r.row_ord", "r.kind", "r.by_ecli", "r.provision_id", "r.via_ecli")
+
+
+@query(sql("cit", "select citing_ecli, paragraph_idx, id from cit order by citing_ecli, paragraph_idx, id"))
+def o7_edges_in_order(spark, d):
+    return citations(spark, d).orderBy("citing_ecli", "paragraph_idx", "id").select("citing_ecli", "paragraph_idx", "id")
+
+
+@query(sql("dec cit now then_ jud", "select distinct t.id from_version_id, n.id to_version_id from then_ t join now n on n.provision_id = t.provision_id where t.id <> n.id and t.body <> n.body and not exists (select 1 from jud j where j.from_version_id = t.id and j.to_version_id = n.id and j.prompt_version = 'v1') order by 1, 2 limit 10"))
+def o4_first_pending(spark, d):
+    """The first ten rewordings to be judged: a limit after the order, which each partition applies to its own rows first."""
+    return j13_pending_rewordings(spark, d).orderBy("from_version_id", "to_version_id").limit(10)
+
+
+@query("""with s as (select court_code, ecli, min(epoch_us(fetched_at) // 1000000 % 4) first_pass from decision group by 1, 2), t as (select court_code, (count(distinct ecli) * 3) // 5 total from decision group by 1),
+n as (select court_code, first_pass, count(*) n from s group by 1, 2), b as (select court_code, first_pass, coalesce(sum(n) over (partition by court_code order by first_pass rows between unbounded preceding and 1 preceding), 0) before from n)
+select s.court_code, s.ecli, s.first_pass from s join b on b.court_code = s.court_code and b.first_pass = s.first_pass join t on t.court_code = s.court_code where b.before < t.total""")
+def u4_samples_until_total(spark, d):
+    """Decisions of repeated samples of a court's list, samples being taken until three fifths of it are reached."""
+    rows = table(spark, d, "decision").select("court_code", "ecli", F.pmod(F.floor(F.unix_micros("fetched_at") / 1000000), F.lit(4)).alias("pass"))
+    totals = rows.groupBy("court_code").agg(F.floor(F.count_distinct("ecli") * 3 / 5).alias("total"))
+    return merge.samples_until(rows, totals, "court_code", "ecli")
 
 
 # --- evaluation: labels of the second prompt version as gold for the first
