@@ -25,16 +25,16 @@ def winners(versions: DataFrame, days: DataFrame, entity: str, valid_from: str,
     """
     wanted = days.select(F.col(entity).alias("_e"), F.unix_date(F.col("day").cast("date")).alias("_d")).filter("_e is not null and _d is not null").distinct()
     wanted = wanted.withColumn("_b", F.floor(F.col("_d") / bucket_days))
-    low, high = wanted.agg(F.min("_d"), F.max("_d")).first()
+    low, high = (F.coalesce(wanted.agg(f("_d")).scalar(), F.lit(0)) for f in (F.min, F.max))
     known = F.col(known_from) if known_from else F.col(valid_from)
     rows = versions.select(
         F.col(entity).alias("_e"),
         F.unix_date(F.greatest(valid_from, known)).alias("_s"),
-        F.coalesce(F.unix_date(F.col(valid_to)) + 1, F.lit((high or 0) + 1)).alias("_t"),
+        F.coalesce(F.unix_date(F.col(valid_to)) + 1, high + 1).alias("_t"),
         F.struct(F.col(valid_from).alias("f"), known.alias("k"), F.col(version_id).alias("v")).alias("_p"),
     ).filter("_e is not null and _p.f is not null and _p.k is not null")
     # only the stretch in which events lie is cut into buckets
-    rows = rows.withColumn("_s", F.greatest("_s", F.lit(low or 0))).withColumn("_t", F.least("_t", F.lit((high or 0) + 1))).filter("_s < _t")
+    rows = rows.withColumn("_s", F.greatest("_s", low)).withColumn("_t", F.least("_t", high + 1)).filter("_s < _t")
     cut = rows.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / bucket_days), F.floor((F.col("_t") - 1) / bucket_days))))
     cut = cut.withColumn("_s", F.greatest("_s", F.col("_b") * bucket_days)).withColumn("_t", F.least("_t", (F.col("_b") + 1) * bucket_days))
     best = cut.groupBy("_e", "_b", "_s", "_t").agg(F.max("_p").alias("_p"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kodex.operators.asof import winners
 from kodex.operators.sweep import coverage
-from kodex.session import hot_keys, lookup, salted_join, stage
+from kodex.session import enriched, hot_keys, salted_join, stage
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -54,11 +54,11 @@ def in_force(rows: DataFrame, versions: DataFrame, day: str, prefix: str) -> Dat
     Of several versions in force the one that starts last counts, of equals the greatest id. Each provision and day is
     looked up once, through the disjoint intervals between changes of asof.winners; rows of a hot provision are salted.
     """
-    days = stage(rows.select("provision_id", F.col(day).alias("day")).distinct())
+    days = rows.select("provision_id", F.col(day).alias("day")).distinct()
     best = winners(versions, days, "provision_id", "valid_from", "valid_to", None, "id")
     starts = versions.select("id", F.col("valid_from").alias(f"{prefix}_from"))
-    found = stage(best.join(starts, "id").select("provision_id", F.col("day").alias(day), F.col("id").alias(f"{prefix}_id"), f"{prefix}_from"))
-    return lookup(rows, found, ["provision_id", day], "left").select(*rows.columns, f"{prefix}_id", f"{prefix}_from")
+    found = best.join(starts, "id").select("provision_id", F.col("day").alias(day), F.col("id").alias(f"{prefix}_id"), f"{prefix}_from")
+    return enriched(rows, found, ["provision_id", day]).select(*rows.columns, f"{prefix}_id", f"{prefix}_from")
 
 
 def differing_pairs(pairs: DataFrame, versions: DataFrame) -> DataFrame:
@@ -95,13 +95,12 @@ def relied_on(citations: DataFrame, decisions: DataFrame, versions: DataFrame, j
     cases = decisions.select(F.col("ecli").alias("citing_ecli"), "decided_on")
     cited = citations.filter("cited_provision is not null").select("citing_ecli", F.col("cited_provision").alias("provision_id")).distinct()
     dated = stage(salted_join(cited, cases, ["citing_ecli"]))
-    now = stage(in_force_at(versions, day).select("provision_id", F.col("id").alias("v1_id"), F.col("from").alias("v1_from")))
-    rows = lookup(in_force(dated, versions, "decided_on", "v0"), now, ["provision_id"], "left", counted=dated)
-    rows = lookup(rows, stage(derogations(versions, decisions, day)), ["provision_id"], "left", counted=dated)
-    rows = stage(rows)
+    now = in_force_at(versions, day).select("provision_id", F.col("id").alias("v1_id"), F.col("from").alias("v1_from"))
+    rows = enriched(in_force(dated, versions, "decided_on", "v0"), now, ["provision_id"], counted=dated)
+    rows = stage(enriched(rows, derogations(versions, decisions, day), ["provision_id"], counted=dated))
     reworded = differing_pairs(rows, versions).withColumn("reworded", F.lit(True))
-    pairs = stage(rows.select("v0_id", "v1_id").distinct().join(reworded, ["v0_id", "v1_id"], "left").join(latest_materiality(judgements), ["v0_id", "v1_id"], "left"))
-    rows = lookup(rows, pairs, ["v0_id", "v1_id"], "left")
+    pairs = rows.select("v0_id", "v1_id").distinct().join(reworded, ["v0_id", "v1_id"], "left").join(latest_materiality(judgements), ["v0_id", "v1_id"], "left")
+    rows = enriched(rows, pairs, ["v0_id", "v1_id"])
     return rows.select(
         F.col("citing_ecli").alias("ecli"),
         "provision_id",
@@ -118,8 +117,8 @@ def pending_rewordings(citations: DataFrame, decisions: DataFrame, versions: Dat
     # many decisions share a provision and a day: the pair is looked up once
     cited = citations.filter("cited_provision is not null").select("citing_ecli", F.col("cited_provision").alias("provision_id")).distinct()
     asked = stage(salted_join(cited, cases, ["citing_ecli"]).select("provision_id", "decided_on").distinct())
-    now = stage(in_force_at(versions, day).select("provision_id", F.col("id").alias("v1_id")))
-    rows = lookup(in_force(asked, versions, "decided_on", "v0"), now, ["provision_id"], counted=asked)
+    now = in_force_at(versions, day).select("provision_id", F.col("id").alias("v1_id"))
+    rows = stage(enriched(in_force(asked, versions, "decided_on", "v0"), now, ["provision_id"], "inner", counted=asked))
     pairs = differing_pairs(rows, versions).select(F.col("v0_id").alias("from_version_id"), F.col("v1_id").alias("to_version_id"))
     done = judgements.filter(F.col("prompt_version") == prompt_version).select("from_version_id", "to_version_id")
     return pairs.join(done, ["from_version_id", "to_version_id"], "left_anti")
@@ -174,8 +173,8 @@ def overlap_classes(versions: DataFrame) -> DataFrame:
     marks = periods.select("provision_id", "_c", F.col("_c").alias("_day"), F.lit(0).alias("_k")).unionByName(starts.select("provision_id", F.lit(None).cast("int").alias("_c"), F.unix_date("day").alias("_day"), F.lit(1).alias("_k")))
     over = Window.partitionBy("provision_id").orderBy("_day", "_k").rowsBetween(Window.unboundedPreceding, 0)
     classes = marks.withColumn("_c", F.last("_c", ignorenulls=True).over(over)).filter("_k = 1").select("provision_id", F.date_from_unix_date("_day").alias("day"), F.date_from_unix_date("_c").alias("_c"))
-    days = stage(starts.join(classes, ["provision_id", "day"]).select("provision_id", F.col("day").alias("valid_from"), "_c", "n_earlier"))
-    rows = lookup(versions.filter("valid_from is not null").select("id", "provision_id", "valid_from", "valid_to"), days, ["provision_id", "valid_from"])
+    days = starts.join(classes, ["provision_id", "day"]).select("provision_id", F.col("day").alias("valid_from"), "_c", "n_earlier")
+    rows = enriched(versions.filter("valid_from is not null").select("id", "provision_id", "valid_from", "valid_to"), days, ["provision_id", "valid_from"], "inner")
     inverted = F.coalesce(F.col("valid_to") < F.col("valid_from"), F.lit(False))
     return rows.select("id", "provision_id", F.when(~inverted | (F.col("n_earlier") > 0) | (F.col("_c") == F.col("valid_from")), F.col("_c")).alias("class_from"), F.col("n_earlier").alias("links"))
 

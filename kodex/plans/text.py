@@ -11,7 +11,7 @@ from kodex.functions import legal, text
 from kodex.operators import classify, extract, graph, merge
 from kodex.patterns import PATTERNS
 from kodex.plans.derived import citations, decisions, sql
-from kodex.session import hot_keys, salted_join, spread, stage, widened
+from kodex.session import enriched, spread, stage, widened
 from kodex.sources import pages
 from kodex.sources.tables import table
 
@@ -349,7 +349,7 @@ def _verdicts(rows):
 
 def _edges(spark, d):
     """Citation edges with both decisions, the aliases of the cited one, the context and the citing verdict."""
-    rows = stage(decisions(spark, d).select("ecli", "panel_type", "decided_on", "case_no", "ref_no", "journal_no"))
+    rows = decisions(spark, d).select("ecli", "panel_type", "decided_on", "case_no", "ref_no", "journal_no")
     c = stage(citations(spark, d).filter("cited_ecli is not null"))
     names = merge.alias_rows(rows).filter("alias_kind <> 'journal_no'").groupBy("ecli").agg(F.array_sort(F.collect_set("alias")).alias("cited_names"))
     citing = rows.select(F.col("ecli").alias("citing_ecli"), F.col("panel_type").alias("citing_panel"), F.col("decided_on").alias("citing_date"))
@@ -357,10 +357,9 @@ def _edges(spark, d):
     paragraphs = stage(_bodies(spark, d))
     # contexts of cited paragraphs alone; a decision's window is at most four paragraphs wider
     windows = graph.context_windows(paragraphs).select(F.col("ecli").alias("citing_ecli"), F.col("idx").alias("paragraph_idx"), "context", "focus").join(c.select("citing_ecli", "paragraph_idx").distinct(), ["citing_ecli", "paragraph_idx"], "left_semi")
-    verdicts = stage(_verdicts(paragraphs).withColumnRenamed("ecli", "citing_ecli"))
-    by_citing, by_cited = stage(hot_keys(c, ["citing_ecli"])), stage(hot_keys(c, ["cited_ecli"]))
-    edges = salted_join(salted_join(c, citing, ["citing_ecli"], hot=by_citing), cited, ["cited_ecli"], hot=by_cited)
-    edges = salted_join(edges.join(windows, ["citing_ecli", "paragraph_idx"], "left"), verdicts, ["citing_ecli"], "left", hot=by_citing)
+    verdicts = _verdicts(paragraphs).withColumnRenamed("ecli", "citing_ecli")
+    edges = enriched(enriched(c, citing, ["citing_ecli"], "inner", counted=c), cited, ["cited_ecli"], "inner", counted=c)
+    edges = enriched(edges.join(windows, ["citing_ecli", "paragraph_idx"], "left"), verdicts, ["citing_ecli"], counted=c)
     return edges.withColumn("context", F.coalesce("context", F.array().cast("array<string>"))).withColumn("focus", F.coalesce("focus", F.lit(0))).withColumn("cited_names", F.coalesce("cited_names", F.array().cast("array<string>")))
 
 

@@ -10,7 +10,7 @@ import zipfile
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,8 @@ HOT_SHARE = 1 / 256
 SALTS = 32
 #: Rows, and bytes in memory, up to which a staged table may be broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 48 << 20
+#: Bytes of files up to which a skewed left side is joined without splitting its hot keys.
+PLAIN_BYTES = 16 << 20
 
 
 #: Bytes of files a core below which a table is dealt out by `widened`.
@@ -77,8 +79,12 @@ def stage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{_staged(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    # rows and bytes are summed as they are written, which spares is_small a job
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("bytes")).write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_size = (seen.get["n"], seen.get["bytes"])
+    return out
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -114,12 +120,20 @@ def file_bytes(df: DataFrame) -> int:
 
 
 def is_small(staged: DataFrame, rows: int | None = None) -> bool:
-    """Whether a staged table has at most `rows` rows and BROADCAST_BYTES in memory: its files are asked first, then the rows themselves."""
+    """Whether a staged table has at most `rows` rows and BROADCAST_BYTES in memory, as summed when it was written.
+
+    Of a table made of a staged one the files are asked first, then the rows themselves.
+    """
     rows = BROADCAST_ROWS if rows is None else rows
-    if rows < 0 or file_bytes(staged) > BROADCAST_BYTES:
+    if rows < 0:
         return False
-    n, size = staged.limit(rows + 1).agg(F.count("*"), F.sum(row_bytes(staged))).first()
-    return n <= rows and (size or 0) <= BROADCAST_BYTES
+    if hasattr(staged, "_staged_size"):
+        n, size = staged._staged_size
+    elif file_bytes(staged) > BROADCAST_BYTES:
+        return False
+    else:
+        n, size = staged.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(row_bytes(staged)), F.lit(0))).first()
+    return n <= rows and size <= BROADCAST_BYTES
 
 
 def sized_broadcast(staged: DataFrame, rows: int | None = None) -> DataFrame:
@@ -137,10 +151,13 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFr
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None, salts: int = SALTS) -> DataFrame:
     """Equi-join that splits the hot keys of `left` into `salts` parts and repeats the right rows of just those keys.
 
-    `how`: inner, left, left_semi or left_anti. Rows with a null key match nothing. `hot` may be given when it is known or
+    `how`: inner, left, left_semi or left_anti. Rows with a null key match nothing. A left side of at most PLAIN_BYTES of files
+    can't overload a task and is joined as it is. `hot` may be given when it is known or
     can be counted on something cheaper than `left`, which is else computed once more for it; it is broadcast, being
     bounded by 1 / HOT_SHARE rows.
     """
+    if file_bytes(left) <= PLAIN_BYTES:
+        return left.join(right, keys, how)
     hot = F.broadcast((hot_keys(left, keys) if hot is None else hot).withColumn("_hot", F.lit(True)))
     # the salt is a function of the row, so a recomputed task gives the same part
     parts = left.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*[c for c, t in left.dtypes if not t.startswith("map")]), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
@@ -158,6 +175,16 @@ def lookup(left: DataFrame, staged: DataFrame, keys: list[str], how: str = "inne
     return salted_join(left, staged, keys, how, hot_keys(left if counted is None else counted, keys))
 
 
+def enriched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", counted: DataFrame | None = None) -> DataFrame:
+    """lookup in a table that isn't staged yet, which it is only where the left side is too large for a plain join.
+
+    `counted` stands for the left side, as to its size and its hot keys.
+    """
+    if file_bytes(left if counted is None else counted) <= PLAIN_BYTES:
+        return left.join(right, keys, how)
+    return lookup(left, stage(right), keys, how, counted=counted)
+
+
 def widened(rows: DataFrame) -> DataFrame:
     """A table's rows dealt out over all cores where its files are too few to fill them by their own splits.
 
