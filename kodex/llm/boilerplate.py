@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,8 +24,18 @@ def line_form(text: Column) -> Column:
     return F.regexp_replace(text, r"(?m)(?:^ | $)", "")
 
 
+def flat_form(text: Column) -> Column:
+    """A text as it is compared wherever its lines break: as line_form, line breaks being spaces too."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"\p{Nd}+", "0"), r"\s+", " "))
+
+
 def chunk(texts: list[str], window: int = WINDOW, mean: int = MEAN_CHUNK) -> tuple[np.ndarray, ...]:
-    """(text, line, first, hash) of each chunk; line is 0-based, first is the chunk's place in its line.
+    """(text, line, place, hash) of each chunk; line is 0-based, place that of the chunk in its line."""
+    return sized_chunks(texts, window, mean)[:4]
+
+
+def sized_chunks(texts: list[str], window: int = WINDOW, mean: int = MEAN_CHUNK) -> tuple[np.ndarray, ...]:
+    """chunk with the length of each chunk in characters.
 
     A chunk ends where the hash that rolls over the last `window` characters is 0 modulo `mean`, or with its line; the
     window stays within its line, so that a line has the same chunks wherever it stands. Blank lines have no chunk.
@@ -49,7 +59,7 @@ def chunk(texts: list[str], window: int = WINDOW, mean: int = MEAN_CHUNK) -> tup
     line_of = np.concatenate([[0], np.cumsum(newline)])
     begin, stop = begin[full], stop[full]
     if not len(begin):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     lengths = stop - begin
     inside = np.repeat(begin - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
     place = inside - np.repeat(begin, lengths)
@@ -58,31 +68,34 @@ def chunk(texts: list[str], window: int = WINDOW, mean: int = MEAN_CHUNK) -> tup
     line = line_of[begin] - line_of[starts[text]]
     first = np.concatenate([[True], (text[1:] != text[:-1]) | (line[1:] != line[:-1])])
     order = np.arange(len(first))
-    return text, line, order - np.maximum.accumulate(np.where(first, order, 0)), h
+    return text, line, order - np.maximum.accumulate(np.where(first, order, 0)), h, lengths
 
 
-def chunked_lines(rows: DataFrame, key: str, text: str, window: int = WINDOW, mean: int = MEAN_CHUNK) -> DataFrame:
-    """(key, line_no, line_hash, chunks array<long>) of every line that isn't blank; line_no is 1-based, null texts have none."""
+def chunked_lines(rows: DataFrame, key: str, text: str, window: int = WINDOW, mean: int = MEAN_CHUNK, form: Callable[[Column], Column] = line_form) -> DataFrame:
+    """(key, line_no, line_hash, chunks array<long>, ends array<int>) of every line that isn't blank; line_no is 1-based, null texts have none.
+
+    ends says where each chunk ends within the line, in characters of its form. With flat_form a text is one line.
+    """
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             texts, keys = pdf["_text"].tolist(), pdf[key].to_numpy()
             for a, b in slices(texts):
-                of, line, place, h = chunk(texts[a:b], window, mean)
+                of, line, place, h, size = sized_chunks(texts[a:b], window, mean)
                 at = np.flatnonzero(place == 0)
                 if len(at):
                     # a line's hash is made of its chunks' hashes in order
                     whole = np.add.reduceat(h * powers(M1, int(place.max()) + 1)[place], at)
-                    yield pd.DataFrame({key: keys[a:b][of[at]], "line_no": (line[at] + 1).astype(np.int32), "line_hash": mix(whole).view(np.int64), "chunks": np.split(h.view(np.int64), at[1:])})
+                    yield pd.DataFrame({key: keys[a:b][of[at]], "line_no": (line[at] + 1).astype(np.int32), "line_hash": mix(whole).view(np.int64), "chunks": np.split(h.view(np.int64), at[1:]), "ends": [np.cumsum(x) for x in np.split(size.astype(np.int32), at[1:])]})
 
-    lines = rows.filter(F.col(text).isNotNull()).select(key, line_form(F.col(text)).alias("_text"))
-    return lines.mapInPandas(batches, f"{key} {dict(rows.dtypes)[key]}, line_no int, line_hash long, chunks array<long>")
+    lines = rows.filter(F.col(text).isNotNull()).select(key, form(F.col(text)).alias("_text"))
+    return lines.mapInPandas(batches, f"{key} {dict(rows.dtypes)[key]}, line_no int, line_hash long, chunks array<long>, ends array<int>")
 
 
 def recurring(counted: DataFrame, group: str, what: str, totals: DataFrame, least: int, share: float) -> DataFrame:
     """(group, what, documents) of what is in at least `least` documents of its group and in that share of them."""
     sums = counted.groupBy(group, what).agg(F.count("*").alias("documents")).filter(F.col("documents") >= least)
-    return sums.join(F.broadcast(totals), group).filter(F.col("documents") >= F.lit(share) * F.col("total")).select(group, what, "documents")
+    return lookup(sums, totals, [group]).filter(F.col("documents") >= F.lit(share) * F.col("total")).select(group, what, "documents")
 
 
 def _courts(paragraphs: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,13 +103,15 @@ def _courts(paragraphs: DataFrame, decisions: DataFrame) -> tuple[DataFrame, Dat
     courts = decisions.filter("court_code is not null").groupBy("ecli").agg(F.max("court_code").alias("court_code"))
     holders = paragraphs.filter("ecli is not null").groupBy("ecli").count().select("ecli").join(courts, "ecli")
     numbered = stage(holders.select(F.xxhash64("ecli").alias("doc"), "court_code"))
-    return numbered, numbered.groupBy("court_code").agg(F.count("*").alias("total"))
+    return numbered, stage(numbered.groupBy("court_code").agg(F.count("*").alias("total")))
 
 
-def _lines(paragraphs: DataFrame, mean: int) -> DataFrame:
-    """(para_id, doc, line_no, line_hash, chunks) of every line, staged."""
+def _lines(paragraphs: DataFrame, mean: int, form: Callable[[Column], Column] = line_form) -> DataFrame:
+    """(para_id, doc, line_no, line_hash, chunks, ends) of every line, staged."""
     rows = paragraphs.filter("ecli is not null").select("body", F.struct("para_id", F.xxhash64("ecli").alias("doc")).alias("_key"))
-    return stage(chunked_lines(rows, "_key", "body", mean=mean).select("_key.*", "line_no", "line_hash", "chunks"))
+    found = chunked_lines(rows, "_key", "body", mean=mean, form=form)
+    # ends are for cutting by chunks alone
+    return stage(found.select("_key.*", "line_no", "line_hash", "chunks", *(["ends"] if form is flat_form else [])))
 
 
 def _recurring_chunks(lines: DataFrame, numbered: DataFrame, totals: DataFrame, least: int, share: float) -> DataFrame:
@@ -105,9 +120,34 @@ def _recurring_chunks(lines: DataFrame, numbered: DataFrame, totals: DataFrame,
 
 
 def recurring_chunks(paragraphs: DataFrame, decisions: DataFrame, least: int = LEAST_DOCUMENTS, share: float = LEAST_SHARE, mean: int = MEAN_CHUNK) -> DataFrame:
-    """(court_code, chunk, documents) of every content-defined chunk that recurs in its court, by the chunk's hash."""
+    """(court_code, chunk, documents) of every content-defined chunk of whole texts that recurs in its court, by the chunk's hash.
+
+    Chunks know no lines: a notice that is wrapped otherwise has the same ones.
+    """
+    numbered, totals = _courts(paragraphs, decisions)
+    return _recurring_chunks(_lines(paragraphs, mean, flat_form), numbered, totals, least, share)
+
+
+def without_chunks(paragraphs: DataFrame, decisions: DataFrame, least: int = LEAST_DOCUMENTS, share: float = LEAST_SHARE, mean: int = MEAN_CHUNK) -> DataFrame:
+    """(para_id, chunks, cut, kept) of every paragraph of a court: its number of chunks, of those that recur, and its flat_form without them.
+
+    A recurring chunk of fewer than WINDOW characters, which texts may share by chance, goes only beside a longer one. A blank text has no chunk; null bodies and paragraphs without a decision or court give no row.
+    """
     numbered, totals = _courts(paragraphs, decisions)
-    return _recurring_chunks(_lines(paragraphs, mean), numbered, totals, least, share)
+    texts = _lines(paragraphs, mean, flat_form)
+    hot = stage(_recurring_chunks(texts, numbered, totals, least, share).select("court_code", "chunk"))
+    held = lookup(texts.select("para_id", "doc", F.posexplode("chunks").alias("place", "chunk")), numbered, ["doc"])
+    cut = stage(lookup(held, hot, ["court_code", "chunk"], "left_semi").groupBy("para_id").agg(F.collect_set("place").alias("_cut")))
+    known = lookup(paragraphs.filter("ecli is not null and body is not null").select("para_id", F.xxhash64("ecli").alias("doc"), flat_form(F.col("body")).alias("_text")), numbered.select("doc").distinct(), ["doc"], "left_semi")
+    rows = known.join(texts.select("para_id", "doc", "ends"), ["para_id", "doc"], "left").join(cut, "para_id", "left")
+    none = F.array().cast("array<int>")
+    rows = rows.select("para_id", "_text", F.coalesce("ends", none).alias("_ends"), F.coalesce("_cut", none).alias("_cut"))
+    begin = lambda i: F.when(i > 0, F.get("_ends", i - 1)).otherwise(0)
+    long = lambda i: F.array_contains("_cut", i) & (F.get("_ends", i) - begin(i) >= WINDOW)
+    goes = lambda i: F.array_contains("_cut", i) & (long(i) | long(i - 1) | long(i + 1))
+    rows = rows.withColumn("_goes", F.transform("_ends", lambda e, i: F.coalesce(goes(i), F.lit(False))))
+    pieces = F.transform("_ends", lambda e, i: F.when(F.get("_goes", i), "").otherwise(F.substring(F.col("_text"), begin(i) + 1, e - begin(i))))
+    return rows.select("para_id", F.size("_ends").alias("chunks"), F.size(F.filter("_goes", lambda g: g)).alias("cut"), F.array_join(pieces, "").alias("kept"))
 
 
 def recurring_lines(paragraphs: DataFrame, decisions: DataFrame, least: int = LEAST_DOCUMENTS, share: float = LEAST_SHARE, mean: int = MEAN_CHUNK) -> DataFrame:

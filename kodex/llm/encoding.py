@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kodex.session import lookup, sized_broadcast, stage
+from kodex.session import is_small, lookup, sized_broadcast, stage
 
 #: Encodings in which Central European text is stored, and those with which it is read by mistake.
 STORED = ("utf-8", "cp1250", "iso8859_2", "cp852", "mac_latin2")
@@ -159,7 +159,7 @@ def garbled_forms(words: DataFrame, every_chain: bool = False) -> DataFrame:
 
 
 def dictionary(vocab: DataFrame) -> DataFrame:
-    """(token, original, chain): the corpus tokens that are garbled forms of its own clean words.
+    """(token, original, chain, how): the corpus tokens that are garbled forms of its own clean words (how: word), or made of such parts (how: parts).
 
     Clean words also count with their first letter in the other case. Only those with the skeleton of some suspect token
     are garbled, as the forms of the others can't match. Verified: the clean word must be at least as frequent as the
@@ -172,19 +172,21 @@ def dictionary(vocab: DataFrame) -> DataFrame:
     cases = F.array_distinct(F.array("token", F.concat(F.lower(first), rest), F.concat(F.upper(first), rest)))
     clean = vocab.filter(~F.col("token").rlike(UNCLEAN)).select("token", F.col("n").alias("n_original"), F.explode(cases).alias("original"))
     clean = clean.withColumn("seen", F.col("token") == F.col("original")).withColumn("skeleton", skeleton(F.col("original")))
-    clean = clean.join(sized_broadcast(stage(suspects.select("skeleton").distinct())), "skeleton", "left_semi").repartition(parts, "original")
-    # where the suspects are few, the forms are matched as they are made, without a shuffle
-    pairs = garbled_forms(clean).join(sized_broadcast(suspects), "token").filter(F.col("n_original") >= F.col("n"))
+    clean = lookup(clean, stage(suspects.select("skeleton").distinct()), ["skeleton"], "left_semi").repartition(parts, "original")
+    forms = garbled_forms(clean)
+    # where the suspects are few, the forms are matched as they are made, without a shuffle; else they are written once, as
+    # the forms that very many words share, such as the replacement character, have to be counted and split
+    pairs = lookup(forms if is_small(suspects) else stage(forms), suspects, ["token"]).filter(F.col("n_original") >= F.col("n"))
     pairs = pairs.groupBy("token", "original").agg(F.max("seen").alias("seen"), F.max("n_original").alias("n"), F.min("chain").alias("chain"))
     per = pairs.groupBy("token").agg(F.max(F.struct("seen", "n", "original", "chain")).alias("best"), F.sum(F.when(F.col("seen"), F.col("n"))).alias("_seen"), F.sum("n").alias("_all"))
     others = F.when(F.col("best.seen"), F.col("_seen")).otherwise(F.col("_all")) - F.col("best.n")
     clear = F.col("best.n") >= CLEAR * others
-    found = stage(per.select("token", F.when(clear, F.col("best.original")).alias("original"), F.col("best.chain").alias("chain")))
+    found = stage(per.select("token", F.when(clear, F.col("best.original")).alias("original"), F.col("best.chain").alias("chain"), F.lit("word").alias("how")))
     return found.unionByName(by_runs(suspects.join(sized_broadcast(found), "token", "left_anti"), vocab))
 
 
 def by_runs(suspects: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(token, original null, chain) of suspects without a clean twin, such as rare names, by their parts beyond ASCII.
+    """(token, original null, chain, how) of suspects without a clean twin, such as rare names, by their parts beyond ASCII.
 
     Such a token is garbled if under one chain each of its parts is a garbled form of a part of the corpus's own words.
     Only forms that can't be letters by themselves count: of UTF-8, in several characters, or with replaced bytes.
@@ -194,8 +196,8 @@ def by_runs(suspects: DataFrame, vocab: DataFrame) -> DataFrame:
     own = own.groupBy("original").agg(F.sum("n").alias("n_original")).withColumn("seen", F.lit(True))
     forms = stage(garbled_forms(own, every_chain=True).filter(F.col("chain").startswith("utf-8") | F.col("token").contains("\ufffd")).groupBy(F.col("token").alias("run"), "chain").agg(F.max("n_original").alias("n_original")))
     parts = suspects.select("token", "n", F.array_distinct(runs(F.col("token"))).alias("_r")).withColumn("parts", F.size("_r")).select("token", "n", "parts", F.explode("_r").alias("run"))
-    hits = parts.join(sized_broadcast(forms), "run").filter(F.col("n_original") >= F.col("n")).groupBy("token", "parts", "chain").agg(F.count("*").alias("_n")).filter("_n = parts")
-    return hits.groupBy("token").agg(F.min("chain").alias("chain")).select("token", F.lit(None).cast("string").alias("original"), "chain")
+    hits = lookup(parts, forms, ["run"]).filter(F.col("n_original") >= F.col("n")).groupBy("token", "parts", "chain").agg(F.count("*").alias("_n")).filter("_n = parts")
+    return hits.groupBy("token").agg(F.min("chain").alias("chain")).select("token", F.lit(None).cast("string").alias("original"), "chain", F.lit("parts").alias("how"))
 
 
 def suspect_tokens(rows: DataFrame) -> DataFrame:
@@ -206,7 +208,7 @@ def suspect_tokens(rows: DataFrame) -> DataFrame:
 
 
 def garbled_rows(rows: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
-    """(table_name, row_id, words array<struct<token, original, chain>>) of each row of (table_name, row_id, text) with garbled words.
+    """(table_name, row_id, words array<struct<token, original, chain, how>>) of each row of (table_name, row_id, text) with garbled words.
 
     `corpus` gives the clean words; it is `rows` itself by default. Null and empty texts hold no words; repeated rows
     of one id give one row, rows without an id none. Other columns are not looked at. Tokens are counted before the
@@ -215,11 +217,13 @@ def garbled_rows(rows: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     rows = rows.select("table_name", "row_id", "text").filter("row_id is not null")
     words = stage(dictionary(stage(vocabulary(rows if corpus is None else corpus))))
     hits = lookup(suspect_tokens(rows), words, ["token"]).distinct()
-    return hits.groupBy("table_name", "row_id").agg(F.array_sort(F.collect_list(F.struct("token", "original", "chain"))).alias("words"))
+    return hits.groupBy("table_name", "row_id").agg(F.array_sort(F.collect_list(F.struct("token", "original", "chain", "how"))).alias("words"))
 
 
 def restored(rows: DataFrame) -> DataFrame:
-    """(table_name, row_id, text, restored, replaced, left): each garbled row with its words put right where that is possible.
+    """(table_name, row_id, text, restored, replaced, left, decoded): each garbled row with its words put right where that is possible.
+
+    replaced counts the words put right, decoded those of them that no verified original gave, left those that stay.
 
     A word with a verified original gets it. A suspect word that isn't in the dictionary, such as a rare name, is decoded by
     the chains found in the same row, if that gives letters of the corpus's language; else it stays. Words of its letters
@@ -231,7 +235,7 @@ def restored(rows: DataFrame) -> DataFrame:
     def decode(t: str, tried: list[str]) -> str | None:
         return next((w for chain in tried if (w := ungarble(t, chain)) and own.fullmatch(w)), None)
 
-    def restore(text: str, words: list) -> tuple[str, int, int]:
+    def restore(text: str, words: list) -> tuple[str, int, int, int]:
         known, tried = {w["token"]: w["original"] for w in words}, sorted({w["chain"] for w in words})
         found = [m for m in token.finditer(text) if not m.group().isascii()]
         put: list[str | None] = [None] * len(found)
@@ -253,14 +257,14 @@ def restored(rows: DataFrame) -> DataFrame:
             if w is not None:
                 out += [text[at : m.start()], w]
                 at = m.end()
-        return "".join([*out, text[at:]]), sum(w is not None for w in put), left
+        return "".join([*out, text[at:]]), sum(w is not None for w in put), left, sum(w is not None and w != known.get(m.group()) for m, w in zip(found, put))
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = [restore(text, words) for text, words in zip(pdf["text"], pdf["words"])]
-            yield pd.concat([pdf.drop(columns="words"), pd.DataFrame(out, columns=["restored", "replaced", "left"], index=pdf.index)], axis=1)
+            yield pd.concat([pdf.drop(columns="words"), pd.DataFrame(out, columns=["restored", "replaced", "left", "decoded"], index=pdf.index)], axis=1)
 
     rows = rows.select("table_name", "row_id", "text").filter("row_id is not null")
     found = stage(garbled_rows(rows))
     joined = rows.join(sized_broadcast(found), ["table_name", "row_id"])
-    return joined.select("table_name", "row_id", "text", "words").mapInPandas(batches, "table_name string, row_id long, text string, restored string, replaced int, left int")
+    return joined.select("table_name", "row_id", "text", "words").mapInPandas(batches, "table_name string, row_id long, text string, restored string, replaced int, left int, decoded int")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kodex.llm.words import slices, winnow, word_hashes
-from kodex.session import lookup, sized_broadcast, stage
+from kodex.session import is_small, lookup, sized_broadcast, stage
 
 #: A shared run of this many words is a leak.
 RUN_WORDS = 16
@@ -34,45 +34,45 @@ def fingerprints(texts: DataFrame, key: str, text: str, run: int = RUN_WORDS, k:
     return rows.mapInPandas(batches, f"_key {dict(texts.dtypes)[key]}, pos int, h long").withColumnRenamed("_key", key)
 
 
-def _longest(pdf: pd.DataFrame, run: int) -> pd.DataFrame:
-    """The longest shared run of each row's texts along the diagonals of its hits."""
+def _runs(pdf: pd.DataFrame, run: int) -> pd.DataFrame:
+    """The longest-possible shared runs of at least `run` words of each row's texts, along the diagonals of its hits."""
     docs, doc_at = word_hashes(pdf["_text"].tolist())
     items, item_at = word_hashes(pdf["_item"].tolist())
     out = []
-    for i, diagonals in enumerate(pdf["diagonals"]):
+    for i, (doc, item, diagonals) in enumerate(zip(pdf["doc_id"].tolist(), pdf["item_id"].tolist(), pdf["diagonals"])):
         a, b = docs[doc_at[i] : doc_at[i + 1]], items[item_at[i] : item_at[i + 1]]
-        best = (0, 0, 0)
         for d in sorted({int(x) for x in diagonals}):
             lo, hi = max(0, -d), min(len(b), len(a) - d)
             same = np.concatenate([[False], a[lo + d : hi + d] == b[lo:hi], [False]])
             edge = np.flatnonzero(same[1:] != same[:-1])
-            if len(edge):
-                n = edge[1::2] - edge[::2]
-                j = int(np.argmax(n))
-                if n[j] > best[0]:
-                    best = (int(n[j]), lo + d + int(edge[2 * j]), lo + int(edge[2 * j]))
-        out.append(best)
-    pdf = pdf[["doc_id", "item_id"]].assign(**{c: np.array([x[j] for x in out], np.int32) for j, c in enumerate(("words", "doc_word", "item_word"))})
-    return pdf[pdf["words"] >= run]
+            first, length = edge[::2], edge[1::2] - edge[::2]
+            long = length >= run
+            out += [(doc, item, n, lo + d + f, lo + f) for n, f in zip(length[long].tolist(), first[long].tolist())]
+    return pd.DataFrame(out, columns=["doc_id", "item_id", "words", "doc_word", "item_word"])
 
 
 def leaks(documents: DataFrame, items: DataFrame, run: int = RUN_WORDS, k: int = K) -> DataFrame:
-    """(doc_id, item_id, words, doc_word, item_word): the longest run of at least `run` words that a document shares with an item.
+    """(doc_id, item_id, words, doc_word, item_word): every run of at least `run` words that a document shares with an item.
 
-    Winnowing keeps a fingerprint of every shared run of `run` words, so none is missed. The items' fingerprints are
-    broadcast if they are few, else joined by a shuffle; a hit is then extended word by word. Repeated texts each count;
-    null texts and rows without an id never match. Other columns are not looked at.
+    Runs can't be made longer at either end; doc_word and item_word are the places of their first words, from 0. Winnowing
+    keeps a fingerprint of every shared run of `run` words, so none is missed. The items' fingerprints are broadcast if
+    they are small, else joined by a shuffle; a hit is then extended word by word. Repeated texts each count; null texts
+    and rows without an id never match. Other columns are not looked at.
     """
     tests = stage(fingerprints(items, "item_id", "text", run, k).withColumnRenamed("pos", "item_pos"))
-    found = lookup(fingerprints(documents, "doc_id", "text", run, k), tests, ["h"])
+    prints = fingerprints(documents, "doc_id", "text", run, k)
+    if not is_small(tests):
+        # hot fingerprints are counted, which must not read the texts twice
+        prints = stage(prints)
+    found = lookup(prints, tests, ["h"])
     hits = stage(found.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct().groupBy("doc_id", "item_id").agg(F.collect_list("diagonal").alias("diagonals")))
     pairs = documents.select("doc_id", F.col("text").alias("_text")).join(sized_broadcast(hits), "doc_id")
-    pairs = pairs.join(sized_broadcast(stage(items.select("item_id", F.col("text").alias("_item")))), "item_id")
+    pairs = lookup(pairs, stage(items.filter("item_id is not null").select("item_id", F.col("text").alias("_item"))), ["item_id"], counted=hits)
 
     def verify(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for a, b in slices(pdf["_text"].tolist()):
-                yield _longest(pdf.iloc[a:b], run)
+                yield _runs(pdf.iloc[a:b], run)
 
     columns = pairs.select("doc_id", "item_id", "diagonals", "_text", "_item")
     return columns.mapInPandas(verify, "doc_id long, item_id long, words int, doc_word int, item_word int")

@@ -16,8 +16,6 @@ TOKENIZER = "byte_bpe_50k.tiktoken"
 SEED = 42
 #: Hash ranges into which a pattern's documents are cut for their prefix sums, so that no task holds a whole pattern.
 RANGES = 4096
-#: Membership patterns that enter the flow as such. Further ones, the smallest, count for their scarcest source alone.
-MAX_PATTERNS = 2000
 
 
 def sized_texts(documents: DataFrame, sources: DataFrame, tokenizer: str = TOKENIZER, folder: str = FOLDER) -> DataFrame:
@@ -67,17 +65,10 @@ def plan(sizes: list[tuple[str, int]], targets: dict[str, tuple[float, int]], to
     targets = {s: v for s, v in targets.items() if s in have and v[0] > 0 and v[1] > 0}
     whole = sum(share for share, _ in targets.values())
     targets = {s: (share / whole, repeats) for s, (share, repeats) in targets.items()}
-    supply = dict.fromkeys(targets, 0)
-    for p, n in sizes:
-        for s in p.split("\x1f"):
-            if s in supply:
-                supply[s] += n
     patterns: dict[tuple[str, ...], int] = {}
     named: dict[str, tuple[str, ...]] = {}
-    for i, (p, n) in enumerate(sorted(sizes, key=lambda x: (-x[1], x[0]))):
+    for p, n in sorted(sizes):
         of = tuple(s for s in p.split("\x1f") if s in targets)
-        if i >= MAX_PATTERNS and of:
-            of = (min(of, key=lambda s: supply[s] * targets[s][1] / targets[s][0]),)
         if of and n > 0:
             named[p] = of
             patterns[of] = patterns.get(of, 0) + n
@@ -99,11 +90,13 @@ def plan(sizes: list[tuple[str, int]], targets: dict[str, tuple[float, int]], to
     return [(p, "\x1f".join(of)) for p, of in named.items()], out
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = SEED, tokenizer: str = TOKENIZER, folder: str = FOLDER) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = SEED, tokenizer: str = TOKENIZER, folder: str = FOLDER, max_patterns: int | None = None) -> DataFrame:
     """(doc_id, source, n_tokens, repeats): the documents to take and how often, so that each source has its share of the tokens.
 
-    A minimum-cost flow over membership patterns (at most 2^sources, and held to MAX_PATTERNS) decides how many tokens of
-    each pattern go to which source; only these sums reach the driver. Documents are then laid out in seeded order, and
+    A minimum-cost flow over all membership patterns (the sets of target sources that a text occurs in: at most 2^sources)
+    decides how many tokens of each pattern go to which source; only these sums reach the driver. `max_patterns`, off by
+    default, is a bound on their number that is checked before they are collected and raises where it is exceeded; it never
+    changes a result. Documents are then laid out in seeded order, and
     those that begin within a source's stretch of the line are taken, each pass over a pattern being one use of its texts.
     A text is used at most as often as the source it counts for allows. Shares differ from the target by less than one
     document per allocation. A source without documents gives nothing; documents of other sources, of none, or without
@@ -112,7 +105,10 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     spark = documents.sparkSession
     goal = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in targets.filter("source is not null and target_share is not null and max_repeats is not null").select("source", "target_share", "max_repeats").collect()}
     texts = stage(sized_texts(documents, targets, tokenizer, folder))
-    sizes = [(r["pattern"], r["n"]) for r in texts.groupBy("pattern").agg(F.sum("n_tokens").alias("n")).collect()]
+    per = texts.groupBy("pattern").agg(F.sum("n_tokens").alias("n"))
+    if max_patterns is not None and (found := per.count()) > max_patterns:
+        raise ValueError(f"{found} membership patterns are more than max_patterns")
+    sizes = [(r["pattern"], r["n"]) for r in per.collect()]
     lines, allocations = plan(sizes, goal, total)
     parts = F.broadcast(spark.createDataFrame(allocations, "line string, source string, size long, first long, tokens long"))
     rows = texts.join(F.broadcast(spark.createDataFrame(lines, "pattern string, line string")), "pattern")
@@ -124,8 +120,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     rows = rows.join(parts, "line")
     passes = lambda upto: F.greatest(F.lit(0), F.ceil((upto - F.col("_at")) / F.col("size")))
     taken = rows.withColumn("repeats", (passes(F.col("first") + F.col("tokens")) - passes(F.col("first"))).cast("int")).filter("repeats > 0")
-    # the copy of that source, or of the first one where a merged pattern has none of it
-    doc = F.expr("coalesce(filter(members, m -> m.source = source)[0].doc_id, members[0].doc_id)")
+    doc = F.expr("filter(members, m -> m.source = source)[0].doc_id")
     return taken.select(doc.alias("doc_id"), "source", "n_tokens", "repeats")
 
 

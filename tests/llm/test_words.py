@@ -48,6 +48,8 @@ def never_broadcast(monkeypatch, *modules):
     """As if every table were too large to be broadcast."""
     from kodex import session
 
+    monkeypatch.setattr(session, "PLAIN_BYTES", -1)
+    monkeypatch.setattr(session, "BROADCAST_ROWS", -1)
     for m in modules:
         if hasattr(m, "lookup"):
             monkeypatch.setattr(m, "lookup", lambda *a, **k: session.lookup(*a, **k, rows=-1))
@@ -77,7 +79,18 @@ def test_leaks_are_brute_force(spark, seed, monkeypatch):
     runs = lambda t: {tuple(w[i : i + 16]) for w in [plain_words(t or "")] for i in range(len(w) - 15)}
     want = {(d, i) for d, t, *_ in docs for i, x in items if d is not None and runs(t) & runs(x)}
     df, it = spark.createDataFrame(docs, LEAK), spark.createDataFrame([(i, t, "s") for i, t in items], "item_id long, text string, pos string")
-    got = {(r.doc_id, r.item_id) for r in leakage.leaks(df, it).collect()}
+    spans = [tuple(r) for r in leakage.leaks(df, it).collect()]
+    got = {s[:2] for s in spans}
+    text_of, item_of = {d: plain_words(t or "") for d, t, *_ in docs}, {i: plain_words(t or "") for i, t in items}
+    longest = set()
+    for d, i in want:
+        a, b = text_of[d], item_of[i]
+        for x in range(len(a)):
+            for y in range(len(b)):
+                if a[x] == b[y] and not (x and y and a[x - 1] == b[y - 1]):
+                    n = next((k for k in range(min(len(a) - x, len(b) - y)) if a[x + k] != b[y + k]), min(len(a) - x, len(b) - y))
+                    longest |= {(d, i, n, x, y)} if n >= 16 else set()
+    assert set(spans) == longest
     assert got == want and any(d < 60 for d, _ in got) and (102, 93) in got
     assert leakage.leaks(df.limit(0), it).count() == 0 and leakage.leaks(df, it.limit(0)).count() == 0
 
@@ -180,11 +193,28 @@ def test_mix_total_and_odd_cases(spark):
         assert mixed(spark, d, t)[0] == []
 
 
-def test_many_patterns_stay_bounded(monkeypatch):
-    monkeypatch.setattr(mixing, "MAX_PATTERNS", 3)
+def test_every_pattern_enters_the_flow(spark):
+    """Shares are those of the flow over all patterns; a bound on their number only ever raises."""
     sizes = [("a\x1fb", 50), ("a", 40), ("b", 30), ("a\x1fb\x1fc", 20), ("c", 10)]
-    lines, parts = mixing.plan(sizes, {"a": (0.4, 1), "b": (0.4, 1), "c": (0.2, 1)})
-    assert dict(lines)["a\x1fb\x1fc"] == "c" and sum(p[4] for p in parts) > 0
+    goal = {"a": (0.4, 1), "b": (0.4, 1), "c": (0.2, 1)}
+    lines, parts = mixing.plan(sizes, goal)
+    assert dict(lines)["a\x1fb\x1fc"] == "a\x1fb\x1fc"
+    got = defaultdict(int)
+    for _, source, _, _, n in parts:
+        got[source] += n
+    assert sum(got.values()) == 150 and got == {"a": 60, "b": 60, "c": 30}
+    rng = random.Random(2)
+    names = [f"s{i}" for i in range(12)]
+    texts = [(rng.sample(names, rng.randrange(1, 5)), f"text {i} " * rng.randrange(1, 9)) for i in range(1500)]
+    docs = [(100 * i + k, s, t, "-", "-") for i, (held, t) in enumerate(texts) for k, s in enumerate(held)]
+    targets = [(s, 1 / 12, 2) for s in names]
+    assert len({tuple(sorted(held)) for held, _ in texts}) > 300
+    chosen, shares = mixed(spark, docs, targets, total=60_000)
+    bounded, same = mixed(spark, docs, targets, total=60_000, max_patterns=5000)
+    assert sorted(chosen) == sorted(bounded) and shares == same
+    assert all(abs(r.actual_share - 1 / 12) < 0.01 for r in shares.values())
+    with pytest.raises(ValueError, match="patterns"):
+        mixed(spark, docs, targets, max_patterns=10)
 
 
 BODY = "para_id long, ecli string, idx int, body string, court_code string, chunk long"
@@ -232,9 +262,28 @@ def test_recurring_lines_are_brute_force(spark, seed, monkeypatch):
     assert {r.para_id: r.body for r in boilerplate.without_lines(found, df).collect()} == want
     assert sum(r.occurrences for r in boilerplate.line_texts(found, df).collect()) == len(gone)
     assert boilerplate.recurring_chunks(df, dec, 4, 0.05, mean=16).count() > 0
+    flat = {p: " ".join(re.sub(r"\d+", "0", b.lower()).split()) for p, e, b in rows if b is not None and court.get(e)}
+    cut = {r.para_id: r for r in boilerplate.without_chunks(df, dec, 4, 0.05, mean=16).collect()}
+    assert cut.keys() == flat.keys() and any(r.cut for r in cut.values())
+    assert all(r.kept == flat[p] for p, r in cut.items() if not r.cut) and all(len(r.kept) < len(flat[p]) for p, r in cut.items() if r.cut)
     assert boilerplate.recurring_lines(df.limit(0), dec).count() == 0 and boilerplate.recurring_lines(df, dec.limit(0)).count() == 0
 
 
+def test_rewrapped_notices_have_the_same_chunks(spark):
+    """A notice that every decision breaks into lines in another way is cut from each of them, the rest stays."""
+    rng = random.Random(5)
+    notice = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(120))
+    wrap = lambda: "".join(rng.choice([" ", "\n", "\r\n", "  "]) if c == " " else c for c in notice)
+    own = [" ".join("".join(rng.choice("klmnop") for _ in range(6)) for _ in range(60)) for _ in range(30)]
+    rows = spark.createDataFrame([(i, f"e{i}", 1, f"{own[i]}\n{wrap()}\n{own[i][::-1]}", "z", 1) for i in range(30)], BODY)
+    dec = spark.createDataFrame([(f"e{i}", "US") for i in range(30)], "ecli string, court_code string")
+    assert boilerplate.recurring_lines(rows, dec).filter("documents >= 30").count() == 0
+    cut = {r.para_id: r.kept for r in boilerplate.without_chunks(rows, dec, mean=16).collect()}
+    for i, kept in cut.items():
+        left = sum(w in kept.split() for w in notice.split())
+        assert left < 25 and kept.startswith(own[i][:300]) and kept.endswith(own[i][::-1][-300:]), (i, left)
+
+
 def test_chunks_depend_on_content_alone():
     rng = random.Random(3)
     line = "".join(rng.choice("abcdefghij ") for _ in range(400))
