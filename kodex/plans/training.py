@@ -19,11 +19,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_patches(spark: SparkSession, d: str) -> DataFrame:
-    """The checkpoint-delta store itself: how many versions, full copies and attribute patches each provision has."""
-    key, attributes = ["act_no", "section", "subsec"], ["valid_to", "body", "derogated_by"]
-    dumps = table(spark, d, "provision_dump").withColumn("subsec", F.coalesce("subsec", F.lit("")))
-    store = history.to_patches(history.settle(dumps, key, "valid_from", "valid_to", ["dump_on", "rec_id"], attributes[1:]), key, "valid_from", attributes)
-    return store.groupBy(*key).agg(
+    """The checkpoint-delta store itself: how many versions and attribute patches each provision has."""
+    store = history.dump_store(table(spark, d, "provision_dump")).patches().withColumnRenamed("_sub", "subsec")
+    return store.groupBy("act_no", "section", "subsec").agg(
         F.count("*").alias("versions"),
         F.count_if("is_full").alias("full_copies"),
         F.count_if(F.expr("not is_full and patch_body is not null")).alias("body_patches"),
@@ -31,11 +29,17 @@ def p5_patches(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p5_at_day(spark: SparkSession, d: str) -> DataFrame:
+    """The wording of each provision that began last by a day, folded from the nearest checkpoint."""
+    store = history.dump_store(table(spark, d, "provision_dump"))
+    return store.latest_by(F.lit("2015-06-30").cast("date")).select("act_no", "section", F.col("_sub").alias("subsec"), "valid_from", "body")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return sweep.coverage(table(spark, d, "provision_version"), "provision_id", "valid_from", "valid_to")
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_patches": p5_patches, "p6_found": p6_found}
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_patches": p5_patches, "p5_at_day": p5_at_day, "p6_found": p6_found}
 
 _IN_FORCE = """select v.id from provision_version v where v.provision_id = r.provision_id and v.valid_from <= {day} and (v.valid_to is null or v.valid_to >= {day}) and v.recorded_on <= {day}
     order by v.valid_from desc, v.recorded_on desc, v.id desc limit 1"""
@@ -72,6 +76,7 @@ n as (select *, row_number() over w - 1 k, body is distinct from lag(body) over
 select act_no, section, subsec, count(*) versions, count(*) filter (k % 8 = 0) full_copies,
   count(*) filter (k % 8 <> 0 and cb) body_patches, count(*) filter (k % 8 <> 0 and ct) end_patches
 from n group by all""",
+    "p5_at_day": f"with {_SETTLED} select act_no, section, subsec, max(valid_from) valid_from, arg_max(body, valid_from) body from settled where valid_from <= date '2015-06-30' group by act_no, section, subsec",
     "p6_found": """
 with ok as (select provision_id, valid_from f, coalesce(valid_to, date '9999-12-31') t from provision_version where valid_from is not null and (valid_to is null or valid_to >= valid_from)),
 m as (select *, max(t) over (partition by provision_id order by f, t rows between unbounded preceding and 1 preceding) before from ok),

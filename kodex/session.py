@@ -67,7 +67,7 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def _staged(spark: SparkSession) -> str:
+def staged_dir(spark: SparkSession) -> str:
     """The folder of this application's staged tables."""
     return f"{shared_dir(spark)}/kodex-{spark.sparkContext.applicationId}"
 
@@ -78,7 +78,7 @@ def stage(df: DataFrame) -> DataFrame:
     The tables of an application are in one folder, which `release` removes once its results have been read.
     """
     spark = df.sparkSession
-    path = f"{_staged(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{staged_dir(spark)}/stage-{uuid.uuid4().hex}"
     # rows and bytes are summed as they are written, which spares is_small a job
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("bytes")).write.option("compression", "zstd").parquet(path)
@@ -95,7 +95,7 @@ def hadoop_path(spark: SparkSession, path: str):
 
 def release(spark: SparkSession) -> None:
     """Remove all tables that this application staged. Results that still read from them must have been written before."""
-    files, path = hadoop_path(spark, _staged(spark))
+    files, path = hadoop_path(spark, staged_dir(spark))
     files.delete(path, True)
 
 

@@ -211,3 +211,61 @@ def test_ask_a_model(spark):
     assert sorted((r.cache_key, r.attempt) for r in replies.collect()) == [("k", 1), ("m", 1), ("m", 2), ("n", 1), ("n", 2)]
     got = {r.cache_key: r.label for r in classify.judged(edges, replies).collect()}
     assert got == {"k": "FOLLOWED", "m": "FOLLOWED", "n": "UNCLASSIFIED", "c": "UNCLASSIFIED"}
+
+
+def test_a_broadcast_is_sized_by_bytes(spark, monkeypatch):
+    from kodex import session
+
+    small = session.stage(spark.range(100).selectExpr("id", "repeat('x', 1000) t"))
+    assert session.is_small(small) and session.is_small(small.select("id"))
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 50_000)
+    assert not session.is_small(small) and not session.is_small(small.withColumn("u", F.col("t")))
+    assert session.is_small(small.select("id")) and not session.is_small(small.select("id"), rows=99)
+
+
+def test_staged_tables_are_released(spark):
+    from kodex import session
+
+    kept = session.stage(spark.range(5))
+    assert kept.count() == 5
+    session.release(spark)
+    files, path = session.hadoop_path(spark, session.staged_dir(spark))
+    assert not files.exists(path)
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from kodex import session
+
+    nothing = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(conf=nothing, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: nothing, getCheckpointDir=lambda: None, applicationId="a"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(cluster)
+
+
+def test_overlaps_are_counted_without_pairs(spark):
+    rng = random.Random(4)
+    day = lambda n: None if n is None else date(2000, 1, 1).fromordinal(730120 + n)
+    rows = [(rng.randrange(3), i, day(rng.randrange(40)), day(rng.choice([None, *range(60)]))) for i in range(120)] + [(9, 500, None, None)]
+    v = spark.createDataFrame(rows, "provision_id long, id long, valid_from date, valid_to date")
+    links = {i: sum(q == p and a and f and a < f and (b is None or b >= f) for q, _, a, b in rows) for p, i, f, _ in rows if f}
+    assert {r.id: r.links for r in graph.overlap_classes(v).collect()} == links
+    pairs = graph.overlaps(v).groupBy("provision_id").count().collect()
+    assert {r.provision_id: r.n for r in graph.timeline_problems(v).filter("problem = 'overlap'").collect()} == {r.provision_id: r["count"] for r in pairs}
+    assert graph.overlap_classes(v.limit(0)).count() == 0
+
+
+def test_judged_versions_hold_a_timeline(spark):
+    schema_ = "provision_id long, body string, valid_from date, valid_to date, derogated_by string"
+    new = spark.createDataFrame([(p, "a", date(2020, 1, 1), None, None) for p in (1, 2)], schema_)
+    old = spark.createDataFrame([(p, "b", date(2020, 1, d), None, None, 10 * p + d) for p in (1, 2) for d in (1, 5)], schema_ + ", id long")
+    named = spark.createDataFrame([(3, 15), (11, 12)], "from_version_id long, to_version_id long")
+    got = sorted((r.provision_id, r.action) for r in merge.timeline_actions(old, new, named).collect())
+    assert got == [(1, "refused"), (1, "refused"), (2, "delete"), (2, "update")]
+    assert [r.id for r in merge.referenced_versions(merge.timeline_actions(old, new), named).collect()] == [15]
+    up = merge.upsert(spark.createDataFrame([(1, None, "a"), (2, 2, "b")], "k int, j int, v string"), spark.createDataFrame([(1, None, "x"), (1, None, "y"), (3, 1, "z")], "k int, j int, v string"), ["k", "j"], ["v"])
+    assert sorted(map(str, map(tuple, up.collect()))) == sorted(map(str, [(1, None, "y"), (2, 2, "b"), (3, 1, "z")]))
+    s = spark.createDataFrame([("g", 0, "a"), ("g", 1, "a"), ("g", 1, "b"), ("g", 2, "c"), ("h", 0, "a"), ("z", 0, "a")], "g string, pass int, k string")
+    t = spark.createDataFrame([("g", 2), ("h", 5), ("z", 0)], "g string, total int")
+    assert sorted(tuple(r) for r in merge.samples_until(s, t, "g", "k").collect()) == [("g", "a", 0), ("g", "b", 1), ("h", "a", 0)]

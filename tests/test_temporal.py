@@ -4,6 +4,7 @@ import random
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from kodex.operators import asof, history, sweep
 
@@ -120,3 +121,30 @@ def test_patches_fold_back(spark, every):
     assert rows(history.from_patches(patches, ["k"], "f", ["body", "t"]).select("k", "f", "body", "t").na.fill("-")) == rows(versions.na.fill("-"))
     assert patches.filter("is_full").count() == 4 * -(-20 // every)
     assert history.from_patches(patches.limit(0), ["k"], "f", ["body", "t"]).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_history_store_is_what_all_dumps_say(spark, tmp_path, seed):
+    """Dumps appended one by one, late and corrected records among them, give what settling all of them at once gives."""
+    rng = random.Random(seed)
+    columns = "k string, f date, t date, body string, dump int, rec int, extra string"
+    day = lambda n: date(2000, 1, 1) + timedelta(days=n)
+    records = [(rng.choice(["a"] * 6 + ["b", "c", None]), day(rng.randrange(90)), rng.choice([None, day(rng.randrange(100))]), rng.choice(["x", "y", None]), d, i, "e") for i, d in enumerate(sorted(rng.randrange(5) for _ in range(160)))]
+    store = history.HistoryStore(spark, str(tmp_path / "store"), ["k"], "f", "t", ["dump", "rec"], ["body"], every=4)
+    for d in range(5):
+        store = history.HistoryStore(spark, str(tmp_path / "store"), ["k"], "f", "t", ["dump", "rec"], ["body"], every=4)
+        store.append(spark.createDataFrame([r for r in records if r[4] == d], columns))
+    store.append(spark.createDataFrame([], columns))
+    whole = spark.createDataFrame(records, columns)
+    want = history.settle(whole, ["k"], "f", "t", ["dump", "rec"], ["body"]).select("k", "f", "t", "body")
+    text = lambda df: sorted(map(str, df.select("k", "f", "t", "body").collect()))
+    assert text(store.versions()) == text(want)
+    best = {}
+    for r in want.collect():
+        if r.f <= day(45) and (r.k not in best or r.f > best[r.k].f):
+            best[r.k] = r
+    assert text(store.latest_by(F.lit("2000-02-15").cast("date"))) == sorted(map(str, best.values()))
+    per = {}
+    for r in store.patches().collect():
+        per.setdefault((r.k, r.segment), []).append((r.f, r.is_full))
+    assert all(sorted(v)[0][1] and sum(full for _, full in v) == 1 and len(v) <= 4 for v in per.values())
