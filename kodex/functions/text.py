@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kodex.functions.regex import let, sums
+from kodex.functions.regex import let, located, sums
 
 #: Fixed value: every Unicode white space, with the separators FS..US that Python's str.split() also takes.
 SPACE = r"[\s\x{85}\p{Z}\x1c-\x1f]+"
@@ -93,6 +93,17 @@ def occurrences(text: Column, needle: Column) -> Column:
     return F.when(F.length(n) > 0, ((F.length(h) - F.length(F.replace(h, n, F.lit("")))) / F.length(n)).cast("int")).otherwise(0)
 
 
+def locate(text: Column, needle: Column) -> Column:
+    """array<struct<raw, start, end>> of every place of the needle, white space of any length between its words, case disregarded.
+
+    Offsets are code points of the text as it is; a blank or null needle is nowhere, in a null text nothing can be.
+    """
+    words = F.transform(F.split(squeeze(needle), " "), lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    pattern = F.concat(F.lit("(?iu)"), F.array_join(words, SPACE))
+    found = let(F.split(F.regexp_replace(F.translate(text, "\x01\x02", "  "), pattern, F.lit("\x01$0\x02")), "\x01"), located)
+    return F.when(text.isNotNull(), F.when(F.coalesce(squeeze(needle), F.lit("")) != "", found).otherwise(F.array().cast("array<struct<raw:string,start:int,end:int>>")))
+
+
 def citation_sentence(paragraph: Column, citation: Column) -> Column:
     """The first sentence of a paragraph that holds the citation; null if none does."""
     return F.when(squeeze(citation) != "", cited(sentences(paragraph), citation))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kodex.functions.regex import let, located, parted, running
 from kodex.functions.text import alias_form, contains_any, sentences
 from kodex.patterns import PATTERNS, TRIGGERS
-from kodex.session import salted_join
+from kodex.session import enriched, salted_join
 
 def kept_spans(text: Column) -> Column:
     """array<struct<start, back, pattern_ord, raw>>: the catalogue's matches in one text, contained ones dropped; back is minus the end.
@@ -108,7 +108,7 @@ def carry_acts(refs: DataFrame) -> DataFrame:
     parts = parts.withColumn("_carried", F.last("_last", ignorenulls=True).over(over)).drop("_last")
     named = rows.filter("_act is not null").groupBy("doc", "_act").agg(F.count("*").alias("_n"), F.min(at).alias("_first"))
     modes = named.groupBy("doc").agg(F.min_by("_act", F.struct(-F.col("_n"), "_first")).alias("_mode"))
-    rows = rows.join(parts, ["doc", "_part"]).join(modes, "doc", "left")
+    rows = enriched(enriched(rows, parts, ["doc", "_part"], "inner", counted=refs), modes, ["doc"], counted=refs)
     earlier = F.coalesce("_before", "_carried")
     basis = F.when(F.col("_act").isNotNull(), "explicit").when(earlier.isNotNull(), "backward-scan").when(F.col("_mode").isNotNull(), "document-mode")
     return rows.withColumn("act_no", F.coalesce("_act", earlier, "_mode")).withColumn("basis", basis).drop("_act", "_part", "_before", "_carried", "_mode")
@@ -118,7 +118,7 @@ def resolve_provisions(refs: DataFrame, provisions: DataFrame) -> DataFrame:
     """carry_acts with resolved_provision_id; a citation without subsection matches only a provision without one."""
     rows = carry_acts(refs).withColumn("section", F.try_element_at("groups", F.lit("section"))).withColumn("_sub", F.coalesce(F.try_element_at("groups", F.lit("subsec")), F.lit("")))
     known = provisions.select("act_no", "section", F.coalesce("subsec", F.lit("")).alias("_sub"), F.col("id").alias("resolved_provision_id"))
-    return rows.join(known, ["act_no", "section", "_sub"], "left").withColumn("subsec", F.nullif("_sub", F.lit(""))).drop("_sub")
+    return enriched(rows, known, ["act_no", "section", "_sub"]).withColumn("subsec", F.nullif("_sub", F.lit(""))).drop("_sub")
 
 
 def resolution_stats(refs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +11,13 @@ from pyspark.sql import functions as F
 from kodex import schema
 from kodex.functions import legal
 from kodex.functions import text as tx
-from kodex.functions.regex import find_all
-from kodex.operators import classify, document, extract, graph, merge
+from kodex.operators import classify, document, extract, graph, merge, model
+from kodex.operators.evaluate import span_scores
 from kodex.patterns import PATTERNS
 from kodex.plans import graph as graph_plans
 from kodex.plans import text as text_plans
-from kodex.plans.derived import AS_OF, citations, decisions, sql, treatments
+from kodex.plans.derived import AS_OF, citations, day, decisions, judgements, sql, treatments
+from kodex.session import enriched, stage
 from kodex.sources.tables import table
 from kodex.streaming import incremental
 
@@ -88,17 +90,15 @@ def f25_spoken_checks(spark, d):
 
 
 def _spans(spark, d):
-    rows = table(spark, d, "reference_span").select("ref_id", F.col("ecli").alias("doc"), "paragraph_idx", "kind", "raw_text", "span_start", "span_end", F.col("ref_id").alias("pattern_ord"))
-    groups = F.lit(None).cast("map<string,string>")
-    for p in reversed(PATTERNS):
-        hit = F.get(find_all(F.col("raw_text"), p.regex, p.groups), F.lit(0))
-        groups = F.when((F.col("kind") == p.kind) & hit.isNotNull(), hit["groups"]).otherwise(groups)
-    return rows.withColumn("groups", F.coalesce(groups, F.create_map().cast("map<string,string>")))
+    """Stored citations with the groups of the first pattern of their kind that their text fits."""
+    rows = table(spark, d, "reference_span").select("ref_id", F.col("ecli").alias("doc"), "paragraph_idx", "kind", "raw_text", "span_start", "span_end")
+    which = F.coalesce(*[F.when((F.col("kind") == p.kind) & F.col("raw_text").rlike(p.regex), F.lit(i)) for i, p in enumerate(PATTERNS)])
+    groups = F.when(which.isNotNull(), extract.named_groups(which, F.col("raw_text"))).otherwise(F.create_map().cast("map<string,string>"))
+    return rows.withColumn("groups", groups).withColumn("pattern_ord", F.col("ref_id"))
 
 
 _FORM = r"lower(trim(regexp_replace({}, '[\s\x{{85}}\p{{Z}}\x1c-\x1f]+', ' ', 'g')))"
-_REF = r"č\.\s*j\.\s*(\d+\s+[A-Z][a-zA-Z]{1,4}\s+\d+/\d{4})(?:\s*-\s*(\d+))?"
-_US, _GEN, _R = r"sp\.\s*zn\.\s*((?:Pl\.|[IVX]+\.?)\s*ÚS\s+\d+/\d{2,4})", r"sp\.\s*zn\.\s*(\d+\s+[A-Z][a-zA-Z]{1,4}\s+\d+/\d{4})", r"\bR\s+(\d+)/(\d{4})\b"
+_REF, _US, _GEN, _, _R, _PROV = (p.regex for p in PATTERNS)
 
 
 @query(rf"""with al as (select form, arg_min(ecli, alias_id) ecli from (select *, {_FORM.format('alias')} form from decision_alias) group by form),
@@ -116,9 +116,6 @@ def j9_alias_lookup(spark, d):
     return extract.resolve_decisions(refs, merge.first_writer(table(spark, d, "decision_alias")), ["ref_id"]).select("ref_id", "resolved_ecli")
 
 
-_PROV = r"§\s*(\d+[a-z]?)(?:\s*odst\.\s*(\d+))?(?:[^.]{0,40}?zák(?:ona|\.)\s*č\.\s*(\d+/\d{4})\s*Sb\.)?"
-
-
 @query(rf"""with r as (select ref_id, ecli, paragraph_idx, span_start, span_end, nullif(regexp_extract(raw_text, '{_PROV}', 3), '') act from reference_span where kind = 'provision'),
 c as (select *, last_value(act ignore nulls) over (partition by ecli order by paragraph_idx, span_start, span_end, ref_id rows between unbounded preceding and 1 preceding) before from r),
 m as (select distinct on (ecli) ecli, act as mode from (select ecli, act, count(*) n, min((paragraph_idx, span_start, span_end)) f from r where act is not null group by 1, 2) order by ecli, n desc, f)
@@ -149,7 +146,7 @@ def j18_evaluation_edges(spark, d):
     a = rows.select(F.col("ecli").alias("citing_ecli"), F.col("court_code").alias("citing_court"), F.col("panel_type").alias("citing_panel"))
     b = rows.select(F.col("ecli").alias("cited_ecli"), F.col("court_code").alias("cited_court"))
     t = treatments(spark, d).select(F.col("citation_id").alias("id"), "label", "prompt_version")
-    edges = citations(spark, d).join(a, "citing_ecli").join(b, "cited_ecli", "left").join(F.broadcast(schema.authority(spark)), ["citing_court", "citing_panel", "cited_court"], "left").join(t, "id", "left")
+    edges = enriched(enriched(citations(spark, d), a, ["citing_ecli"], "inner"), b, ["cited_ecli"]).join(F.broadcast(schema.authority(spark)), ["citing_court", "citing_panel", "cited_court"], "left").join(t, "id", "left")
     return edges.filter("prompt_version = 'v2' or label is null").select("id", "label", "prompt_version", "citing_court", "cited_court", F.coalesce("binding", F.lit(False)).alias("may_depart"))
 
 
@@ -160,7 +157,7 @@ def j18_evaluation_edges(spark, d):
 def pred7_chronology(spark, d):
     days = decisions(spark, d).select("ecli", "decided_on")
     a, b = days.select(F.col("ecli").alias("citing_ecli"), F.col("decided_on").alias("_a")), days.select(F.col("ecli").alias("cited_ecli"), F.col("decided_on").alias("_b"))
-    return citations(spark, d).join(a, "citing_ecli", "left").join(b, "cited_ecli", "left").select("id", F.coalesce(F.col("_b") < F.col("_a"), F.lit(False)).alias("in_order"))
+    return enriched(enriched(citations(spark, d), a, ["citing_ecli"]), b, ["cited_ecli"]).select("id", F.coalesce(F.col("_b") < F.col("_a"), F.lit(False)).alias("in_order"))
 
 
 @query(sql("cit trt", "select label, count(*) filter (confidence >= 0.85) red, count(*) filter (confidence >= 0.60) amber from trt group by label"))
@@ -222,7 +219,7 @@ def f21_prompts(spark, d):
     rows = decisions(spark, d)
     a = rows.select(F.col("ecli").alias("citing_ecli"), F.date_format("decided_on", "yyyy-MM-dd").alias("_d"))
     b = rows.select(F.col("ecli").alias("cited_ecli"), "ratio_summary")
-    edges = citations(spark, d).join(a, "citing_ecli").join(b, "cited_ecli")
+    edges = enriched(enriched(citations(spark, d), a, ["citing_ecli"], "inner"), b, ["cited_ecli"], "inner")
     return edges.select("id", tx.render(TEMPLATE, citing=F.col("citing_ecli"), day=F.col("_d"), cited=F.col("cited_ecli"), ratio=F.coalesce("ratio_summary", F.lit("-"))).alias("prompt"))
 
 
@@ -265,20 +262,78 @@ def f34_good_replies(spark, d):
     return f34_gate(spark, d).filter("violation is null").select("id")
 
 
-@query("""with p as (select a.id from_version_id, b.id to_version_id, a.body from provision_version a join provision_version b on a.provision_id = b.provision_id and a.valid_from < b.valid_from and a.body <> b.body)
-select from_version_id, to_version_id, (from_version_id % 2 = 0) material, cast(0.9 as decimal(3,2)) confidence, left(body, 3) evidence_span from p where (from_version_id + to_version_id) % 4 <> 0 and length(trim(left(body, 3))) = 3 and not contains(left(body, 3), '"')""")
+# A stand-in for a model: what it says follows from the number on the first line of the prompt. Of each 7 questions number 1
+# is answered well only when asked again, number 2 never; the reply quotes the first word below the first line.
+
+
+def _say(prompt: str, good: dict) -> str:
+    head, _, context = prompt.partition("\n")
+    k, word = int(head.split()[0]) % 7, context.split()[0] if context.split() else ""
+    bad = k == 2 or k == 1 and "was rejected" not in prompt
+    return json.dumps({**good, "confidence": 0.8, "evidence_span": "never said" if bad else word}, ensure_ascii=False)
+
+
+def say_label(prompt: str) -> str:
+    return _say(prompt, {"label": "FOLLOWED"})
+
+
+def say_material(prompt: str) -> str:
+    return _say(prompt, {"material": str(int(prompt.split()[0]) % 2 == 0).lower()})
+
+
+def say_verdict(prompt: str) -> str:
+    return _say(prompt, {"verdict": "SUPPORTS"})
+
+
+def _cached(prompts, n: str, reply):
+    """Recorded replies of each third question, of each second of which the quotation is no longer there."""
+    rows = prompts.filter(F.col(n) % 3 == 0)
+    span = F.when(F.col(n) % 2 == 0, F.regexp_extract(tx.squeeze(F.col("context_text")), r"^\S+", 0)).otherwise("no longer there")
+    return rows.select("cache_key", F.to_json(F.struct(*reply, F.lit(0.9).alias("confidence"), span.alias("evidence_span"))).alias("reply"), F.lit("2024-01-01").cast("date").alias("created_at"))
+
+
+# where an answer comes from, in SQL: the cache, the first attempt, the second, or nowhere
+_FROM = "case when {n} % 3 = 0 and {n} % 2 = 0 then 0 when {n} % 7 = 2 then null when {n} % 7 = 1 then 2 else 1 end"
+_WORD = "regexp_extract(" + _FORM.replace("lower(", "(") + r", '^\S+')"
+
+
+@query(sql("cit", f"""select id, case when a is null then 'UNCLASSIFIED' else 'FOLLOWED' end as label, cast(case when a is null then 0 when a = 0 then 0.9 else 0.8 end as decimal(3,2)) confidence, case when a is null then raw_text else {_WORD.format('raw_text')} end evidence_span, a attempt
+from (select *, {_FROM.format(n='id')} a from cit)"""))
+def c13_classified(spark, d):
+    """Every edge through the whole loop: the cache checked again, the model, one retry, else unclassified."""
+    edges = citations(spark, d).select("id", F.concat(F.lit("treatment|"), F.col("id").cast("string")).alias("cache_key"), F.concat(F.col("id").cast("string"), F.lit("\n"), "raw_text").alias("prompt"), F.col("raw_text").alias("context_text"), F.col("raw_text").alias("fallback_span"))
+    edges = stage(edges)
+    answers, _ = model.answered(edges, _cached(edges, "id", [F.lit("FOLLOWED").alias("label")]), say_label)
+    answers = stage(answers)
+    rows = classify.judged(edges, answers).select("id", "cache_key", "label", "confidence", "evidence_span")
+    return rows.join(answers.select("cache_key", "attempt"), "cache_key", "left").drop("cache_key")
+
+
+@query(sql("dec cit now then_ jud", f"""select from_version_id, to_version_id, from_version_id % 2 = 0 material, cast(case when a = 0 then 0.9 else 0.8 end as decimal(3,2)) confidence, {_WORD.format('body')} evidence_span from (
+  select *, {_FROM.format(n='from_version_id')} a from (select distinct t.id from_version_id, n.id to_version_id, t.body from then_ t join now n on n.provision_id = t.provision_id
+    where t.id <> n.id and t.body <> n.body and not exists (select 1 from jud j where j.from_version_id = t.id and j.to_version_id = n.id and j.prompt_version = 'v2'))) where a is not null and trim(body) <> ''"""))
 def c14_judged_rewordings(spark, d):
-    """Pairs of wordings judged by recorded replies: the first is bad for each third pair, both are for each fourth."""
-    v = table(spark, d, "provision_version").select("provision_id", "id", "valid_from", "body")
-    a, b = v.select("provision_id", F.col("id").alias("from_version_id"), F.col("valid_from").alias("_f"), "body"), v.select("provision_id", F.col("id").alias("to_version_id"), F.col("valid_from").alias("_t"), F.col("body").alias("_b"))
-    pairs = a.join(b, "provision_id").filter("_f < _t and body <> _b").select("from_version_id", "to_version_id", F.col("body").alias("context_text"))
-    s = F.col("from_version_id") + F.col("to_version_id")
-    good = F.concat(F.lit('{"material": '), (F.col("from_version_id") % 2 == 0).cast("string"), F.lit(', "confidence": 0.9, "evidence_span": "'), F.left("context_text", F.lit(3)), F.lit('"}'))
-    bad = F.lit('{"material": "perhaps", "confidence": 0.9, "evidence_span": "x"}')
-    tries = F.when(s % 4 == 0, F.array(bad, bad)).when(s % 3 == 0, F.array(bad, good)).otherwise(F.array(good))
-    replies = pairs.select("from_version_id", "to_version_id", F.posexplode(tries).alias("_p", "reply")).select("from_version_id", "to_version_id", (F.col("_p") + 1).alias("attempt"), "reply")
-    # spans that aren't three plain characters don't pass the gate or aren't JSON
-    return classify.judged_pairs(pairs, replies).filter("length(evidence_span) = 3")
+    """The pending rewordings through the loop; one that isn't answered gets no row."""
+    versions = table(spark, d, "provision_version")
+    pending = graph.pending_rewordings(citations(spark, d), decisions(spark, d), versions, judgements(spark, d), day(), "v2")
+    pairs = pending.join(versions.select(F.col("id").alias("from_version_id"), F.col("body").alias("context_text")), "from_version_id")
+    key = F.concat_ws("|", F.lit("materiality"), "from_version_id", "to_version_id", F.lit("v2"))
+    pairs = stage(pairs.withColumn("cache_key", key).withColumn("prompt", F.concat(F.col("from_version_id").cast("string"), F.lit("\n"), "context_text")))
+    answers, _ = model.answered(pairs, _cached(pairs, "from_version_id", [(F.col("from_version_id") % 2 == 0).cast("string").alias("material")]), say_material, "material", classify.MATERIAL)
+    replies = pairs.select("cache_key", "from_version_id", "to_version_id").join(answers, "cache_key")
+    return classify.judged_pairs(pairs, replies)
+
+
+@query(sql("dec", f"""select ecli, case when a is null then 'UNCLASSIFIED' else 'SUPPORTS' end verdict, case when a is null then null else {_WORD.format('ratio_summary')} end evidence_span, case when a is null then 'evidence_span: not in the context: never said' end violation
+from (select *, {_FROM.format(n='length(ecli)')} a from dec where trim(ratio_summary) <> '')"""))
+def c15_checked_propositions(spark, d):
+    """Whether each decision's summary carries a claim: the verdict with its quotation, else unclassified with what was wrong."""
+    rows = decisions(spark, d).filter("trim(ratio_summary) <> ''").select("ecli", F.length("ecli").alias("n"), F.col("ratio_summary").alias("context_text"))
+    key = F.concat_ws("|", F.lit("v1"), "ecli", F.sha2(tx.squeeze(F.col("context_text")), 256))
+    rows = stage(rows.withColumn("cache_key", key).withColumn("prompt", F.concat(F.col("n").cast("string"), F.lit("\n"), "context_text")))
+    answers, rejected = model.answered(rows, _cached(rows, "n", [F.lit("SUPPORTS").alias("verdict")]), say_verdict, "verdict", classify.PROPOSITION)
+    said = rows.select("ecli", "cache_key").join(answers, "cache_key", "left").join(rejected, "cache_key", "left").withColumn("_r", F.from_json("reply", classify.REPLY))
+    return said.select("ecli", F.coalesce("_r.verdict", F.lit("UNCLASSIFIED")).alias("verdict"), tx.squeeze(F.col("_r.evidence_span")).alias("evidence_span"), "violation")
 
 
 @query(sql("cit", """select id, case id % 3 when 1 then 'verdict: MAYBE' when 2 then 'evidence_span: not in the context: never said' end violation from cit"""))
@@ -320,6 +375,17 @@ def c25_unknown_cases(spark, d):
     return cited.join(table(spark, d, "decision_alias").select(tx.alias_form(F.col("alias")).alias("form")), "form", "left_anti")
 
 
+@query(rf"""with {text_plans._CASES}, stored as (select distinct {text_plans._STORED_KEY} as key from (select trim(case_no) c from decision) where regexp_matches(c, '^(?i)(?:Pl\.?|[IVX]+\.?)\s*ÚS\s*\d+/\d{{2,4}}$')),
+misses as (select distinct key from histogram where mentions = 1)
+select key, spelling, mentions from histogram h where not exists (select 1 from stored s where s.key = h.key) and not exists (select 1 from misses m where m.key = h.key)""")
+def c25_pending_cases(spark, d):
+    """Cases that are mentioned, not stored and not known to be missing (here: those mentioned once): what is left to fetch, most cited first."""
+    found = stage(text_plans.a19_case_histogram(spark, d))
+    stored = table(spark, d, "decision").select(legal.sign_key(F.col("case_no")).alias("key")).filter("key is not null")
+    misses = found.filter("mentions = 1").select("key")
+    return found.join(stored, "key", "left_anti").join(misses, "key", "left_anti").orderBy(F.desc("mentions"), "key")
+
+
 _H, _N = _FORM.format("p.body"), _FORM.format("r.raw_text")
 
 
@@ -331,6 +397,21 @@ def f10_occurrences(spark, d):
     return rows.select("ref_id", "para_id", tx.occurrences(F.col("body"), F.col("raw_text")).alias("times"))
 
 
+_AT = r"'(?i)' || list_aggregate(list_transform(string_split(n, ' '), lambda w: regexp_escape(w)), 'string_agg', '[\s\x{85}\p{Z}\x1c-\x1f]+')"
+
+
+@query(rf"""with r as (select r.ref_id, p.para_id, p.body, trim(regexp_replace(r.raw_text, '[\s\x{{85}}\p{{Z}}\x1c-\x1f]+', ' ', 'g')) n from reference_span r join decision_paragraph p on p.ecli = r.ecli and p.idx = r.paragraph_idx),
+f as (select ref_id, para_id, regexp_extract_all(body, {_AT}) ms, string_split_regex(body, {_AT}) pieces from r where n <> ''),
+k as (select *, unnest(generate_series(1, len(ms))) k from f where len(ms) > 0)
+select ref_id, para_id, k::int place, (list_sum(list_transform(pieces[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0))::int span_start, length(ms[k])::int n_chars from k""")
+def f10_positions(spark, d):
+    """Where each citation's text occurs in its paragraph."""
+    p = table(spark, d, "decision_paragraph").select("ecli", F.col("idx").alias("paragraph_idx"), "para_id", "body")
+    rows = enriched(table(spark, d, "reference_span").select("ref_id", "ecli", "paragraph_idx", "raw_text"), p, ["ecli", "paragraph_idx"], "inner")
+    found = rows.select("ref_id", "para_id", F.posexplode(tx.locate(F.col("body"), F.col("raw_text"))).alias("p", "m"))
+    return found.select("ref_id", "para_id", (F.col("p") + 1).alias("place"), F.col("m.start").alias("span_start"), (F.col("m.end") - F.col("m.start")).alias("n_chars"))
+
+
 #: What the first reason in the order of the table is called.
 PHRASES = {1: "zrušeno", 2: "překonáno", 3: "předpis zrušen", 4: "rozpor", 5: "zúženo", 6: "předpis změněn", 7: "k posouzení", 8: "opírá se o oslabené"}
 
@@ -364,9 +445,29 @@ def s20_decision_dates(spark, d):
     return rows.select("ecli", "heading", F.date_format("dated_on", "yyyy-MM-dd").alias("dated_on"))
 
 
-@query("select count(distinct ecli) decisions, count(*) as refs, count(resolved_ecli) decision_hits, count(resolved_provision_id) provision_hits from reference_span")
+@query(f"""with {text_plans._refs_sql(text_plans._PARA)}, {text_plans._RESOLVED}
+select (select count(distinct doc) from para) decisions, (select count(*) from refs) as refs, (select count(resolved_ecli) from cases) decision_hits, (select count(resolved_provision_id) from provs) provision_hits,
+  (select count(*) from cases where resolved_ecli is null) + (select count(*) from provs where resolved_provision_id is null) unresolved""")
 def a12_extraction_totals(spark, d):
-    return table(spark, d, "reference_span").agg(F.count_distinct("ecli").alias("decisions"), F.count("*").alias("refs"), F.count("resolved_ecli").alias("decision_hits"), F.count("resolved_provision_id").alias("provision_hits"))
+    """What a run of the extraction over all decisions reads, finds and resolves."""
+    rows = text_plans._paragraphs(spark, d)
+    refs = stage(extract.references(rows))
+    keys = ["doc", "paragraph_idx", "span_start", "pattern_ord"]
+    cases = extract.resolve_decisions(refs.filter("kind <> 'provision'"), merge.first_writer(table(spark, d, "decision_alias")), keys).select(F.col("resolved_ecli").isNotNull().alias("c"), F.lit(False).alias("p"))
+    acts = extract.resolve_provisions(refs, table(spark, d, "provision")).select(F.lit(False).alias("c"), F.col("resolved_provision_id").isNotNull().alias("p"))
+    sums = cases.unionByName(acts).agg(F.count("*").alias("refs"), F.count_if("c").alias("decision_hits"), F.count_if("p").alias("provision_hits"), F.count_if(~F.col("c") & ~F.col("p")).alias("unresolved"))
+    # one row each
+    return table(spark, d, "decision_paragraph").agg(F.count_distinct("ecli").alias("decisions")).crossJoin(F.broadcast(sums))
+
+
+@query(f"""with {text_plans._refs_sql("select distinct ecli doc, idx paragraph_idx, body from decision_paragraph")}, f as (select distinct doc, paragraph_idx, kind, raw_text, span_start, span_end, subsec, act_no from refs),
+g as (select ecli doc, paragraph_idx, kind, raw_text, span_start, span_end, max(case when ref_id % 9 = 0 then 1 else 0 end) spoilt from reference_span group by all)
+select f.kind, count(*) group_mismatches from f join g on g.doc = f.doc and g.paragraph_idx = f.paragraph_idx and g.kind = f.kind and g.raw_text = f.raw_text and g.span_start = f.span_start and g.span_end = f.span_end where spoilt = 1 group by f.kind""".replace("max(case when ref_id % 9 = 0 then 1 else 0 end) spoilt from reference_span group by all", "max(case when ref_id % 9 = 0 then 1 else 0 end) spoilt from reference_span group by 1, 2, 3, 4, 5, 6"))
+def a18_group_mismatches(spark, d):
+    """Spans that extraction and reference_span share, with other groups: those of each ninth stored span are spoilt."""
+    gold = _spans(spark, d).withColumn("groups", F.when(F.col("ref_id") % 9 == 0, F.create_map(F.lit("~"), F.lit("~"))).otherwise(F.col("groups")))
+    found = extract.references(table(spark, d, "decision_paragraph").select(F.col("ecli").alias("doc"), F.col("idx").alias("paragraph_idx"), "body"))
+    return span_scores(gold, found, ["doc", "paragraph_idx", "raw_text", "span_start", "span_end"]).filter("group_mismatches > 0").select("kind", "group_mismatches")
 
 
 # --- streams

@@ -22,8 +22,12 @@ def json_lines(spark: SparkSession, path: str, schema: str = RECORD, limit: int
 
 def json_document(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
     """The records of whole JSON files: a bare list, or a list under records, items, data or @graph."""
+    return document_records(spark.read.text(path, wholetext=True), schema)
+
+
+def document_records(text: DataFrame, schema: str = RECORD) -> DataFrame:
+    """The records of JSON documents that are rows (value)."""
     boxed = ", ".join(f"`{k}` array<struct<{_struct(schema)}>>" for k in ("records", "items", "data", "@graph"))
-    text = spark.read.text(path, wholetext=True)
     lists = F.from_json("value", f"array<struct<{_struct(schema)}>>")
     box = F.from_json("value", boxed)
     is_list = F.ltrim(F.col("value")).startswith("[")
@@ -77,8 +81,8 @@ GOLDEN = "id string, note string, text string, expected array<struct<kind: strin
 
 
 def golden_spans(spark: SparkSession, path: str) -> DataFrame:
-    """(id, kind, raw_text, start, end, groups, ok): the expected spans of a JSON-lines file, ok if the text has raw_text there."""
-    rows = json_lines(spark, path, GOLDEN).select("id", "text", F.inline("expected"))
+    """(id, note, kind, raw_text, start, end, groups, ok): the expected spans of a JSON-lines file, ok if the text has raw_text there."""
+    rows = json_lines(spark, path, GOLDEN).select("id", "note", "text", F.inline("expected"))
     return rows.withColumn("ok", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("raw_text")).drop("text")
 
 

@@ -16,15 +16,20 @@ ENTITIES = {"nbsp": "\xa0", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "sec
 VERDICT_DEPTH, HEAD_LETTERS = 6, 16
 
 
+def unescaped(text: Column) -> Column:
+    """Text with its named entities as characters."""
+    for name, ch in ENTITIES.items():
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(ch))
+    return text
+
+
 def plain_lines(html: Column) -> Column:
     """array of the squeezed, non-blank lines of a page's body: br and closed blocks end a line, scripts, styles and comments go."""
     s = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|head)\b.*?</\1\s*>", "")
     s = F.regexp_replace(s, r"[\r\n]+", " ")
     s = F.regexp_replace(s, r"(?i)<br\s*/?>|</(?:p|div|tr|li|h[1-6]|table|blockquote|title)\s*>", "\n")
     s = F.regexp_replace(s, r"<[^<>]*>", "")
-    for name, ch in ENTITIES.items():
-        s = F.replace(s, F.lit(f"&{name};"), F.lit(ch))
-    return F.filter(F.transform(F.split(s, "\n"), squeeze), lambda p: p != "")
+    return F.filter(F.transform(F.split(unescaped(s), "\n"), squeeze), lambda p: p != "")
 
 
 def paragraphs(pages: DataFrame, key: str, html: str, min_length: int = 1) -> DataFrame:
@@ -92,7 +97,7 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 def table_rows(pages: DataFrame, key: str, html: str, columns: int) -> DataFrame:
     """(key, row, cells array<string>): the rows of the page's tables that have at least `columns` cells."""
-    cells = lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1)), lambda c: squeeze(F.regexp_replace(c, r"<[^<>]*>", "")))
+    cells = lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1)), lambda c: squeeze(unescaped(F.regexp_replace(c, r"<[^<>]*>", ""))))
     found = pages.select(key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(0))).alias("row", "_r"))
     return found.select(key, "row", cells(F.col("_r")).alias("cells"), "_r").filter(F.size("cells") >= columns).select(key, "row", "cells", F.regexp_extract("_r", DOCUMENT_LINK, 1).alias("link"))
 
