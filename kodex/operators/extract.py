@@ -108,7 +108,8 @@ def carry_acts(refs: DataFrame) -> DataFrame:
     parts = parts.withColumn("_carried", F.last("_last", ignorenulls=True).over(over)).drop("_last")
     named = rows.filter("_act is not null").groupBy("doc", "_act").agg(F.count("*").alias("_n"), F.min(at).alias("_first"))
     modes = named.groupBy("doc").agg(F.min_by("_act", F.struct(-F.col("_n"), "_first")).alias("_mode"))
-    rows = enriched(enriched(rows, parts, ["doc", "_part"], "inner", counted=refs), modes, ["doc"], counted=refs)
+    held = refs.select("doc", F.floor(F.col("paragraph_idx") / STRETCH).alias("_part"))
+    rows = enriched(enriched(rows, parts, ["doc", "_part"], "inner", counted=held), modes, ["doc"], counted=held)
     earlier = F.coalesce("_before", "_carried")
     basis = F.when(F.col("_act").isNotNull(), "explicit").when(earlier.isNotNull(), "backward-scan").when(F.col("_mode").isNotNull(), "document-mode")
     return rows.withColumn("act_no", F.coalesce("_act", earlier, "_mode")).withColumn("basis", basis).drop("_act", "_part", "_before", "_carried", "_mode")
