@@ -269,3 +269,24 @@ def test_judged_versions_hold_a_timeline(spark):
     s = spark.createDataFrame([("g", 0, "a"), ("g", 1, "a"), ("g", 1, "b"), ("g", 2, "c"), ("h", 0, "a"), ("z", 0, "a")], "g string, pass int, k string")
     t = spark.createDataFrame([("g", 2), ("h", 5), ("z", 0)], "g string, total int")
     assert sorted(tuple(r) for r in merge.samples_until(s, t, "g", "k").collect()) == [("g", "a", 0), ("g", "b", 1), ("h", "a", 0)]
+
+
+def test_the_loop_checks_its_cache_again(spark):
+    from kodex.operators import model
+    from kodex.session import ship
+
+    ship(spark)
+    prompts = spark.createDataFrame([("kept", "say x", "x y"), ("stale", "say y", "x y"), ("never", "never", "x y"), ("new", "say z", "x y"), (None, "say x", "x")], "cache_key string, prompt string, context_text string")
+    good = lambda span: '{"label": "FOLLOWED", "confidence": 0.9, "evidence_span": "%s"}' % span
+    cache = spark.createDataFrame([("kept", good("gone"), date(2020, 1, 1)), ("kept", good("x"), date(2021, 1, 1)), ("stale", good("gone"), date(2021, 1, 1)), ("other", good("x"), date(2021, 1, 1))], "cache_key string, reply string, created_at date")
+
+    def call(prompt):
+        if prompt.startswith("say x"):
+            raise RuntimeError("asked although the cache has it")
+        return '{"label": "FOLLOWED", "confidence": 0.9, "evidence_span": "%s"}' % ("y" if prompt.startswith("say") and ("say y" in prompt or "rejected" in prompt) else "nowhere")
+
+    answers, rejected = model.answered(prompts, cache, call)
+    assert {r.cache_key: r.attempt for r in answers.collect()} == {"kept": 0, "stale": 1, "new": 2}
+    assert [(r.cache_key, r.violation) for r in rejected.collect()] == [("never", "evidence_span: not in the context: nowhere")]
+    none, bad = model.answered(prompts.limit(0), cache, call)
+    assert none.count() == 0 and bad.count() == 0

@@ -186,3 +186,29 @@ def text_plain(s):
     import unicodedata
 
     return " ".join("".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c)).split()).lower()
+
+
+@pytest.mark.parametrize("court,said,case_no,want", [
+    ("NSS", "Plénum NSS rozhodlo", None, "plenary"), ("NSS", "7členný RS NSS", None, "extended"), ("NSS", "plénum rozhodlo", None, "panel"), ("NSS", "navrhuje na postoupení rozšířenému senátu", None, "panel"),
+    ("NSS", "senát věc postupuje; " + "x" * 60 + " rozšířený senát rozhodl", None, "extended"), ("US", "přikázal to plénu", None, "plenary"), ("NSS", "přikázal to rozšířenému senátu", None, "panel"), ("NS", "rozšířený senát", None, "panel"),
+])
+def test_panels_by_each_courts_names(spark, court, said, case_no, want):
+    assert one(spark, lambda a, b: legal.panel_type(a, b, F.lit(None).cast("string")), court, said) == want
+
+
+def test_locate(spark):
+    at = lambda t, n: [tuple(m) for m in (one(spark, text.locate, t, n) or [])]
+    assert at("Viz §\xa05  a zase § 5, též Č. J. 1", "§ 5") == [("§\xa05", 4, 7), ("§ 5", 16, 19)]
+    assert at("č. j. 1 As 2/2010 a Č.  J. 1 AS 2/2010", " č. j.  1 As 2/2010 ") == [("č. j. 1 As 2/2010", 0, 17), ("Č.  J. 1 AS 2/2010", 20, 38)]
+    assert at("a.b a+b (a) \\E x", "a+b") == [("a+b", 4, 7)] and at("x \\E y", "\\E y") == [("\\E y", 2, 6)]
+    assert at("abc", " ") == [] and at("abc", None) == [] and at(None, "a") == [] and at("aaaa", "aa") == [("aa", 0, 2), ("aa", 2, 4)]
+
+
+def test_very_many_matches_and_sentences(spark):
+    """More than a block of running sums holds, against Python's re."""
+    body = " ".join(f"§ {i}. Věta {i} je tu. sp. zn. {i} As {i}/2010!" for i in range(1, 700))
+    df = spark.createDataFrame([(body,)], "body string")
+    got = df.select(find_all(F.col("body"), PATTERNS[5].regex, PATTERNS[5].groups).alias("m"), text.sentences(F.col("body")).alias("s"), extract.spans(F.col("body")).alias("x")).first()
+    assert [(m.start, m.end) for m in got.m] == [m.span() for m in re.finditer(PATTERNS[5].regex, body, re.ASCII)]
+    assert [tuple(s) for s in got.s] == plain_sentences(body)
+    assert [(x.start, x.end, x.pattern_ord) for x in got.x] == [s[:3] for s in plain_spans(body)]
