@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kodex.llm.words import M1, M2, code_points, mix, powers, slices
-from kodex.session import lookup, stage
+from kodex.session import lookup, stage, widened
 
 #: A line recurs if so many decisions of its court, and this share of them, hold it.
 LEAST_DOCUMENTS, LEAST_SHARE = 4, 0.05
@@ -109,7 +109,7 @@ def _courts(paragraphs: DataFrame, decisions: DataFrame) -> tuple[DataFrame, Dat
 def _lines(paragraphs: DataFrame, mean: int, form: Callable[[Column], Column] = line_form) -> DataFrame:
     """(para_id, doc, line_no, line_hash, chunks, ends) of every line, staged."""
     rows = paragraphs.filter("ecli is not null").select("body", F.struct("para_id", F.xxhash64("ecli").alias("doc")).alias("_key"))
-    found = chunked_lines(rows, "_key", "body", mean=mean, form=form)
+    found = chunked_lines(widened(rows), "_key", "body", mean=mean, form=form)
     # ends are for cutting by chunks alone
     return stage(found.select("_key.*", "line_no", "line_hash", "chunks", *(["ends"] if form is flat_form else [])))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kodex.llm.words import slices, winnow, word_hashes
-from kodex.session import is_small, lookup, sized_broadcast, stage
+from kodex.session import is_small, lookup, sized_broadcast, stage, widened
 
 #: A shared run of this many words is a leak.
 RUN_WORDS = 16
@@ -31,7 +31,7 @@ def fingerprints(texts: DataFrame, key: str, text: str, run: int = RUN_WORDS, k:
                 yield pd.DataFrame({"_key": keys[a:b][of], "pos": (at - bounds[of]).astype(np.int32), "h": g.view(np.int64)})
 
     rows = texts.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    return rows.mapInPandas(batches, f"_key {dict(texts.dtypes)[key]}, pos int, h long").withColumnRenamed("_key", key)
+    return widened(rows).mapInPandas(batches, f"_key {dict(texts.dtypes)[key]}, pos int, h long").withColumnRenamed("_key", key)
 
 
 def _runs(pdf: pd.DataFrame, run: int) -> pd.DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kodex.llm.flow import Flow
 from kodex.llm.tokens import FOLDER, count
-from kodex.session import stage
+from kodex.session import stage, widened
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 SEED = 42
@@ -32,7 +32,7 @@ def sized_texts(documents: DataFrame, sources: DataFrame, tokenizer: str = TOKEN
     rows = documents.join(F.broadcast(sources.select("source").distinct()), "source").filter(F.length("text") > 0).filter("doc_id is not null")
     # the text itself isn't shuffled: two independent 64-bit hashes stand for it
     rows = rows.select("doc_id", "source", F.concat_ws("-", F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).alias("h"), "text")
-    rows = rows.mapInPandas(batches, "doc_id long, source string, h string, n_tokens long")
+    rows = widened(rows).mapInPandas(batches, "doc_id long, source string, h string, n_tokens long")
     per_source = rows.groupBy("h", "source").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"))
     texts = per_source.groupBy("h").agg(F.max("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("source", "doc_id"))).alias("members"))
     return texts.withColumn("pattern", F.array_join("members.source", "\x1f"))

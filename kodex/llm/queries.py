@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kodex.llm import boilerplate, canonical, encoding, leakage, mixing, splitting
-from kodex.session import sized_broadcast, stage, union_all
+from kodex.session import sized_broadcast, stage, union_all, widened
 from kodex.sources.tables import table
 
 
 def _texts(spark: SparkSession, d: str, *columns: tuple[str, str, str]) -> DataFrame:
     """(table_name, row_id, text) of some text columns, each given as table, id, text."""
-    return union_all([table(spark, d, t).select(F.lit(t).alias("table_name"), F.col(i).alias("row_id"), F.col(c).alias("text")) for t, i, c in columns])
+    return widened(union_all([table(spark, d, t).select(F.lit(t).alias("table_name"), F.col(i).alias("row_id"), F.col(c).alias("text")) for t, i, c in columns]))
 
 
 BODIES, PAGES = ("decision_paragraph", "para_id", "body"), ("cached_page", "page_id", "text")

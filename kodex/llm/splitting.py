@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kodex.llm.tokens import BYTES, FOLDER, prefix
+from kodex.session import widened
 
 LIMIT, OVERLAP = 2048, 128
 # What ends a sentence and a clause, and what may follow it at once.
@@ -82,7 +83,7 @@ def pieces(documents: DataFrame, key: str, text: str, limit: int = LIMIT, overla
 
     A text within the limit is one piece (none with oversized_only); an empty or null text, or a
     row without a key, gives none. Sizes are counted in
-    the tokens of the whole text. Map-only: no shuffle, one row at a time, whole texts.
+    the tokens of the whole text. Map-only: no shuffle but of a table too small to fill the cores by its own splits, one row at a time, whole texts.
     """
     schema = f"{key} {dict(documents.dtypes)[key]}, piece_no int, char_start int, char_end int, n_tokens int" + ", piece string" * with_text
     rows = documents.filter(F.col(key).isNotNull()).select(key, F.col(text).alias("_text"))
@@ -98,4 +99,4 @@ def pieces(documents: DataFrame, key: str, text: str, limit: int = LIMIT, overla
                     found += [(k, i, a, b, n) + ((t[a:b],) if with_text else ()) for i, (a, b, n) in enumerate(got)]
             yield pd.DataFrame(found, columns=[key, "piece_no", "char_start", "char_end", "n_tokens"] + ["piece"] * with_text)
 
-    return rows.mapInPandas(batches, schema)
+    return widened(rows).mapInPandas(batches, schema)
